@@ -80,7 +80,7 @@ def regular_grid(
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         spans_, got = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
         if not len(spans_):
-            return pd.DataFrame({c.split()[0]: [] for c in SCHEMA.split(", ")})
+            return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in SCHEMA.split(", ")})
         # Window borders are whole minutes; others are rounded up to the first minute inside.
         grid = np.unique(np.concatenate([np.arange(-(-a // MINUTE_US), -(-b // MINUTE_US)) for a, b in zip(spans_["t"], spans_["until"])])) * MINUTE_US
         got = got.assign(came=got["came"].fillna(-1)).sort_values(["until", "came", "id"], kind="stable").drop_duplicates("until", keep="last").sort_values("t", kind="stable")
@@ -100,10 +100,12 @@ def regular_grid(
         enough = support >= least_support
         fit[~enough] = np.nan
         best = np.where(missing[:, None], fit, own)
-        status = np.where(~missing, "read", np.where(enough, "filled", "missing"))
+        # Object columns: pandas' own strings may reach Arrow in chunks, which it refuses here.
+        status = np.array(["missing", "filled", "read"], dtype=object)[np.where(~missing, 2, enough.astype(int))]
+        symbol = np.full(len(grid), pdf["symbol"].iloc[0], dtype=object)
         return pd.DataFrame(
             {
-                "symbol": pdf["symbol"].iloc[0], "minute_ms": grid // 1000, "missing": missing, "status": status,
+                "symbol": pd.Series(symbol, dtype=object), "minute_ms": grid // 1000, "missing": missing, "status": pd.Series(status, dtype=object),
                 "close": best[:, 0], "volume": best[:, 1], "close_fit": fit[:, 0], "volume_fit": fit[:, 1],
                 "support": support, "readings": n.astype("int32"),
             }
