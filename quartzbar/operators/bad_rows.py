@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from quartzbar.functions.fields import ARCHIVE_CSV_FIELDS, QUANTITY_OF
 from quartzbar.functions.instants import iso_us
 
-BLANK = " \t\r\n\v\f  　"
+BLANK = " \t\r\n\v\f\u00a0\u3000"
 _CELL = rf'[{BLANK}]*"[^"]*(?:""[^"]*)*"[{BLANK}]*|[^",]*'
 _RECORD = re.compile(rf"(?:{_CELL})(?:,(?:{_CELL}))*")
 _EACH = re.compile(_CELL)
@@ -137,7 +137,7 @@ def judge(record: str | None, width: int = len(ARCHIVE_CSV_FIELDS)) -> tuple[str
     """(ok, values), (skip, None) or (reason, what was wrong)."""
     if record is None:
         return "skip", None
-    record = record.removeprefix("﻿").removesuffix("\r")
+    record = record.removeprefix("\ufeff").removesuffix("\r")
     if not record.strip(BLANK):
         return "skip", None
     cells = zero_cost_cells(record)

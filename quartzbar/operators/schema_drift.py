@@ -110,7 +110,7 @@ def _cells(record: Column) -> Column:
 def header_columns(files: DataFrame) -> DataFrame:
     """file_id, pos, name of every header column."""
     return files.where("header IS NOT NULL").select(
-        "file_id", F.posexplode(F.split(F.regexp_replace("header", "^﻿", ""), ",", -1)).alias("pos", "name")
+        "file_id", F.posexplode(F.split(F.regexp_replace("header", "^\ufeff", ""), ",", -1)).alias("pos", "name")
     ).select("file_id", F.col("pos").cast("string").alias("pos"), F.trim("name").alias("name"))
 
 
@@ -216,7 +216,7 @@ def consistent_bars(files: DataFrame, rows: DataFrame) -> DataFrame:
     """
     # The header joins once by file; a hot file is split by the adaptive skew join.
     known = files.select("file_id", "feed", "file_seq", "symbol", "file_format", "header")
-    names = F.transform(F.split(F.regexp_replace("header", "^﻿", ""), ",", -1), F.trim)
+    names = F.transform(F.split(F.regexp_replace("header", "^\ufeff", ""), ",", -1), F.trim)
     joined = rows.select("file_id", "row_no", "record").join(known, "file_id")
     csv = F.transform(
         F.arrays_zip(names.alias("name"), F.transform(F.split("record", ",", -1), F.trim).alias("value")),
