@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quartzbar.plans import raw_data
+from quartzbar.plans import bars, raw_data
 
-MODULES = (raw_data,)
+MODULES = (raw_data, bars)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
-FLAGSHIP = "p4_grid"
+FLAGSHIP = "canonical_timeline"
