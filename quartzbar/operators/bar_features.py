@@ -58,7 +58,8 @@ LAYERS: list[dict[str, str]] = [
         "trade_count_zscore_20": zscore("number_of_trades", 20),
         "momentum_10": "return_10",
         "momentum_30": "return_30",
-        "sma_20_60_spread": ratio("sma_20 - sma_60", "close"),
+        # A difference that is rounding noise is none: it may be divided by next to nothing later.
+        "sma_20_60_spread": "CASE WHEN abs(sma_20 - sma_60) > 1e-12 * close THEN (sma_20 - sma_60) / close ELSE 0 END",
         "high_low_range": "range_pct",
         "body_pct": ratio("abs(close - open)", "close"),
         "taker_imbalance": ratio("2 * taker_buy_base_volume - volume", "volume"),

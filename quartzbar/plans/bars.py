@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzbar.functions.windows import rounded
-from quartzbar.operators import bar_features, timeline
+from quartzbar.operators import bar_features, recursive_features, timeframes, timeline
 from quartzbar.session import table
 
 VALID_SQL = """
@@ -92,6 +92,33 @@ def features(family: str, spark: SparkSession, d: str) -> DataFrame:
     return rows.selectExpr("symbol", "idx", *rounded(names))
 
 
+def features_recursive(spark: SparkSession, d: str) -> DataFrame:
+    rows = recursive_features.with_recursive_features(canonical(spark, d))
+    return rows.selectExpr("symbol", "idx", *rounded(list(recursive_features.NAMES)))
+
+
+def features_timeframe(tf: str, spark: SparkSession, d: str) -> DataFrame:
+    return timeframes.onto_minutes(canonical(spark, d), tf).selectExpr("symbol", "idx", *rounded(timeframes.names(tf)))
+
+
+#: Bars of the test tables span days, not years: a period of two hours stands for the week.
+PERIOD = 120
+_WEEKLY = (
+    "weekly_ma20_slope_closed", "weekly_ma50_slope_closed", "weekly_ma20_above_ma50", "weekly_drawdown",
+    "weekly_vol_contraction", "close_vs_weekly_ma20", "close_vs_weekly_ma50",
+)
+
+
+def features_weekly(spark: SparkSession, d: str) -> DataFrame:
+    rows = timeframes.weekly_onto_minutes(canonical(spark, d), minutes=PERIOD, offset=0, short=4, long=5)
+    return rows.selectExpr("symbol", "idx", *rounded(list(_WEEKLY)))
+
+
+def resampled_bars(spark: SparkSession, d: str) -> DataFrame:
+    b = timeframes.closed_buckets(canonical(spark, d), 15)
+    return b.selectExpr("symbol", "bucket", "open", "high", "low", "close", *rounded(["volume"], 3))
+
+
 _CLIPPED = ("returns", "vol_adjusted", "zscores")
 
 
@@ -119,7 +146,9 @@ def _clip_sql() -> str:
 
 QUERIES = {
     f.__name__: f for f in (bar_validation, canonical_timeline, gap_summary, missing_days, max_gap_run, clip_report)
-} | {f"features_{name}": partial(features, name) for name in bar_features.FAMILIES}
+} | {f"features_{name}": partial(features, name) for name in bar_features.FAMILIES}
+QUERIES |= {f.__name__: f for f in (features_recursive, features_weekly, resampled_bars)}
+QUERIES |= {f"features_{tf}": partial(features_timeframe, tf) for tf in timeframes.FRAMES}
 
 SQL = {
     "bar_validation": """
@@ -152,3 +181,32 @@ SELECT symbol, idx, CAST(run AS BIGINT) AS max_gap_run_120, round(ratio_20 * (1
 """,
     "clip_report": _clip_sql(),
 } | {f"features_{name}": bar_features.sql_text(CANONICAL_SQL, name) for name in bar_features.FAMILIES}
+SQL |= {f"features_{tf}": timeframes.sql_text(CANONICAL_SQL, tf) for tf in timeframes.FRAMES}
+SQL["features_recursive"] = (
+    f"SELECT symbol, idx, {', '.join(rounded(list(recursive_features.NAMES)))} FROM ({recursive_features.sql_text(CANONICAL_SQL)})"
+)
+SQL["resampled_bars"] = f"""
+SELECT symbol, CAST(floor(m / 15) AS BIGINT) AS bucket, arg_min(open, m) AS open, max(high) AS high, min(low) AS low, arg_max(close, m) AS close,
+       {rounded(["sum(volume)"], 3)[0].removesuffix(" AS sum(volume)")} AS volume
+FROM ({CANONICAL_SQL}) GROUP BY ALL HAVING count(*) = 15
+"""
+SQL["features_weekly"] = f"""
+WITH canon AS MATERIALIZED ({CANONICAL_SQL}),
+w AS (SELECT symbol, CAST(floor(m / {PERIOD}) AS BIGINT) AS b, arg_max(close, m) AS close FROM canon GROUP BY ALL),
+x AS (
+  SELECT *, CASE WHEN count(*) OVER s = 4 THEN avg(close) OVER s END AS ma_s, CASE WHEN count(*) OVER l = 5 THEN avg(close) OVER l END AS ma_l,
+         CASE WHEN count(*) OVER s = 4 THEN stddev_samp(close) OVER s END AS sd_s, CASE WHEN count(*) OVER l = 5 THEN stddev_samp(close) OVER l END AS sd_l,
+         max(close) OVER (PARTITION BY symbol ORDER BY b) AS top, count(*) OVER (PARTITION BY symbol) >= 5 AS enough
+  FROM w WINDOW s AS (PARTITION BY symbol ORDER BY b ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), l AS (PARTITION BY symbol ORDER BY b ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)
+), y AS (
+  SELECT *, (b + 1) * {PERIOD} AS known_at, coalesce(ma_s / lag(ma_s) OVER o - 1, 0) AS slope_s, coalesce(ma_l / lag(ma_l) OVER o - 1, 0) AS slope_l
+  FROM x WINDOW o AS (PARTITION BY symbol ORDER BY b)
+), z AS (
+  SELECT c.symbol, c.idx, coalesce(e.enough, false) AS ok, coalesce(slope_s, 0) AS weekly_ma20_slope_closed, coalesce(slope_l, 0) AS weekly_ma50_slope_closed,
+         CASE WHEN ma_s > ma_l THEN 1 ELSE 0 END AS weekly_ma20_above_ma50, coalesce(y.close / top - 1, 0) AS weekly_drawdown,
+         CASE WHEN y.b IS NULL THEN 1 ELSE greatest(0, least(10, coalesce(sd_s / coalesce(nullif(sd_l, 0), 1e-8), 1))) END AS weekly_vol_contraction,
+         coalesce(c.close / ma_s - 1, 0) AS close_vs_weekly_ma20, coalesce(c.close / ma_l - 1, 0) AS close_vs_weekly_ma50
+  FROM canon AS c ASOF LEFT JOIN y ON c.symbol = y.symbol AND c.m >= y.known_at JOIN (SELECT DISTINCT symbol, enough FROM x) AS e ON e.symbol = c.symbol
+)
+SELECT symbol, idx, {", ".join(rounded(list(_WEEKLY), of=lambda n: f"CASE WHEN ok THEN CAST({n} AS DOUBLE) ELSE 0 END"))} FROM z
+"""
