@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quartzbar.plans import bars, raw_data
+from quartzbar.plans import bars, learning_data, raw_data
 
-MODULES = (raw_data, bars)
+MODULES = (raw_data, bars, learning_data)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 FLAGSHIP = "canonical_timeline"
