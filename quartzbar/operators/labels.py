@@ -6,8 +6,6 @@ rows and nothing is joined. Rows whose horizon is not whole, or whose close is 0
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,7 +71,7 @@ def triple_barriers(timeline: DataFrame, horizon: int = 60, tp: float = 0.01, sl
     if horizon <= 0 or tp <= 0 or sl <= 0:
         raise ValueError("horizon and barriers must be positive")
     rows = in_chunks(timeline.select("symbol", "idx", "open", "high", "low", "close", "gap_flag"), before=0, after=horizon)
-    return rows.groupBy("symbol", "chunk").applyInPandas(partial(of_chunk, horizon, tp, sl, threshold), SCHEMA)
+    return rows.groupBy("symbol", "chunk").applyInPandas(lambda p: of_chunk(horizon, tp, sl, threshold, p), SCHEMA)
 
 
 def reason_counts(labels: DataFrame) -> DataFrame:
