@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzbar.operators.asof import percentiles
-from quartzbar.operators.scan import scan, transition_table
+from quartzbar.operators.scan import Machine, scan, transition_table
 from quartzbar.operators.timeline import CHUNK
+from quartzbar.session import checkpointed
 
 STRENGTHS = ("ranging", "trending", "high_volatility")
 DIRECTIONS = ("range", "up", "down")
@@ -52,12 +53,11 @@ def hysteresis(codes: int, after: int = SWITCH_AFTER):
 
 def with_regimes(rows: DataFrame) -> DataFrame:
     """symbol, idx, strength, direction: stable regimes from rows (symbol, idx, rv_15, trend_slope_30)."""
+    rows = checkpointed(rows.select("symbol", "idx", "rv_15", "trend_slope_30"))
     coded = rows.join(fit_thresholds(rows), "symbol").select("symbol", "idx", strength_code().alias("s"), direction_code().alias("d"))
     table, states = hysteresis(3)
     shown = lambda names: [names[s[0]] if s else "" for s in states]
-    out = scan(coded, "s", table, shown(STRENGTHS), "strength")
-    out = scan(out, "d", table, shown(DIRECTIONS), "direction")
-    return out.select("symbol", "idx", "strength", "direction")
+    return scan(checkpointed(coded), [Machine("s", table, shown(STRENGTHS), "strength"), Machine("d", table, shown(DIRECTIONS), "direction")])
 
 
 def diagnostics(rows: DataFrame, label: str) -> DataFrame:

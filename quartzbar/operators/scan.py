@@ -8,7 +8,8 @@ no symbol needs to fit into one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable, Iterable
+from collections.abc import Callable, Hashable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -41,29 +42,53 @@ def start_states(maps: DataFrame) -> DataFrame:
     return before.select("symbol", "chunk", F.aggregate("before", F.lit(0), lambda s, ends: F.get(ends, s)).alias("start"))
 
 
-def scan(rows: DataFrame, code: str, table: np.ndarray, emit: Iterable, name: str, size: int = CHUNK) -> DataFrame:
-    """rows (symbol, idx, ..., code) with a column that emit gives for the state after each row, in order of idx."""
-    values = [str(x) for x in emit]
-    chunked = rows.withColumn("chunk", F.floor(F.col("idx") / size))
-    steps = table.T.copy()
+class Machine(NamedTuple):
+    """A machine over the codes of one column: its table, and what the state after a row shows."""
+
+    code: str
+    table: np.ndarray
+    shown: list[str]
+    name: str
+
+
+def scan(rows: DataFrame, machines: list[Machine], size: int = CHUNK) -> DataFrame:
+    """symbol, idx and one column per machine, from rows (symbol, idx, codes) in order of idx.
+
+    The rows are read twice; callers that computed them at some cost cut their lineage first.
+    """
+    codes = [m.code for m in machines]
+    chunked = rows.select("symbol", "idx", *dict.fromkeys(codes)).withColumn("chunk", F.floor(F.col("idx") / size))
+    # The maps of all machines stand in one array, each after the states of those before it.
+    offsets = np.cumsum([0, *(len(m.table) for m in machines)])
+    steps = [m.table.T.copy() for m in machines]
 
     def ends(p: pd.DataFrame) -> pd.DataFrame:
-        state = np.arange(len(table))
-        for c in p.sort_values("idx", kind="stable")[code].to_numpy():
-            state = steps[c][state]
-        return pd.DataFrame({"symbol": p["symbol"].astype(object).iloc[:1].to_numpy(), "chunk": p["chunk"].iloc[:1].to_numpy(), "ends": [state.tolist()]})
+        p = p.sort_values("idx", kind="stable")
+        out: list[int] = []
+        for m, by_code in zip(machines, steps):
+            state = np.arange(len(m.table))
+            for c in p[m.code].to_numpy():
+                state = by_code[c][state]
+            out += state.tolist()
+        return pd.DataFrame({"symbol": p["symbol"].astype(object).iloc[:1].to_numpy(), "chunk": p["chunk"].iloc[:1].to_numpy(), "ends": [out]})
 
-    maps = chunked.select("symbol", "chunk", "idx", code).groupBy("symbol", "chunk").applyInPandas(ends, "symbol string, chunk long, ends array<int>")
-    nested = table.tolist()
+    maps = chunked.groupBy("symbol", "chunk").applyInPandas(ends, "symbol string, chunk long, ends array<int>")
+    starts = None
+    for k, (m, a) in enumerate(zip(machines, offsets)):
+        part = start_states(maps.select("symbol", "chunk", F.slice("ends", int(a) + 1, len(m.table)).alias("ends"))).withColumnRenamed("start", f"start{k}")
+        starts = part if starts is None else starts.join(part, ["symbol", "chunk"])
+    nested = [m.table.tolist() for m in machines]
 
     def write(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("idx", kind="stable")
-        state, out = int(p["start"].iloc[0]), []
-        for c in p[code].tolist():
-            state = nested[state][c]
-            out.append(values[state])
-        return pd.DataFrame({"symbol": p["symbol"].astype(object), "idx": p["idx"], name: pd.Series(out, index=p.index, dtype=object)})
-
-    started = chunked.select("symbol", "chunk", "idx", code).join(start_states(maps), ["symbol", "chunk"])
-    written = started.groupBy("symbol", "chunk").applyInPandas(write, f"symbol string, idx long, {name} string")
-    return rows.join(written, ["symbol", "idx"])
+        out = {"symbol": p["symbol"].astype(object), "idx": p["idx"]}
+        for k, m in enumerate(machines):
+            state, column = int(p[f"start{k}"].iloc[0]), []
+            for c in p[m.code].tolist():
+                state = nested[k][state][c]
+                column.append(m.shown[state])
+            out[m.name] = pd.Series(column, index=p.index, dtype=object)
+        return pd.DataFrame(out)
+
+    schema = "symbol string, idx long, " + ", ".join(f"{m.name} string" for m in machines)
+    return chunked.join(starts, ["symbol", "chunk"]).groupBy("symbol", "chunk").applyInPandas(write, schema)

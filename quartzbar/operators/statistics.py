@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzbar.operators.asof import mean_ranks, prefix_sums
+from quartzbar.session import checkpointed
 
 _BLOCK = 8192
 
@@ -93,13 +94,16 @@ def drawdown(rows: DataFrame, pnl: str) -> DataFrame:
 
 def rank_correlation(rows: DataFrame, features: list[str], target: str, least: int = 30) -> DataFrame:
     """symbol, feature, n, ic: Spearman's correlation of each feature with the target (0 below so many rows)."""
-    kept = [F.col(target).isNotNull() & ~F.isnan(target)]
-    ranked = mean_ranks(rows.where(kept[0]), "symbol", target, "_rt")
-    for f in features:
-        ranked = mean_ranks(ranked, "symbol", f, f"_r_{f}")
-    s = ranked.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), *(F.corr(f"_r_{f}", "_rt").alias(f) for f in features))
-    long = s.unpivot(["symbol", "n"], features, "feature", "ic")
-    return long.withColumn("ic", F.when((F.col("n") >= least) & F.col("ic").isNotNull() & ~F.isnan("ic"), F.col("ic")).otherwise(0.0))
+    names = [*features, target]
+    kept = rows.where(F.col(target).isNotNull() & ~F.isnan(target))
+    # Ranks read their rows several times: what made them is computed once.
+    wide = checkpointed(kept.select("symbol", "idx", *(F.col(n).cast("double").alias(n) for n in names)))
+    long = wide.unpivot(["symbol", "idx"], names, "name", "value").withColumn("key", F.concat_ws("/", "symbol", "name"))
+    ranks = mean_ranks(long, "key", "value", "rank")
+    per_row = ranks.groupBy("symbol", "idx").agg(*(F.max(F.when(F.col("name") == n, F.col("rank"))).alias(n) for n in names))
+    s = per_row.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), *(F.corr(f, target).alias(f"ic_{f}") for f in features))
+    out = s.select("symbol", "n", *(F.col(f"ic_{f}").alias(f) for f in features)).unpivot(["symbol", "n"], features, "feature", "ic")
+    return out.withColumn("ic", F.when((F.col("n") >= least) & F.col("ic").isNotNull() & ~F.isnan("ic"), F.col("ic")).otherwise(0.0))
 
 
 def half_life(rows: DataFrame, value: str) -> DataFrame:

@@ -40,13 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder the session names.
 
-    The folder is read from spark.checkpoint.dir; only where that is unset (tests, a single
-    machine) a folder below the warehouse is used.
+    The folder is read from spark.checkpoint.dir. Where that is unset, a local session (tests, one machine) uses
+    a folder of its own; on a cluster it must be set, as all executors have to share it.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir") or os.path.join(
-            sc.getConf().get("spark.sql.warehouse.dir", "/tmp/quartzbar").removeprefix("file:"), "_checkpoints"
-        )
-        sc.setCheckpointDir(where)
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or f"/tmp/quartzbar-checkpoints-{os.getpid()}")
     return df.checkpoint()
