@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quartzbar.plans import bars, evaluation, learning_data, raw_data
+from quartzbar.plans import bars, evaluation, learning_data, operations, raw_data
 
-MODULES = (raw_data, bars, learning_data, evaluation)
+MODULES = (raw_data, bars, learning_data, evaluation, operations)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 FLAGSHIP = "canonical_timeline"
