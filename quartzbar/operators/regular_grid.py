@@ -62,6 +62,7 @@ def regular_grid(
     status says which: read, filled or missing. Fits of volume are not below zero.
     """
     block_us, reach_us = block_min * MINUTE_US, int(bandwidth_min * MINUTE_US)
+    assert block_us >= reach_us + MINUTE_US
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     whole = windows.select("symbol", us("start_time").alias("a"), us("end_time").alias("b")).where("symbol IS NOT NULL AND a < b")
     spans = (
@@ -71,7 +72,9 @@ def regular_grid(
     )
     t = us("open_time")
     minute = F.floor((t + MINUTE_US // 2) / MINUTE_US) * MINUTE_US
-    reached = F.array_distinct(F.array(*(F.floor(x / block_us) for x in (minute, t - reach_us, t + reach_us))))
+    # A minute's readings go together, so that each block picks the same one of them.
+    margin = reach_us + MINUTE_US
+    reached = F.array_distinct(F.array(*(F.floor(x / block_us) for x in (minute, t - margin, t + margin))))
     readings = (
         bars.where("symbol IS NOT NULL AND open_time IS NOT NULL AND close IS NOT NULL AND volume IS NOT NULL AND NOT isnan(close) AND NOT isnan(volume)")
         .select("symbol", F.explode(reached).alias("block"), F.lit(1).alias("kind"), t.alias("t"), minute.alias("until"), "close", "volume", us("ingested_at").alias("came"), F.col("bar_id").alias("id"))

@@ -216,10 +216,10 @@ def consistent_bars(files: DataFrame, rows: DataFrame) -> DataFrame:
     """
     # The header joins once by file; a hot file is split by the adaptive skew join.
     known = files.select("file_id", "feed", "file_seq", "symbol", "file_format", "header")
-    names = F.transform(F.split(F.regexp_replace("header", "^\ufeff", ""), ",", -1), F.trim)
+    names = F.transform(F.split(F.regexp_replace("header", "^\ufeff", ""), ",", -1), lambda x: F.trim(x))
     joined = rows.select("file_id", "row_no", "record").join(known, "file_id")
     csv = F.transform(
-        F.arrays_zip(names.alias("name"), F.transform(F.split("record", ",", -1), F.trim).alias("value")),
+        F.arrays_zip(names.alias("name"), F.transform(F.split("record", ",", -1), lambda x: F.trim(x)).alias("value")),
         lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")),
     )
     json = F.transform(

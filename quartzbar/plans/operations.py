@@ -31,7 +31,7 @@ def gap_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 def kline_messages(spark: SparkSession, d: str) -> DataFrame:
     """Bars written as stream messages, every tenth still open, and parsed again."""
-    b = table(spark, d, "bars").where("NOT isnan(close)")
+    b = table(spark, d, "bars").where("close IS NOT NULL AND NOT isnan(close)")
     text = lambda c: F.col(c).cast("string")
     k = F.struct(
         F.floor(F.unix_micros(F.col("open_time").cast("timestamp")) / 1000).alias("t"), text("open").alias("o"), text("high").alias("h"), text("low").alias("l"), text("close").alias("c"),
@@ -99,7 +99,7 @@ WITH e AS ({_GAPS}) SELECT 'desync' AS rule, symbol, minute FROM e WHERE kind =
 """,
     "kline_messages": """
 SELECT symbol, epoch_us(open_time) // 1000 * 1000 AS t_us, open, high, low, close, volume, quote_volume, CAST(number_of_trades AS DOUBLE) AS number_of_trades, taker_buy_base_volume
-FROM bars WHERE NOT isnan(close) AND bar_id % 10 <> 0
+FROM bars WHERE close IS NOT NULL AND NOT isnan(close) AND bar_id % 10 <> 0
 """,
     "kline_rows": r"""
 WITH r AS (SELECT string_split(record, ',') AS a FROM archive_records WHERE regexp_full_match(record, '[0-9]+(,[0-9.]+){11}'))
