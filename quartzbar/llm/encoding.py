@@ -149,7 +149,7 @@ class Encoder:
             self.learn(fresh, first)
         rows = {"doc": np.concatenate(docs), "place": np.concatenate(places), "word": np.array(numbers, dtype=np.int32)}
         self.db.register("places", pa.table(rows))
-        table = self.db.execute(_DECODE).to_arrow_table()
+        table = self.db.sql(_DECODE).to_arrow_table()
         self.db.unregister("places")
         for d, ids in zip(table.column(0).to_pylist(), table.column(1).to_pylist()):
             out[d] = ids
