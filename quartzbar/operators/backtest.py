@@ -103,7 +103,7 @@ def breakdown(trades: DataFrame) -> DataFrame:
     win, loss = F.when(F.col("net") > 0, F.col("net")), F.when(F.col("net") <= 0, -F.col("net"))
     out = trades.groupingSets([[s], [sd], [r], [sd, r], []], *keys).agg(
         F.count(F.lit(1)).alias("trades"), F.coalesce(F.avg((F.col("net") > 0).cast("int")), F.lit(0.0)).alias("win_rate"),
-        F.coalesce(F.sum(win) / F.sum(loss), F.lit(0.0)).alias("profit_factor"), (F.exp(F.sum(F.log1p("net"))) - 1).alias("compounded"), F.avg("net").alias("mean_net"),
+        F.coalesce(F.sum(win) / F.nullif(F.sum(loss), F.lit(0.0)), F.lit(0.0)).alias("profit_factor"), (F.exp(F.sum(F.log1p("net"))) - 1).alias("compounded"), F.avg("net").alias("mean_net"),
     )
     return out.select(
         F.coalesce("symbol", F.lit("all")).alias("symbol"), F.coalesce(F.col("side").cast("string"), F.lit("all")).alias("side"), F.coalesce("reason", F.lit("all")).alias("reason"),

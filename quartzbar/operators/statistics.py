@@ -75,7 +75,7 @@ def threshold_search(scored: DataFrame, gain: float, loss: float, steps: int = 2
 def decision_band(scored: DataFrame, threshold: float, break_even: float) -> DataFrame:
     """One row: rows at or above a threshold, their share, their hit rate and its distance from break-even."""
     band = F.when(F.col("p") >= threshold, 1)
-    hits = F.coalesce(F.sum(band * F.col("y")) / F.sum(band), F.lit(0.0))
+    hits = F.coalesce(F.sum(band * F.col("y")) / F.nullif(F.sum(band), F.lit(0)), F.lit(0.0))
     return scored.agg(F.coalesce(F.sum(band), F.lit(0)).alias("rows"), F.coalesce(F.sum(band) / F.count(F.lit(1)), F.lit(0.0)).alias("share"), hits.alias("hit_rate"), (hits - break_even).alias("edge"))
 
 

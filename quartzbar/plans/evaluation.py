@@ -310,7 +310,7 @@ SELECT symbol, idx, {_one("u", "up_smooth")}, {_one("d", "down_smooth")}, CASE W
     "backtest_trades": _TRADES + f"SELECT symbol, entry_idx, exit_idx, side, reason, {_one('gross', 'gross', 8)}, {_one('net', 'net', 8)} FROM trades",
     "backtest_breakdown": _TRADES + f"""
 SELECT coalesce(symbol, 'all') AS symbol, coalesce(CAST(side AS VARCHAR), 'all') AS side, coalesce(reason, 'all') AS reason, count(*) AS trades,
-       {_one("avg(CASE WHEN net > 0 THEN 1 ELSE 0 END)", "win_rate")}, {_one("coalesce(sum(net) FILTER (net > 0) / sum(-net) FILTER (net <= 0), 0)", "profit_factor")},
+       {_one("avg(CASE WHEN net > 0 THEN 1 ELSE 0 END)", "win_rate")}, {_one("coalesce(sum(net) FILTER (net > 0) / nullif(sum(-net) FILTER (net <= 0), 0), 0)", "profit_factor")},
        {_one("exp(sum(ln(1 + net))) - 1", "compounded")}, {_one("avg(net)", "mean_net")}
 FROM trades GROUP BY GROUPING SETS ((symbol), (side), (reason), (side, reason), ())
 """,
