@@ -101,7 +101,9 @@ def rank_correlation(rows: DataFrame, features: list[str], target: str, least: i
     long = wide.unpivot(["symbol", "idx"], names, "name", "value").withColumn("key", F.concat_ws("/", "symbol", "name"))
     ranks = mean_ranks(long, "key", "value", "rank")
     per_row = ranks.groupBy("symbol", "idx").agg(*(F.max(F.when(F.col("name") == n, F.col("rank"))).alias(n) for n in names))
-    s = per_row.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), *(F.corr(f, target).alias(f"ic_{f}") for f in features))
+    # corr() refuses a column without variance.
+    corr = lambda f: F.covar_pop(f, target) / F.nullif(F.stddev_pop(f) * F.stddev_pop(target), F.lit(0.0))
+    s = per_row.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), *(corr(f).alias(f"ic_{f}") for f in features))
     out = s.select("symbol", "n", *(F.col(f"ic_{f}").alias(f) for f in features)).unpivot(["symbol", "n"], features, "feature", "ic")
     return out.withColumn("ic", F.when((F.col("n") >= least) & F.col("ic").isNotNull() & ~F.isnan("ic"), F.col("ic")).otherwise(0.0))
 
