@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 #: Characters of a rule's context before the place.
 REACH = 48
 _LINE = regex.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
-_HEADING = regex.compile(r"\s*#")
+#: A run of signs in a wrapped line is no heading.
+_HEADING = regex.compile(r"\s*#{1,6}(?:\s|$)")
 _LOG = regex.compile(r"\s*\[?[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}")
 _ITEM = regex.compile(r"\s*(?:[-*•‣◦▪·–—+]|[0-9]{1,3}[.)]|\([0-9a-z]{1,3}\))\s+(?=\S)")
 _WORD = regex.compile(r"[\p{L}\p{N}]")
@@ -51,7 +52,8 @@ def rule(breaks: bool, before: str, after: str = "") -> Rule:
     return Rule(breaks, regex.compile(f"(?:{before})\\Z"), regex.compile(after))
 
 
-_NAMED = r"(?<![\p{L}\p{N}_.])"
+#: The beginning of a word; it may follow a sentence without a blank.
+_NAMED = r"(?:(?<![\p{L}\p{N}_.])|(?<=[\p{Ll})]{2}\.))"
 #: The next word is an identifier of code, whose lower case says nothing.
 _CODE = r"\s*[\p{Ps}\p{Pi}\"]*[a-z][a-z0-9]*(?:_[a-z0-9]+)+"
 _LOWER = r"\s*[\p{Ps}\p{Pi}\p{Pd}\"¿¡\s]*\p{Ll}"
@@ -62,7 +64,7 @@ TABLES: dict[str, list[Rule]] = {
         # A mark in the middle of a number, a name or a file name is none.
         rule(False, r"[.!?…]", r"[\p{Ll}\p{N}_/\\-]"),
         # A missing blank between two sentences.
-        rule(True, r"(?<![\p{L}\p{N}_.])[\p{L}\p{N}’'-]*[\p{Ll}\p{N}%)][.!?…]+[\"”»)]*", r"\p{Lu}\p{Ll}*(?:\s|[.…]{3})"),
+        rule(True, r"(?<![\p{L}\p{N}_.])[\p{L}\p{N}’'-]*[\p{Ll}\p{N}%)][.!?…]+[\"”»)]*", r"\p{Lu}\p{Ll}*(?:\s|[.…]{3}|[’'])|\p{Lu}\p{Ll}+[.!?](?:\s|$)"),
         rule(False, r"[.]", r"[^\s\p{Lo}]"),
     ],
     "en": [

@@ -49,6 +49,13 @@ def test_structure():
 
 def test_missing_blank_between_sentences():
     assert parts("Call it after.By 07:26, replay.rs v1.2.X ended.The rest held.") == ["Call it after.", "By 07:26, replay.rs v1.2.X ended.", "The rest held."]
+    assert parts("It had not broken.No. They held.They’ve won.Fine! In the U.S. session, z.B. hier.Dr. Lane ran it.") == [
+        "It had not broken.", "No.", "They held.", "They’ve won.", "Fine!", "In the U.S. session, z.B. hier.", "Dr. Lane ran it.",
+    ]
+
+
+def test_a_wrapped_run_of_signs_is_no_heading():
+    assert parts("Payload\n########## was dropped.\n## Next") == ["Payload\n########## was dropped.", "## Next"]
 
 
 @pytest.mark.parametrize("text", [None, "", " ", "\n　\n", "...", "👍 !!", "—"])
