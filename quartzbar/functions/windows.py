@@ -22,6 +22,25 @@ def frame(expression: str, keys: str, order: str = "idx") -> str:
     return _FRAME.sub(over, expression)
 
 
+#: A call over a frame; its arguments hold no call with arguments of its own.
+_CALL = re.compile(r"\w+\([^()]*(?:\([^()]*\)[^()]*)*\) @\d*")
+
+
+def shared(layer: dict[str, str], keys: str, order: str = "idx") -> tuple[dict[str, str], dict[str, str]]:
+    """(window columns, expressions over them) of a layer, each distinct window call once.
+
+    An engine evaluates every window call it is given; means and deviations that several features use would
+    be computed anew for each.
+    """
+    names: dict[str, str] = {}
+
+    def name(m: re.Match) -> str:
+        return names.setdefault(m[0], f"_w{len(names)}")
+
+    rest = {n: _CALL.sub(name, e) for n, e in layer.items()}
+    return {n: frame(call, keys, order) for call, n in names.items()}, rest
+
+
 def ratio(a: str, b: str) -> str:
     """a / b, and 0 where b is 0 or either is missing."""
     return f"coalesce(({a}) / nullif({b}, 0), 0)"

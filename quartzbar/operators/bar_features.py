@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzbar.functions.windows import frame, from_row, ratio, rounded, slope, spread, strict, to_mean, zscore
+from quartzbar.functions.windows import frame, from_row, ratio, rounded, shared, slope, spread, strict, to_mean, zscore
 from quartzbar.operators.timeline import in_chunks
 
 _LN_HL, _LN_CO = "ln(high / low)", "ln(close / open)"
@@ -26,6 +26,7 @@ def _denominator(*names: str) -> str:
 #: Fixed value: the dead band of the direction of the previous horizon.
 DEAD_BAND = 0.001
 
+KEYS = "symbol, chunk"
 LAYERS: list[dict[str, str]] = [
     {
         "ret1": _return(1),
@@ -167,13 +168,20 @@ FAMILIES: dict[str, dict[str, str]] = {
 def with_features(timeline: DataFrame, *families: str) -> DataFrame:
     """The timeline's symbol, idx and the features of the families."""
     rows = in_chunks(timeline)
-    keys = "symbol, chunk"
-    for layer in LAYERS:
-        rows = rows.withColumns({n: F.expr(frame(e, keys)) for n, e in layer.items()})
     wanted = {n: e for f in families for n, e in FAMILIES[f].items()}
-    # Computed names first under others: a feature may share the name of a column it is made of.
-    rows = rows.select("symbol", "idx", "core", *(F.expr(frame(e, keys)).alias(n) for n, e in wanted.items()))
-    return rows.where("core").drop("core")
+    for layer in LAYERS:
+        rows = _apply(rows, layer)
+    # Features are named at last: one may share the name of a column that others are made of.
+    calls, rest = shared(wanted, KEYS)
+    rows = rows.withColumns({n: F.expr(e) for n, e in calls.items()}) if calls else rows
+    return rows.where("core").select("symbol", "idx", *(F.expr(e).alias(n) for n, e in rest.items()))
+
+
+def _apply(rows: DataFrame, layer: dict[str, str]) -> DataFrame:
+    calls, rest = shared(layer, KEYS)
+    if calls:
+        rows = rows.withColumns({n: F.expr(e) for n, e in calls.items()})
+    return rows.withColumns({n: F.expr(e) for n, e in rest.items()}).drop(*calls)
 
 
 # Limits by class of feature, and the classes in the order in which names are tried.

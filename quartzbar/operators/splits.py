@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzbar.operators.asof import prefix_sums
+from quartzbar.session import checkpointed
 
 BLOCK = 8192
 
@@ -17,10 +18,11 @@ def uniqueness_weights(samples: DataFrame) -> DataFrame:
     steps = samples.select("symbol", F.col("start").alias("idx"), F.lit(1).alias("d")).unionByName(
         samples.select("symbol", (F.col("end") + 1).alias("idx"), F.lit(-1).alias("d"))
     )
-    steps = steps.groupBy("symbol", "idx").agg(F.sum("d").alias("d"))
+    # Sums and neighbours read the steps several times; they are few beside what made the samples.
+    steps = checkpointed(steps.groupBy("symbol", "idx").agg(F.sum("d").alias("d")))
     running = prefix_sums(steps, "symbol", "idx", {"concurrency": F.col("d")}, BLOCK)
     # Between two steps the concurrency stays: the integral of its inverse needs the steps only.
-    lengths = _following(running, "symbol", "idx")
+    lengths = _following(checkpointed(running), "symbol", "idx")
     inverse = lengths.withColumn("area", F.when(F.col("concurrency") > 0, (F.coalesce("following", "idx") - F.col("idx")) / F.col("concurrency")).otherwise(0.0))
     total = prefix_sums(inverse, "symbol", "idx", {"upto": F.col("area")}, BLOCK)
     at = total.select("symbol", "idx", (F.col("upto") - F.col("area")).alias("integral"))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzbar.functions.windows import frame
+from quartzbar.functions.windows import frame, shared
 
 FRAMES = {"15m": 15, "1h": 60, "4h": 240}
 HISTORY = 24
@@ -88,10 +88,11 @@ def _wanted(tf: str) -> dict[str, str]:
 def indicators(buckets: DataFrame, tf: str) -> DataFrame:
     """symbol, bucket and the indicators of one timeframe."""
     rows = buckets
-    fill = lambda e: F.expr(frame(e, "symbol", "bucket"))
     for layer in LAYERS:
-        rows = rows.withColumns({n: fill(e) for n, e in layer.items()})
-    return rows.select("symbol", "bucket", *(fill(e).cast("double").alias(n) for n, e in _wanted(tf).items()))
+        rows = rows.withColumns({n: F.expr(frame(e, "symbol", "bucket")) for n, e in layer.items()})
+    calls, rest = shared(_wanted(tf), "symbol", "bucket")
+    rows = rows.withColumns({n: F.expr(e) for n, e in calls.items()})
+    return rows.select("symbol", "bucket", *(F.expr(e).cast("double").alias(n) for n, e in rest.items()))
 
 
 def onto_minutes(timeline: DataFrame, tf: str) -> DataFrame:
