@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzbar.functions.fields import ARCHIVE_CSV_FIELDS, EPOCH_FIELDS, QUANTITY_OF, SPELLINGS
+from quartzbar.session import checkpointed
 
 BOOL, INT_S, INT_MS, INT_US, DECIMAL, TEXT = (1 << i for i in range(6))
 INTEGER = INT_S | INT_MS | INT_US
@@ -142,7 +143,8 @@ def path_unions(files: DataFrame, rows: DataFrame) -> DataFrame:
 
 def file_schemas(files: DataFrame, rows: DataFrame) -> DataFrame:
     """One row per file and quantity: feed, file_seq, file_id, field, names, mask, type (carried if no value)."""
-    paths = path_unions(files, rows).withColumn("field", quantity(F.col("name")))
+    # A few rows per file, read several times from here on: the records are read once.
+    paths = checkpointed(path_unions(files, rows)).withColumn("field", quantity(F.col("name")))
     fields = paths.groupBy("file_id", "field").agg(
         F.array_sort(F.collect_set("name")).alias("names"), F.bit_or("mask").alias("mask")
     )
