@@ -17,12 +17,13 @@ def fit_centroids(rows: DataFrame, features: list[str], label: str) -> dict[str,
     return {f: (value(f"{f}_1"), value(f"{f}_0"), value(f"{f}_s"), 0.0) for f in features}
 
 
-def centroid_probability(model: dict[str, tuple[float, float, float, float]]) -> Column:
+def centroid_probability(model: dict[str, tuple[float, float, float, float]], columns: dict[str, Column] | None = None) -> Column:
     """Probability of class 1: a logistic of the projection on the line between the centroids, from their middle."""
+    columns = columns or {f: F.col(f) for f in model}
     z = F.lit(0.0)
     for f, (a, b, s, _) in model.items():
         if s > 1e-9 * max(1.0, abs(a), abs(b)):
-            x = F.coalesce(F.col(f).cast("double"), F.lit((a + b) / 2))
+            x = F.coalesce(columns[f].cast("double"), F.lit((a + b) / 2))
             z = z + (a - b) / (s * s) * (x - (a + b) / 2)
     z = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), z))
     return 1 / (1 + F.exp(-z))
