@@ -130,6 +130,8 @@ def path_unions(files: DataFrame, rows: DataFrame) -> DataFrame:
         .groupBy("file_id", "form", "path")
         .agg(F.coalesce(F.bit_or("bit"), F.lit(0)).alias("mask"))
     )
+    # A few rows per file, read several times from here on; the records are read once.
+    votes = checkpointed(votes)
     known = files.select("file_id", F.col("file_format").alias("form"))
     votes = votes.join(known, ["file_id", "form"])
     json_paths = votes.where("form = 'jsonl'").select("file_id", F.trim("path").alias("name"), "mask")
@@ -143,8 +145,7 @@ def path_unions(files: DataFrame, rows: DataFrame) -> DataFrame:
 
 def file_schemas(files: DataFrame, rows: DataFrame) -> DataFrame:
     """One row per file and quantity: feed, file_seq, file_id, field, names, mask, type (carried if no value)."""
-    # A few rows per file, read several times from here on: the records are read once.
-    paths = checkpointed(path_unions(files, rows)).withColumn("field", quantity(F.col("name")))
+    paths = path_unions(files, rows).withColumn("field", quantity(F.col("name")))
     fields = paths.groupBy("file_id", "field").agg(
         F.array_sort(F.collect_set("name")).alias("names"), F.bit_or("mask").alias("mask")
     )
