@@ -67,12 +67,16 @@ def diagnostics(rows: DataFrame, label: str) -> DataFrame:
     edge = F.coalesce((F.lag(label).over(inside) != F.col(label)).cast("int"), F.lit(1))
     numbered = blocked.withColumn("_e", edge).withColumn("_run", F.sum("_e").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     runs = numbered.groupBy("symbol", "chunk", "_run", label).agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("a"))
-    # Runs are far fewer than rows; those that only a block's border parted are one.
+    # Only a chunk's first and last run can go on in its neighbours: two rows per chunk are looked at in order.
+    ends = Window.partitionBy("symbol", "chunk")
+    runs = runs.withColumn("_edge", (F.col("_run") == F.min("_run").over(ends)) | (F.col("_run") == F.max("_run").over(ends)))
     ordered = Window.partitionBy("symbol").orderBy("a")
-    joined = runs.withColumn("_new", F.coalesce((F.lag(label).over(ordered) != F.col(label)).cast("int"), F.lit(1)))
-    joined = joined.withColumn("_g", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = joined.groupBy("symbol", "_g", label).agg(F.sum("n").alias("n"))
-    return whole.groupBy("symbol", label).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("entries"), F.max("n").alias("longest_run"))
+    goes_on = (F.lag(label).over(ordered) == F.col(label)) & (F.lag(F.col("a") + F.col("n")).over(ordered) == F.col("a"))
+    edges = runs.where("_edge").withColumn("_new", F.when(goes_on, 0).otherwise(1))
+    edges = edges.withColumn("_g", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = edges.groupBy("symbol", "_g", label).agg(F.sum("n").alias("n")).select("symbol", label, "n")
+    every = whole.unionByName(runs.where("NOT _edge").select("symbol", label, "n"))
+    return every.groupBy("symbol", label).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("entries"), F.max("n").alias("longest_run"))
 
 
 def smoothed(rows: DataFrame, names: list[str], n: int = 30) -> DataFrame:

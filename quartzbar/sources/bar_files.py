@@ -170,15 +170,22 @@ def read_regime_periods(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+MOST_PERIODS = 1000
+
+
 def with_periods(rows: DataFrame, periods: DataFrame, default: str = "range") -> DataFrame:
     """rows (open_time, ...) with the regime of the first period they are in.
 
-    Periods are a file of a few dates; they are turned into one array that every row looks through, so the
-    range join needs no shuffle of rows.
+    Periods are a file of a few dates: they are read by the driver, MOST_PERIODS at most (more are refused), and
+    every row looks through them as one literal, so the range join shuffles nothing.
     """
-    few = periods.agg(F.array_sort(F.collect_list(F.struct("rank", "start", "end_exclusive", "regime"))).alias("periods"))
-    inside = F.filter("periods", lambda p: (p["start"] <= F.col("open_time")) & (F.col("open_time") < p["end_exclusive"]))
-    return rows.join(F.broadcast(few)).withColumn("regime", F.coalesce(F.get(inside, F.lit(0))["regime"], F.lit(default))).drop("periods")
+    few = periods.orderBy("rank").limit(MOST_PERIODS + 1).collect()
+    if len(few) > MOST_PERIODS:
+        raise BadBars(f"more than {MOST_PERIODS} periods")
+    found = F.lit(default)
+    for p in reversed(few):
+        found = F.when((F.col("open_time") >= F.lit(p.start)) & (F.col("open_time") < F.lit(p.end_exclusive)), p.regime).otherwise(found)
+    return rows.withColumn("regime", found)
 
 
 def synthetic_bars(spark: SparkSession, n: int, start: str = "2026-01-01 00:00:00", missing: tuple[int, ...] = (37, 38, 119, 177)) -> DataFrame:
