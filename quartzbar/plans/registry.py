@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quartzbar.plans import bars, evaluation, governing, learning_data, operations, raw_data
+from quartzbar.plans import bars, checks, evaluation, governing, learning_data, operations, raw_data
 
-MODULES = (raw_data, bars, learning_data, evaluation, governing, operations)
+MODULES = (raw_data, bars, learning_data, evaluation, governing, operations, checks)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 FLAGSHIP = "canonical_timeline"
