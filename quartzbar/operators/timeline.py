@@ -49,7 +49,10 @@ def validation_counts(bars: DataFrame) -> DataFrame:
 
 
 def valid_bars(bars: DataFrame) -> DataFrame:
-    """symbol, m (minute since 1970), prices and volumes: one valid bar per symbol and minute."""
+    """symbol, day, m (days and minutes since 1970), prices and volumes: one valid bar per symbol and minute.
+
+    Rows are shuffled once, by symbol and day; what needs a minute, a day or its neighbours finds them there.
+    """
     t = F.unix_micros(F.col("open_time").cast("timestamp"))
     picked = bars.where(ohlcv_ok() & F.col("symbol").isNotNull() & F.col("open_time").isNotNull()).select(
         "symbol",
@@ -61,13 +64,14 @@ def valid_bars(bars: DataFrame) -> DataFrame:
             *(F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in VOLUMES),
         ).alias("b"),
     )
-    # The greatest struct is the last delivered; it is combined before the shuffle.
-    return picked.groupBy("symbol", "m").agg(F.max("b").alias("b")).select("symbol", "m", *(f"b.{c}" for c in (*PRICES, *VOLUMES)))
+    placed = picked.withColumn("day", F.floor(F.col("m") / DAY)).repartition("symbol", "day")
+    # The greatest struct is the last delivered.
+    return placed.groupBy("symbol", "day", "m").agg(F.max("b").alias("b")).select("symbol", "day", "m", *(f"b.{c}" for c in (*PRICES, *VOLUMES)))
 
 
 def canonical(valid: DataFrame) -> DataFrame:
     """Dense minutes per symbol: idx, m, prices, volumes, gap_flag, gap_length, repaired."""
-    v = valid.withColumn("day", F.floor(F.col("m") / DAY))
+    v = valid if "day" in valid.columns else valid.withColumn("day", F.floor(F.col("m") / DAY))
     firsts = v.groupBy("symbol", "day").agg(F.min("m").alias("first"))
     by_symbol = Window.partitionBy("symbol").orderBy("day")
     days = firsts.select(
