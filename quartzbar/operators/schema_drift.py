@@ -65,10 +65,13 @@ def type_name(mask: Column, field: Column) -> Column:
     )
 
 
-def alternatives(mask: Column) -> Column:
-    """The alternatives of a tagged union, as an array of names."""
-    names = {BOOL: "boolean", INT_S: "int_s", INT_MS: "int_ms", INT_US: "int_us", DECIMAL: "decimal", TEXT: "text"}
-    return F.array_compact(F.array(*(F.when(mask.bitwiseAND(F.lit(b)) != 0, n) for b, n in names.items())))
+def alternatives(mask: Column, field: Column) -> Column:
+    """The alternatives of a tagged union, as an array of names; integers have a unit in epoch fields only."""
+    epoch = field.isin(*EPOCH_FIELDS)
+    has = lambda bits: mask.bitwiseAND(F.lit(bits)) != 0
+    units = [F.when(epoch & has(b), n) for b, n in ((INT_S, "int_s"), (INT_MS, "int_ms"), (INT_US, "int_us"))]
+    names = [F.when(has(BOOL), "boolean"), F.when(~epoch & has(INTEGER), "integer"), *units, F.when(has(DECIMAL), "decimal"), F.when(has(TEXT), "text")]
+    return F.array_compact(F.array(*names))
 
 
 def quantity(name: Column) -> Column:
@@ -144,7 +147,10 @@ def path_unions(files: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def file_schemas(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row per file and quantity: feed, file_seq, file_id, field, names, mask, type (carried if no value)."""
+    """One row per file and quantity: feed, file_seq, file_id, field, names, mask, type and known (both carried if no value).
+
+    known is the mask of the last file with a value.
+    """
     paths = path_unions(files, rows).withColumn("field", quantity(F.col("name")))
     fields = paths.groupBy("file_id", "field").agg(
         F.array_sort(F.collect_set("name")).alias("names"), F.bit_or("mask").alias("mask")
@@ -157,13 +163,18 @@ def file_schemas(files: DataFrame, rows: DataFrame) -> DataFrame:
     seen = seen.withColumn("start", F.when(F.lag("k").over(path) == F.col("k") - 1, 0).otherwise(1))
     seen = seen.withColumn("run", F.sum("start").over(path))
     stay = Window.partitionBy("feed", "field", "run").orderBy("k")
-    return seen.withColumn("type", F.last("own", ignorenulls=True).over(stay)).select(
-        "feed", "file_seq", "file_id", "k", "field", "names", "mask", "own", "type"
+    known = F.coalesce(F.last(F.when(F.col("mask") != 0, F.col("mask")), ignorenulls=True).over(stay), F.lit(0))
+    return seen.withColumn("type", F.last("own", ignorenulls=True).over(stay)).withColumn("known", known).select(
+        "feed", "file_seq", "file_id", "k", "field", "names", "mask", "own", "type", "known"
     )
 
 
 def schema_changes(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """file_id, field, change (added, removed, renamed, retyped), with names and types before and after."""
+    """file_id, field, change (added, removed, renamed, retyped, alternative), with names and types before and after.
+
+    An alternative is one that the file before, or the last one with a value, lacks. It has a row of its own
+    unless it changes the type or comes with an added quantity: then it stands in that row.
+    """
     schemas = file_schemas(files, rows)
     path = Window.partitionBy("feed", "field").orderBy("k")
     by_feed = Window.partitionBy("feed").orderBy("file_seq", "file_id")
@@ -173,7 +184,8 @@ def schema_changes(files: DataFrame, rows: DataFrame) -> DataFrame:
         .withColumn("after_k", F.lead("k").over(path))
         .withColumn("before_names", F.when(F.col("before_k") == F.col("k") - 1, F.lag("names").over(path)))
         .withColumn("before_type", F.when(F.col("before_k") == F.col("k") - 1, F.lag("type").over(path)))
-        .withColumn("before_mask", F.when(F.col("before_k") == F.col("k") - 1, F.lag("mask").over(path)))
+        .withColumn("before_mask", F.when(F.col("before_k") == F.col("k") - 1, F.lag("known").over(path)))
+        .withColumn("new_alternatives", F.array_except(alternatives(F.col("mask"), F.col("field")), alternatives(F.coalesce("before_mask", F.lit(0)), F.col("field"))))
     )
     present = s.select(
         "feed", "file_id", "field",
@@ -181,9 +193,9 @@ def schema_changes(files: DataFrame, rows: DataFrame) -> DataFrame:
             F.when((F.col("k") > 1) & F.col("before_names").isNull(), "added"),
             F.when(F.col("before_names").isNotNull() & (F.col("before_names") != F.col("names")), "renamed"),
             F.when(F.col("before_type") != F.col("type"), "retyped"),
+            F.when(F.col("before_names").isNotNull() & (F.size("new_alternatives") > 0) & (F.coalesce("before_type", "type") == F.col("type")), "alternative"),
         ))).alias("change"),
-        "before_names", "names", "before_type", "type",
-        F.array_except(alternatives(F.col("mask")), alternatives(F.coalesce("before_mask", F.lit(0)))).alias("new_alternatives"),
+        "before_names", "names", "before_type", "type", "new_alternatives",
     )
     # What the next file of the feed lacks came to its end there.
     gone = (
@@ -211,11 +223,31 @@ def _instant(value: Column) -> Column:
     )
 
 
+def branch(value: Column, kind: Column) -> Column:
+    """A value in the typed branch of its alternative; integers beyond 64 bits are decimals, blanks are text."""
+    bit = F.coalesce(alternative(value, kind), F.lit(TEXT))
+    whole = F.when(bit.bitwiseAND(F.lit(INTEGER)) != 0, value.try_cast("bigint"))
+    number = F.when((bit.bitwiseAND(F.lit(INTEGER | DECIMAL)) != 0) & whole.isNull(), value.try_cast("double"))
+    name = F.when(bit == BOOL, "boolean").when(whole.isNotNull(), "integer").when(number.isNotNull(), "decimal").otherwise("text")
+    return F.struct(
+        name.alias("alternative"), F.when(bit == BOOL, value.try_cast("boolean")).alias("boolean"), whole.alias("integer"),
+        number.alias("decimal"), F.when(name == "text", value).alias("text"),
+    )
+
+
+_CELL_MAP = "map<string,struct<kind:string,value:string>>"
+
+
+def _one(x: Column) -> Column:
+    return F.create_map(x["name"], F.struct(x["kind"].alias("kind"), x["value"].alias("value")))
+
+
 def consistent_bars(files: DataFrame, rows: DataFrame) -> DataFrame:
     """All records of all files in one bar table.
 
-    Each quantity has its canonical column and, where a value could not be converted, the typed branch
-    ``unconverted`` (map of quantity to text) keeps it; quantities outside the bar are in ``extras``.
+    Each quantity has its canonical column and, where a value could not be converted, ``unconverted`` (map of
+    quantity to text) keeps it; quantities outside the bar are in ``extras`` (map of name to text). ``branches``
+    has the values of both by their alternative, each in the typed branch of it.
     """
     # The header joins once by file; a hot file is split by the adaptive skew join.
     known = files.select("file_id", "feed", "file_seq", "symbol", "file_format", "header")
@@ -223,11 +255,11 @@ def consistent_bars(files: DataFrame, rows: DataFrame) -> DataFrame:
     joined = rows.select("file_id", "row_no", "record").join(known, "file_id")
     csv = F.transform(
         F.arrays_zip(names.alias("name"), F.transform(F.split("record", ",", -1), lambda x: F.trim(x)).alias("value")),
-        lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")),
+        lambda x: F.struct(x["name"].alias("name"), F.lit("cell").alias("kind"), x["value"].alias("value")),
     )
     json = F.transform(
         _members(F.col("record")),
-        lambda x: F.struct(F.trim(x["name"]).alias("name"), F.when(~((x["kind"] == "bare") & (x["value"] == "null")), x["value"]).alias("value")),
+        lambda x: F.struct(F.trim(x["name"]).alias("name"), x["kind"].alias("kind"), F.when(~((x["kind"] == "bare") & (x["value"] == "null")), x["value"]).alias("value")),
     )
     entries = F.filter(
         F.when(F.col("file_format") == "csv", csv).otherwise(json), lambda x: x["name"].isNotNull() & x["value"].isNotNull() & (x["value"] != "")
@@ -235,14 +267,15 @@ def consistent_bars(files: DataFrame, rows: DataFrame) -> DataFrame:
     # Repeated names: the first value holds.
     firsts = F.aggregate(
         entries,
-        F.lit(None).cast("map<string,string>"),
-        lambda m, x: F.when(m.isNull(), F.create_map(x["name"], x["value"]))
+        F.lit(None).cast(_CELL_MAP),
+        lambda m, x: F.when(m.isNull(), _one(x))
         .when(F.map_contains_key(m, x["name"]), m)
-        .otherwise(F.map_concat(m, F.create_map(x["name"], x["value"]))),
+        .otherwise(F.map_concat(m, _one(x))),
     )
-    bars = joined.withColumn("m", F.coalesce(firsts, F.create_map().cast("map<string,string>")))
-    raw = {f: reduce(lambda a, b: F.coalesce(a, b), [F.try_element_at(F.col("m"), F.lit(n)) for n in names]) for f, names in SPELLINGS.items()}
-    bars = bars.withColumns({f"raw_{f}": c for f, c in raw.items()})
+    bars = joined.withColumn("m", F.coalesce(firsts, F.create_map().cast(_CELL_MAP)))
+    cell = {f: reduce(lambda a, b: F.coalesce(a, b), [F.try_element_at(F.col("m"), F.lit(n)) for n in names]) for f, names in SPELLINGS.items()}
+    bars = bars.withColumns({f"cell_{f}": c for f, c in cell.items()})
+    bars = bars.withColumns({f"raw_{f}": F.col(f"cell_{f}.value") for f in cell})
     out = {}
     for f in ARCHIVE_CSV_FIELDS:
         value = F.col(f"raw_{f}")
@@ -253,10 +286,13 @@ def consistent_bars(files: DataFrame, rows: DataFrame) -> DataFrame:
         else:
             out[f] = _number(value)
     bars = bars.withColumns({f"out_{f}": c for f, c in out.items()})
-    kept = [F.when(F.col(f"raw_{f}").isNotNull() & F.col(f"out_{f}").isNull(), F.struct(F.lit(f).alias("field"), F.col(f"raw_{f}").alias("value"))) for f in ARCHIVE_CSV_FIELDS]
-    extras = F.map_filter("m", lambda k, _: ~k.isin(*QUANTITY_OF))
+    kept = [F.when(F.col(f"raw_{f}").isNotNull() & F.col(f"out_{f}").isNull(), F.struct(F.lit(f).alias("field"), F.col(f"cell_{f}").alias("cell"))) for f in ARCHIVE_CSV_FIELDS]
+    bars = bars.withColumns({"kept": F.map_from_entries(F.array_compact(F.array(*kept))), "others": F.map_filter("m", lambda k, _: ~k.isin(*QUANTITY_OF))})
+    texts = lambda c: F.transform_values(c, lambda _, x: x["value"])
+    # A name of the others can be that of no quantity, so the two maps have no key in common.
+    branches = F.transform_values(F.map_concat("kept", "others"), lambda _, x: branch(x["value"], x["kind"]))
     return bars.select(
         "file_id", "feed", "file_seq", "symbol", "row_no",
         *(F.col(f"out_{f}").alias(f) for f in ARCHIVE_CSV_FIELDS),
-        F.map_from_entries(F.array_compact(F.array(*kept))).alias("unconverted"), extras.alias("extras"),
+        texts("kept").alias("unconverted"), texts("others").alias("extras"), branches.alias("branches"),
     )

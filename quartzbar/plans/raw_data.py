@@ -9,7 +9,8 @@ from quartzbar.session import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.schema_changes(table(spark, d, "feed_files"), table(spark, d, "feed_rows")).select("file_id", "field", "change")
+    changes = schema_drift.schema_changes(table(spark, d, "feed_files"), table(spark, d, "feed_rows"))
+    return changes.where("change <> 'alternative'").select("file_id", "field", "change")
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:

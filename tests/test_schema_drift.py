@@ -57,6 +57,17 @@ def test_empty_and_null(spark):
     assert changes(spark, files, [(None, None), (2, None), (77, "1")]) == {(2, "open", "added")}
 
 
+def test_alternatives_that_leave_the_type_have_rows(spark):
+    files = [(i, "a", i, "csv", h) for i, h in enumerate(("o,note,v,t,c", "o,note,v,t,c", "o,note,v,t,c", "o,note,volume,t,c"), 1)]
+    rows = [(1, "1.5,x,2.5,1577836800,"), (2, "1.5,x,,1577836800,7"), (2, "3,4.5,,1577836800,7"), (3, "3.5,x,2.5,1577836800,7"), (4, "2,6,200000000000,1577836800,8"), (4, "2.5,x,3.5,x,8")]
+    out = schema_changes(*tables(spark, files, rows)).collect()
+    assert {(r.file_id, r.field, r.change, *r.new_alternatives) for r in out} == {
+        (2, "open", "alternative", "integer"), (2, "note", "alternative", "decimal"), (2, "close", "alternative", "integer"), (4, "open", "alternative", "integer"),
+        (4, "note", "alternative", "integer"), (4, "volume", "alternative", "integer"), (4, "volume", "renamed", "integer"), (4, "open_time", "retyped", "text"),
+    }
+    assert len(out) == 8
+
+
 def test_long_values_and_hot_file(spark):
     rows = [(1, "x" * 200_000 + ",1")] + [(1, "1,1")] * 500 + [(2, "1,1")]
     files = [(1, "a", 1, "csv", "o,c"), (2, "a", 2, "csv", "o,c")]
@@ -72,6 +83,18 @@ def test_one_table(spark):
     assert got[2].open_time.isoformat() == "2020-01-01T00:01:00" and got[2].close == 3.0 and got[2].unconverted == {}
 
 
+def test_values_without_a_column_are_in_typed_branches(spark):
+    files = [(1, "a", 1, "jsonl", None), (2, "a", 2, "csv", "o,c,odd")]
+    rows = [(1, '{"o": true, "c": "true", "t": 1.5, "h": 2, "x": -7, "z": 12345678901234567890}'), (2, "abc,2.5,6")]
+    got = {r.file_id: {k: tuple(v) for k, v in r.branches.items()} for r in consistent_bars(*tables(spark, files, rows)).collect()}
+    put = lambda name, i, v: (name, *(v if i == k else None for k in range(4)))
+    assert got[1] == {
+        "open": put("boolean", 0, True), "close": put("text", 3, "true"), "open_time": put("decimal", 2, 1.5),
+        "x": put("integer", 1, -7), "z": put("decimal", 2, 12345678901234567890.0),
+    }
+    assert got[2] == {"open": put("text", 3, "abc"), "odd": put("integer", 1, 6)}
+
+
 @pytest.mark.parametrize("record", ["", " ", ",,,", '{"a": }', "null"])
 def test_odd_records(spark, record):
     changes(spark, [(1, "a", 1, "jsonl", None), (2, "a", 2, "csv", "o")], [(1, record), (2, record)])
