@@ -15,6 +15,8 @@ DIRECTIONS = ("range", "up", "down")
 # Percentiles of the thresholds, the least slope that is a trend, the run that makes a switch.
 RV_PERCENTILE, TREND_PERCENTILE, DIRECTION_PERCENTILE = 0.75, 0.90, 0.55
 LEAST_TREND, SWITCH_AFTER = 1e-5, 3
+# The least mean probability that counts, the run of rows after which it makes a switch.
+CONFIDENCE, PERSISTENCE = 0.45, 60
 
 
 def fit_thresholds(rows: DataFrame) -> DataFrame:
@@ -90,3 +92,38 @@ def smoothed(rows: DataFrame, names: list[str], n: int = 30) -> DataFrame:
     for x in reversed(names):
         pick = F.when(F.col(f"{x}_smooth") == best, x).otherwise(pick)
     return out.withColumn("smoothed", pick).where("core").drop("core", "chunk")
+
+
+def persistence(codes: int, start: int, after: int = PERSISTENCE):
+    """(table, states) over codes 2 * candidate + confident; states (current, pending, count).
+
+    The first row's candidate holds at once if confident, else start; later another one must be confident
+    and the same for ``after`` rows in a row.
+    """
+
+    def step(state, code):
+        candidate, confident = code // 2, code % 2
+        if state is None:
+            return (candidate if confident else start, None, 0)
+        current, pending, count = state
+        if candidate == current or not confident:
+            return (current, None, 0)
+        count = count + 1 if candidate == pending else 1
+        return (candidate, None, 0) if count >= after else (current, candidate, count)
+
+    return transition_table(2 * codes, None, step)
+
+
+def assigned(rows: DataFrame, names: list[str], unsure: str, n: int = 30, confidence: float = CONFIDENCE, after: int = PERSISTENCE) -> DataFrame:
+    """The rows of ``smoothed`` with the regime assigned to each: the greatest mean, if confident and persistent.
+
+    Rows without any probability are not confident.
+    """
+    means = smoothed(rows, names, n)
+    best = F.greatest(*(F.col(f"{x}_smooth") for x in names))
+    candidate = F.array_position(F.array(*map(F.lit, names)), F.col("smoothed")) - 1
+    means = means.withColumn("_code", F.coalesce(2 * candidate + (best >= confidence).cast("int"), F.lit(0)).cast("int"))
+    means = checkpointed(means)
+    table, states = persistence(len(names), names.index(unsure), after)
+    shown = [names[s[0]] if s else "" for s in states]
+    return means.drop("_code").join(scan(means, [Machine("_code", table, shown, "assigned")]), ["symbol", "idx"])

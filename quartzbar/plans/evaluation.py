@@ -107,6 +107,15 @@ def smoothed_probabilities(spark: SparkSession, d: str) -> DataFrame:
     return regimes.smoothed(rows, ["down", "flat", "up"]).selectExpr("symbol", "idx", *rounded(["up_smooth", "down_smooth"]), "smoothed")
 
 
+def smoothed_regimes(spark: SparkSession, d: str) -> DataFrame:
+    """Smoothed probabilities with the regime assigned by confidence and persistence."""
+    rows = bar_features.with_features(canonical(spark, d), "returns").selectExpr(
+        "symbol", "idx", f"round({_P}, 9) AS up", f"round(0.9 - {_P}, 9) AS down", "CAST(0.1 AS DOUBLE) AS range"
+    )
+    s = regimes.assigned(rows, ["down", "range", "up"], "range")
+    return s.selectExpr("symbol", "idx", *rounded(["up_smooth", "range_smooth", "down_smooth"]), "assigned")
+
+
 def _signals(spark: SparkSession, d: str) -> DataFrame:
     base = canonical(spark, d)
     p = bar_features.with_features(base, "returns").select("symbol", "idx", F.expr(f"round({_P}, 9)").alias("p"))
@@ -161,7 +170,7 @@ QUERIES = {
     for f in (
         classification_metrics, reliability_curve, calibration_errors, decision_band, threshold_search, equity_drawdown, rank_correlation,
         half_life, variance_filter, bootstrap_interval, regime_thresholds, market_regimes, regime_diagnostics, regime_confusion,
-        smoothed_probabilities, backtest_trades, backtest_breakdown, centroid_model, platt_calibration, order_blocks, rolling_drift,
+        smoothed_probabilities, smoothed_regimes, backtest_trades, backtest_breakdown, centroid_model, platt_calibration, order_blocks, rolling_drift,
     )
 }
 

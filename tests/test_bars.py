@@ -224,3 +224,35 @@ def test_bootstrap(spark):
     rows = spark.range(5000).selectExpr("CAST(id % 11 AS DOUBLE) AS v")
     r = statistics.bootstrap_interval(rows, "v").first()
     assert r.n == 5000 and r.lower < r["mean"] < r.upper and r.upper - r.lower < 0.4
+
+
+def _assigned(probabilities, names, unsure, n, confidence, after):
+    out, current, pending, run = [], None, None, 0
+    for i in range(len(probabilities)):
+        window = probabilities[max(0, i - n + 1) : i + 1]
+        means = [sum(p[k] for p in window) / len(window) for k in range(len(names))]
+        best = max(range(len(names)), key=lambda k: means[k])
+        sure = means[best] >= confidence
+        if current is None:
+            current = names[best] if sure else unsure
+        elif names[best] == current or not sure:
+            pending, run = None, 0
+        else:
+            pending, run = names[best], run + 1 if names[best] == pending else 1
+            if run >= after:
+                current, pending, run = names[best], None, 0
+        out.append(current)
+    return out
+
+
+@pytest.mark.parametrize("first", [(0.2, 0.2, 0.6), (0.3, 0.3, 0.4)])
+def test_assigned_regimes_against_a_loop(spark, first):
+    rng = np.random.default_rng(5)
+    level = np.repeat(rng.dirichlet([0.7] * 3, 180), rng.integers(5, 190, 180), axis=0)
+    p = np.vstack([[first], rng.dirichlet([2.0] * 3, len(level)) * 0.3 + level * 0.7])
+    names = ["down", "range", "up"]
+    df = spark.createDataFrame(pd.DataFrame(p, columns=names).assign(symbol="S", idx=range(len(p))))
+    got = frame(regimes.assigned(df.select("symbol", "idx", *names), names, "range"))
+    want = _assigned(p.tolist(), names, "range", 30, 0.45, 60)
+    assert len(p) > timeline.CHUNK and got.assigned.tolist() == want
+    assert len(set(want)) == 3 and want != got.smoothed.tolist()
