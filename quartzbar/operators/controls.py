@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzbar.operators.asof import prefix_sums
+from quartzbar.operators.scan import Machine, scan, transition_table
 from quartzbar.operators.splits import sample_numbers
 from quartzbar.operators.timeline import in_chunks
 from quartzbar.session import checkpointed
@@ -61,3 +62,11 @@ def zone_entries(timeline: DataFrame, blocks: DataFrame, reach: int = 9) -> Data
     hit = ahead.join(timeline.select("symbol", "idx", "close"), ["symbol", "idx"]).where("close BETWEEN zl AND zh")
     best = hit.groupBy("symbol", "idx").agg(F.max(F.struct("block_idx", "side")).alias("b"))
     return best.select("symbol", "idx", "b.block_idx", "b.side")
+
+
+def spaced(rows: DataFrame, flag: str, least: int = 5) -> DataFrame:
+    """symbol, idx of the flagged (1, else 0) of dense rows that are taken: each at least so many rows after the one taken before."""
+    # The state is the number of rows since the last one taken, 0 to least.
+    table, states = transition_table(2, least, lambda since, code: 0 if code and since + 1 >= least else min(since + 1, least))
+    taken = scan(rows, [Machine(flag, table, ["taken" if since == 0 else "" for since in states], "_taken")])
+    return taken.where("_taken = 'taken'").select("symbol", "idx")

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzbar.functions.windows import rounded
-from quartzbar.operators import controls
+from quartzbar.operators import bar_features, controls
 from quartzbar.plans import evaluation
 from quartzbar.plans.bars import CANONICAL_SQL, canonical
 from quartzbar.plans.evaluation import _one, _with_scored, scored
 from quartzbar.plans.learning_data import _LABELS, barrier_labels
+from quartzbar.session import checkpointed
 
 SEED = 11
 
@@ -36,7 +37,33 @@ def order_block_entries(spark: SparkSession, d: str) -> DataFrame:
     return controls.zone_entries(canonical(spark, d), evaluation.order_blocks(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (shuffled_labels, score_bins, flip_rate, detrended_levels, order_block_entries)}
+def _spaced_blocks(base: DataFrame) -> DataFrame:
+    """Order blocks of a timeline, at least five rows apart in order of time; the side is the candle's."""
+    f = bar_features.with_features(base, "candle", "zscores", "activity")
+    keep = (
+        (F.col("body_to_range") >= 0.6) & (F.col("volume_zscore_20") >= 1) & (F.abs("taker_imbalance") >= 0.3)
+        & (F.col("upper_shadow") <= 0.2 * F.col("high_low_range")) & (F.col("lower_shadow") <= 0.2 * F.col("high_low_range"))
+    )
+    rise = base.select("symbol", "idx", F.signum(F.col("close") - F.col("open")).alias("rise"))
+    flagged = f.select("symbol", "idx", F.coalesce(keep.cast("int"), F.lit(0)).alias("keep")).join(rise, ["symbol", "idx"])
+    rows = checkpointed(flagged.select("symbol", "idx", "rise", (F.col("keep") * F.abs("rise")).cast("int").alias("candidate")))
+    side = F.when(F.col("rise") > 0, "bullish").otherwise("bearish")
+    return controls.spaced(rows, "candidate").join(rows, ["symbol", "idx"]).select("symbol", "idx", side.alias("side"))
+
+
+def spaced_order_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _spaced_blocks(canonical(spark, d))
+
+
+def spaced_order_block_entries(spark: SparkSession, d: str) -> DataFrame:
+    base = canonical(spark, d)
+    return controls.zone_entries(base, _spaced_blocks(base))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (shuffled_labels, score_bins, flip_rate, detrended_levels, order_block_entries, spaced_order_blocks, spaced_order_block_entries)
+}
 SQL = {
     "shuffled_labels": f"""
 WITH l AS MATERIALIZED (SELECT symbol, idx, label FROM ({_LABELS})),

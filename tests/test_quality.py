@@ -1,9 +1,12 @@
+from datetime import datetime, timedelta
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quartzbar.operators import quality, regimes, rule_regimes, timeline
+from quartzbar.operators import controls, quality, regimes, rule_regimes, timeline
 from quartzbar.operators.scan import Machine, scan
+from quartzbar.plans import checks
 
 
 def walk(rows, hold):
@@ -112,3 +115,31 @@ def test_chunks_cover_every_row_once(spark):
     rows = spark.range(1000).selectExpr("'S' AS symbol", "id AS idx")
     got = timeline.in_chunks(rows, before=30, after=20, size=64)
     assert got.where("core").count() == 1000 and got.groupBy("chunk").count().agg({"count": "max"}).first()[0] == 64 + 30 + 20
+
+
+def test_spaced_rows_against_a_loop(spark):
+    rng = np.random.default_rng(9)
+    flags = (rng.random(20_000) < 0.4).astype(int)
+    flags[:3] = flags[8190:8196] = 1
+    want, last = [], -5
+    for i, x in enumerate(flags):
+        if x and i - last >= 5:
+            want.append(i)
+            last = i
+    rows = spark.range(len(flags)).selectExpr("'S' AS symbol", "id AS idx").join(
+        spark.createDataFrame([(i, int(x)) for i, x in enumerate(flags)], "idx long, c int"), "idx"
+    )
+    assert sorted(r.idx for r in controls.spaced(rows, "c").collect()) == want
+
+
+def test_order_blocks_are_spaced_and_take_the_side_of_the_candle(spark):
+    t0 = datetime(2026, 1, 1)
+    strong = {25: -8.0, 27: 8.0, 29: 8.0, 30: 8.0, 34: -8.0, 35: 8.0, 37: 0.0}  # bodies; all but one of them with net buying
+    rows = []
+    for i in range(45):
+        body, volume = strong.get(i, 1.0), 200.0 if i in strong else 10.0 + i % 3
+        share = 0.5 if i not in strong else 0.05 if i == 30 else 0.9
+        rows.append(("S", t0 + timedelta(minutes=i), 1000.0, 1001 + max(body, 0.0), 999 + min(body, 0.0), 1000 + body, volume, volume, 9, volume * share, volume * share, t0, i))
+    df = spark.createDataFrame(rows, "symbol string, open_time timestamp, open double, high double, low double, close double, volume double, quote_volume double, number_of_trades long, taker_buy_base_volume double, taker_buy_quote_volume double, ingested_at timestamp, bar_id long")
+    got = checks._spaced_blocks(timeline.canonical(timeline.valid_bars(df))).collect()
+    assert sorted((r.idx, r.side) for r in got) == [(25, "bearish"), (30, "bullish"), (35, "bullish")]
