@@ -16,8 +16,10 @@ each count; further columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,7 @@ _RECORD = re.compile(rf"(?:{_CELL})(?:,(?:{_CELL}))*")
 _EACH = re.compile(_CELL)
 _NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 _START, _OPEN, _QUOTED, _CLOSED = range(4)
+_EPOCH = datetime(1970, 1, 1)
 _FIRST, _END = 1_577_836_800_000_000, 4_102_444_800_000_000  # 2020 and 2100, in microseconds
 
 
@@ -178,3 +181,26 @@ def parse_records(records: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=_OUT)
 
     return records.select("rec_id", "record").mapInArrow(run, _DDL)
+
+
+def row_text(record: str | None) -> str | None:
+    """An accepted record as an API row: a JSON array of its cells, a date and time in full; None for others."""
+    verdict, values = judge(record)
+    if verdict != "ok":
+        return None
+    cells = zero_cost_cells(record.removeprefix("\ufeff").removesuffix("\r"))
+    if not cells[0].isdigit():
+        cells[0] = (_EPOCH + timedelta(microseconds=values["open_time"])).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+    return json.dumps(cells)
+
+
+def api_rows(records: DataFrame) -> DataFrame:
+    """rec_id, row: every accepted record as an API row."""
+    schema = pa.schema([("rec_id", pa.int64()), ("row", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, row_text(record)) for i, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_pylist([{"rec_id": i, "row": row} for i, row in rows if row is not None], schema=schema)
+
+    return records.select("rec_id", "record").mapInArrow(run, "rec_id bigint, row string")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzbar.operators import bar_features, timeframes
+from quartzbar.operators import bad_rows, bar_features, timeframes
 from quartzbar.plans.bars import VALID_SQL, valid
 from quartzbar.session import table
 from quartzbar.sources.bar_files import parse_kline_messages, parse_kline_rows, with_periods
@@ -31,21 +31,38 @@ def gap_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 def kline_messages(spark: SparkSession, d: str) -> DataFrame:
     """Bars written as stream messages, every tenth still open, and parsed again."""
-    b = table(spark, d, "bars").where("close IS NOT NULL AND NOT isnan(close)")
+    return _through_messages(table(spark, d, "bars").where("close IS NOT NULL AND NOT isnan(close)"), F.col("bar_id") % 10 != 0)
+
+
+def closed_kline_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Every bar written as the message of a closed candle and parsed again."""
+    return _through_messages(table(spark, d, "bars"), F.lit(True))
+
+
+def _through_messages(b: DataFrame, closed: Column) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     k = F.struct(
         F.floor(F.unix_micros(F.col("open_time").cast("timestamp")) / 1000).alias("t"), text("open").alias("o"), text("high").alias("h"), text("low").alias("l"), text("close").alias("c"),
         text("volume").alias("v"), text("quote_volume").alias("q"), F.col("number_of_trades").alias("n"), text("taker_buy_base_volume").alias("V"),
-        text("taker_buy_quote_volume").alias("Q"), (F.col("bar_id") % 10 != 0).alias("x"),
+        text("taker_buy_quote_volume").alias("Q"), closed.alias("x"),
     )
     parsed = parse_kline_messages(b.select(F.to_json(F.struct(F.col("symbol").alias("s"), k.alias("k"))).alias("value")), "value")
     return parsed.select("symbol", F.unix_micros("open_time").alias("t_us"), "open", "high", "low", "close", "volume", "quote_volume", "number_of_trades", "taker_buy_base_volume")
 
 
 def kline_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Archive records read as API rows; those that are no whole row are left out."""
+    """Plain archive records (twelve cells of digits and points) read as API rows."""
     r = table(spark, d, "archive_records").where(r"record RLIKE '^[0-9]+(,[0-9.]+){11}\\z'")
-    p = parse_kline_rows(r.select(F.concat(F.lit("["), "record", F.lit("]")).alias("row")), "row")
+    return _from_rows(r.select(F.concat(F.lit("["), "record", F.lit("]")).alias("row")))
+
+
+def archive_kline_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every archive record that is a valid bar, read as an API row."""
+    return _from_rows(bad_rows.api_rows(table(spark, d, "archive_records")))
+
+
+def _from_rows(rows: DataFrame) -> DataFrame:
+    p = parse_kline_rows(rows, "row")
     return p.select(F.unix_micros("open_time").alias("t_us"), "open", "high", "low", "close", "volume", "quote_volume", "number_of_trades")
 
 
@@ -85,7 +102,10 @@ def row_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (gap_events, gap_alerts, kline_messages, kline_rows, bars_in_periods, source_grades, feature_registry, row_hashes)
+    f.__name__: f
+    for f in (
+        gap_events, gap_alerts, kline_messages, closed_kline_messages, kline_rows, archive_kline_rows, bars_in_periods, source_grades, feature_registry, row_hashes,
+    )
 }
 
 _GAPS = f"""
@@ -100,6 +120,9 @@ WITH e AS ({_GAPS}) SELECT 'desync' AS rule, symbol, minute FROM e WHERE kind =
     "kline_messages": """
 SELECT symbol, epoch_us(open_time) // 1000 * 1000 AS t_us, open, high, low, close, volume, quote_volume, CAST(number_of_trades AS DOUBLE) AS number_of_trades, taker_buy_base_volume
 FROM bars WHERE close IS NOT NULL AND NOT isnan(close) AND bar_id % 10 <> 0
+""",
+    "closed_kline_messages": """
+SELECT symbol, epoch_us(open_time) // 1000 * 1000 AS t_us, open, high, low, close, volume, quote_volume, CAST(number_of_trades AS DOUBLE) AS number_of_trades, taker_buy_base_volume FROM bars
 """,
     "kline_rows": r"""
 WITH r AS (SELECT string_split(record, ',') AS a FROM archive_records WHERE regexp_full_match(record, '[0-9]+(,[0-9.]+){11}'))

@@ -7,7 +7,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quartzbar.functions.instants import iso_us
-from quartzbar.operators.bad_rows import cheapest_edits, judge, parse_records, zero_cost_cells
+from quartzbar.operators.bad_rows import api_rows, cheapest_edits, judge, parse_records, zero_cost_cells
+from quartzbar.plans import operations
+from quartzbar.session import table
+from quartzbar.sources.bar_files import parse_kline_rows
 
 GOOD = "1577836800000,2.1,2.3,2.0,2.2,5.5,1577836859999,11.5,7,2.5,5.5,0"
 
@@ -87,3 +90,23 @@ def test_table(spark):
     assert sorted((r.rec_id or 0, r.reason or "ok") for r in got) == [(0, "quoting"), (1, "ok"), (1, "ok"), (3, "column_count"), (4, "ok")]
     assert parse_records(df.limit(0)).count() == 0
     assert "insert_delimiter*10" in next(r.detail for r in got if r.rec_id == 3)
+
+
+def test_every_accepted_record_is_an_api_row(spark):
+    cells = GOOD.split(",")
+    records = [
+        GOOD, ",".join(f'"{c}"' for c in cells), GOOD + "\r", "\ufeff" + GOOD, with_cell(6, "-1"), with_cell(1, "21e-1"), with_cell(5, "+5.5"), with_cell(4, " 2.2 "),
+        with_cell(0, "2020-01-01T00:00:00Z"), with_cell(0, "1577836800"), with_cell(11, '"a ""b"", c"'), with_cell(8, ""), with_cell(1, "x"), GOOD + ",1", GOOD + '"', None, "",
+    ]
+    got = parse_kline_rows(api_rows(spark.createDataFrame(list(enumerate(records)), "rec_id long, record string")), "row").collect()
+    assert len(got) == 12
+    assert {(r.open_time.isoformat(), *r[1:7]) for r in got} == {("2020-01-01T00:00:00", 2.1, 2.3, 2.0, 2.2, 5.5, 11.5)}
+    assert sorted(str(r.number_of_trades) for r in got) == ["7.0"] * 11 + ["None"]
+
+
+def test_archive_rows_are_the_bars_of_the_parser(spark, data):
+    names = ("open", "high", "low", "close", "volume", "quote_volume")
+    want = [(r.open_time_us, *(r[n] for n in names), r["count"]) for r in parse_records(table(spark, data, "archive_records")).where("reason IS NULL").collect()]
+    got = [(r.t_us, *(r[n] for n in names), r.number_of_trades) for r in operations.archive_kline_rows(spark, data).collect()]
+    key = lambda rows: sorted(map(repr, rows))
+    assert key(got) == key(want)

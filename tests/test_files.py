@@ -53,6 +53,13 @@ def test_klines(spark):
     assert len(got) == 1 and (got[0].volume, got[0].taker_buy_base_volume) == (10.0, 5.0)
 
 
+def test_open_candles_are_no_bars(spark):
+    k = {"t": 1577836800000, "o": "1", "h": "2", "l": "0.5", "c": "1.5", "v": "10", "q": "15", "n": 3, "V": "5", "Q": "7.5"}
+    lines = [json.dumps({"s": s, "k": k | x}) for s, x in (("A", {"x": True}), ("B", {"x": False}), ("C", {}), ("D", {"x": None}), ("E", {"x": "true"}), ("F", {"x": True, "c": None}))]
+    got = bar_files.parse_kline_messages(spark.createDataFrame([(x,) for x in lines], "v string"), "v").collect()
+    assert sorted((r.symbol, r.close) for r in got if r.close) == [("A", 1.5), ("E", 1.5)] and sorted(r.symbol for r in got) == ["A", "E", "F"]
+
+
 def test_metrics_and_periods(spark, tmp_path):
     tick = "2020-01-01 00:05:00,A,1,2,3,4,5,6"
     rows = bar_files.read_metrics_csv(spark, write(tmp_path / "m.csv", ",".join(bar_files.METRICS), tick, tick.replace(",1,", ",9,"), "bad,A,1,2,3,4,5,6", "2020-01-01 00:10:00,A,x,2,3,4,5,6")).collect()
