@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from quartzbar.operators.asof import mean_ranks, prefix_sums
 from quartzbar.session import checkpointed
 
 _BLOCK = 8192
+# Thresholds are k / 10000; those of one shard are folded in one task, rows of one block in another.
+_STEPS, _SHARD, _THRESHOLD_BLOCK = 10_000, 512, 32_768
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -72,6 +75,93 @@ def threshold_search(scored: DataFrame, gain: float, loss: float, steps: int = 2
     return best.select("symbol", (F.col("b.step") / steps).alias("threshold"), F.col("b.trades").alias("trades"), F.col("b.mean_profit").alias("mean_profit"))
 
 
+def _curves(key: np.ndarray, win: np.ndarray, gain: float, loss: float) -> tuple[np.ndarray, np.ndarray]:
+    """(keys ascending, states): wins, losses and of their running sum peak, low and greatest fall, over the rows of at least a key.
+
+    A state holds down to the next smaller key; beyond the last key it is all 0 (the last column).
+    """
+    if len(key) > 64:
+        half = len(key) // 2
+        (ka, a), (kb, b) = _curves(key[:half], win[:half], gain, loss), _curves(key[half:], win[half:], gain, loss)
+        keys = np.union1d(ka, kb)
+        at = lambda k, x: x[:, np.append(np.searchsorted(k, keys), len(k))]
+        return keys, _after(at(ka, a), at(kb, b), gain, loss)
+    keys = np.unique(key)
+    taken = key >= keys[:, None]
+    run = np.cumsum(np.where(taken, np.where(win, gain, -loss), 0.0), axis=1)
+    top = np.maximum.accumulate(np.maximum(run, 0.0), axis=1)
+    wins = (taken & win).sum(axis=1)
+    states = np.array([wins, taken.sum(axis=1) - wins, top[:, -1], np.minimum(run, 0.0).min(axis=1), (top - run).max(axis=1)], dtype=float)
+    return keys, np.hstack([states, np.zeros((5, 1))])
+
+
+def _after(a: np.ndarray, b: np.ndarray, gain: float, loss: float) -> np.ndarray:
+    """States of rows (see _curves) that go on with further rows."""
+    total = a[0] * gain - a[1] * loss
+    fall = np.maximum(np.maximum(a[4], b[4]), a[2] - total - b[3])
+    return np.array([a[0] + b[0], a[1] + b[1], np.maximum(a[2], total + b[2]), np.minimum(a[3], total + b[3]), fall])
+
+
+def threshold_ranking(scored: DataFrame, gain: float, loss: float, size: int = _THRESHOLD_BLOCK) -> DataFrame:
+    """Per symbol from scored (symbol, idx, p, y) the threshold that ranks first, with trades, calmar, sharpe, f1.
+
+    Candidates are 0.05 to 0.95 in steps of 0.05 and every p rounded to four digits; a candidate needs trades in a
+    twentieth of the rows (one at least). They rank by total per greatest fall (calmar), ratio of mean and deviation
+    (sharpe), f1, nearness to 0.5; ties: the smaller. Without any candidate it is 0.5. Figures are compared to nine digits.
+
+    Each block of rows makes one state per threshold; those of a range of thresholds are folded in the order of blocks.
+    """
+    rows = scored.where(F.col("p").isNotNull() & ~F.isnan("p") & F.col("y").isNotNull()).select(
+        "symbol", "idx", F.floor(F.col("idx") / size).alias("block"), F.col("p").cast("double").alias("p"), (F.col("y") == 1).alias("win")
+    )
+    shards = range(0, _STEPS + 1, _SHARD)
+
+    def block(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("idx", kind="stable")
+        p, win = part["p"].to_numpy(), part["win"].to_numpy(dtype=bool)
+        key = np.floor(p * _STEPS)
+        key = key + ((key + 1) / _STEPS <= p) - (key / _STEPS > p)
+        keys, states = _curves(key, win, gain, loss)
+        states = states[:, np.searchsorted(keys, np.arange(_STEPS + 1))]
+        candidates = np.zeros(_STEPS + 1, dtype=bool)
+        candidates[[round(round(x, 4) * _STEPS) for x in set(p.tolist())]] = True
+        out = {"symbol": pd.Series([part["symbol"].iloc[0]] * len(shards), dtype=object), "block": [part["block"].iloc[0]] * len(shards), "shard": list(shards), "n": [len(p)] * len(shards), "hits": [int(win.sum())] * len(shards)}
+        out["states"] = [states[:, a : a + _SHARD].ravel().tolist() for a in shards]
+        out["candidates"] = [candidates[a : a + _SHARD].tolist() for a in shards]
+        return pd.DataFrame(out)
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("block", kind="stable")
+        first = int(part["shard"].iloc[0])
+        n, hits = int(part["n"].sum()), int(part["hits"].sum())
+        k = np.arange(first, min(first + _SHARD, _STEPS + 1))
+        state, candidates = np.zeros((5, len(k))), (k % 500 == 0) & (k > 0) & (k < _STEPS)
+        for states, some in zip(part["states"], part["candidates"]):
+            state = _after(state, np.reshape(states, (5, len(k))), gain, loss)
+            candidates = candidates | np.asarray(some, dtype=bool)
+        wins, losses, _, _, fall = state
+        trades, total = wins + losses, wins * gain - losses * loss
+        mean = total / n
+        # Rows without a trade are the rest of the n rows.
+        deviation = np.sqrt((wins * (gain - mean) ** 2 + losses * (loss + mean) ** 2 + (n - trades) * mean**2) / n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            calmar = np.where(fall > 1e-12, total / fall, 0.0).round(9) + 0.0
+            sharpe = np.where(deviation > 1e-12, mean / deviation * np.sqrt(n), 0.0).round(9) + 0.0
+            f1 = np.where(wins > 0, 2 * wins / (trades + hits), 0.0).round(9)
+        enough = candidates & (trades >= max(1, n // 20))
+        best = [i for i in range(len(k)) if enough[i] or k[i] == _STEPS // 2]
+        if not best:
+            return pd.DataFrame()
+        i = max(best, key=lambda i: (enough[i], calmar[i], sharpe[i], f1[i], -abs(k[i] - _STEPS // 2), -k[i]))
+        return pd.DataFrame({"symbol": pd.Series([part["symbol"].iloc[0]], dtype=object), "enough": [bool(enough[i])], "k": [int(k[i])], "trades": [int(trades[i])], "calmar": [calmar[i]], "sharpe": [sharpe[i]], "f1": [f1[i]]})
+
+    blocks = rows.groupBy("symbol", "block").applyInPandas(block, "symbol string, block long, shard int, n long, hits long, states array<double>, candidates array<boolean>")
+    bests = blocks.groupBy("symbol", "shard").applyInPandas(fold, "symbol string, enough boolean, k int, trades long, calmar double, sharpe double, f1 double")
+    order = F.struct("enough", "calmar", "sharpe", "f1", (-F.abs(F.col("k") - _STEPS // 2)).alias("_near"), (-F.col("k")).alias("_small"), "k", "trades")
+    best = bests.groupBy("symbol").agg(F.max(order).alias("b"))
+    return best.select("symbol", (F.col("b.k") / _STEPS).alias("threshold"), *(F.col(f"b.{c}").alias(c) for c in ("trades", "calmar", "sharpe", "f1")))
+
+
 def decision_band(scored: DataFrame, threshold: float, break_even: float) -> DataFrame:
     """One row: rows at or above a threshold, their share, their hit rate and its distance from break-even."""
     band = F.when(F.col("p") >= threshold, 1)

@@ -47,6 +47,11 @@ def threshold_search(spark: SparkSession, d: str) -> DataFrame:
     return statistics.threshold_search(scored(spark, d), TP - COST, SL + COST).selectExpr("symbol", "threshold", "trades", *rounded(["mean_profit"], 8))
 
 
+def threshold_ranking(spark: SparkSession, d: str) -> DataFrame:
+    s = statistics.threshold_ranking(scored(spark, d).select("symbol", "idx", "p", "y"), TP - COST, SL + COST)
+    return s.selectExpr("symbol", "threshold", "trades", *rounded(["calmar", "sharpe", "f1"]))
+
+
 def equity_drawdown(spark: SparkSession, d: str) -> DataFrame:
     pnl = F.when(F.col("p") >= 0.5, F.when(F.col("y") == 1, TP - COST).otherwise(-(SL + COST))).otherwise(0.0)
     s = statistics.drawdown(scored(spark, d).select("symbol", "idx", pnl.alias("pnl")), "pnl")
@@ -168,7 +173,7 @@ def rolling_drift(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        classification_metrics, reliability_curve, calibration_errors, decision_band, threshold_search, equity_drawdown, rank_correlation,
+        classification_metrics, reliability_curve, calibration_errors, decision_band, threshold_search, threshold_ranking, equity_drawdown, rank_correlation,
         half_life, variance_filter, bootstrap_interval, regime_thresholds, market_regimes, regime_diagnostics, regime_confusion,
         smoothed_probabilities, smoothed_regimes, backtest_trades, backtest_breakdown, centroid_model, platt_calibration, order_blocks, rolling_drift,
     )

@@ -256,3 +256,35 @@ def test_assigned_regimes_against_a_loop(spark, first):
     want = _assigned(p.tolist(), names, "range", 30, 0.45, 60)
     assert len(p) > timeline.CHUNK and got.assigned.tolist() == want
     assert len(set(want)) == 3 and want != got.smoothed.tolist()
+
+
+def _first_threshold(p, y, gain, loss):
+    best, best_score = 0.5, None
+    for t in sorted({round(i / 20, 2) for i in range(1, 20)} | {round(x, 4) for x in p.tolist()}):
+        hit = p >= t
+        if hit.sum() < max(1, len(p) // 20):
+            continue
+        pnl = np.where(hit, np.where(y == 1, gain, -loss), 0.0)
+        run = np.cumsum(pnl)
+        fall = (np.maximum.accumulate(np.maximum(run, 0.0)) - run).max()
+        f1 = 2 * (hit & (y == 1)).sum() / (hit.sum() + (y == 1).sum()) if (hit & (y == 1)).any() else 0.0
+        score = (pnl.sum() / fall if fall > 1e-12 else 0.0, pnl.mean() / pnl.std() * len(p) ** 0.5 if pnl.std() > 1e-12 else 0.0, f1)
+        score = (*(round(x, 9) for x in score), -round(abs(t - 0.5), 4))
+        if best_score is None or score > best_score:
+            best, best_score = t, score
+    return best, best_score
+
+
+def test_threshold_ranking_against_all_candidates(spark):
+    rng, parts, want = np.random.default_rng(3), [], {}
+    for symbol, n, low, high, edge in (("A", 3000, 0.46, 0.54, 6.0), ("B", 3000, 0.0, 1.0, 0.5), ("C", 700, 0.49, 0.51, -9.0), ("D", 30, 0.0, 0.0003, 0.0), ("E", 40, 0.3, 0.9, 1.0)):
+        p = rng.uniform(low, high, n)
+        p[:9] = p[0].round(4)
+        y = (rng.random(n) < np.clip(0.4 + edge * (p - 0.5), 0, 1)).astype(int) if symbol != "E" else np.ones(n, dtype=int)
+        parts.append(pd.DataFrame({"symbol": symbol, "idx": range(n), "p": p, "y": y}))
+        want[symbol] = _first_threshold(p, y, 0.0022, 0.0023)
+    got = {r.symbol: r for r in statistics.threshold_ranking(spark.createDataFrame(pd.concat(parts)), 0.0022, 0.0023, size=500).collect()}
+    assert {s: r.threshold for s, r in got.items()} == {s: t for s, (t, _) in want.items()}
+    for s, (_, score) in want.items():
+        assert score is None or (got[s].calmar, got[s].sharpe, got[s].f1) == pytest.approx(score[:3], abs=1e-7)
+    assert any(round(r.threshold * 20, 6) % 1 for r in got.values())
