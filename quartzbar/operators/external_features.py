@@ -78,3 +78,14 @@ def metrics_features(ticks: DataFrame) -> DataFrame:
     Ticks are five minutes apart, so a symbol's window is bounded by the span of time.
     """
     return ticks.select("symbol", "idx", *(F.expr(frame(e, "symbol")).cast("double").alias(n) for n, e in METRICS.items()))
+
+
+ACCOUNTS: dict[str, str] = {
+    "toptrader_ls_account": "count_toptrader_long_short_ratio", "toptrader_ls_position": "sum_toptrader_long_short_ratio", "global_ls_account": "count_long_short_ratio",
+    "toptrader_ls_account_change_5m": _change("count_toptrader_long_short_ratio", 1), "global_ls_account_change_5m": _change("count_long_short_ratio", 1),
+}
+
+
+def account_features(ticks: DataFrame) -> DataFrame:
+    """The features of the account ratios of metrics ticks (symbol, idx and the ratios as named by read_metrics_csv)."""
+    return ticks.select("symbol", "idx", *(F.expr(frame(e, "symbol")).cast("double").alias(n) for n, e in ACCOUNTS.items()))

@@ -114,6 +114,11 @@ def features_weekly(spark: SparkSession, d: str) -> DataFrame:
     return rows.selectExpr("symbol", "idx", *rounded(list(_WEEKLY)))
 
 
+def features_weeks(spark: SparkSession, d: str) -> DataFrame:
+    """The weekly features over 20 and 50 weeks that end on Sunday."""
+    return timeframes.weekly_onto_minutes(canonical(spark, d)).selectExpr("symbol", "idx", *rounded(list(_WEEKLY)))
+
+
 def resampled_bars(spark: SparkSession, d: str) -> DataFrame:
     b = timeframes.closed_buckets(canonical(spark, d), 15)
     return b.selectExpr("symbol", "bucket", "open", "high", "low", "close", *rounded(["volume"], 3))
@@ -147,7 +152,7 @@ def _clip_sql() -> str:
 QUERIES = {
     f.__name__: f for f in (bar_validation, canonical_timeline, gap_summary, missing_days, max_gap_run, clip_report)
 } | {f"features_{name}": partial(features, name) for name in bar_features.FAMILIES}
-QUERIES |= {f.__name__: f for f in (features_recursive, features_weekly, resampled_bars)}
+QUERIES |= {f.__name__: f for f in (features_recursive, features_weekly, features_weeks, resampled_bars)}
 QUERIES |= {f"features_{tf}": partial(features_timeframe, tf) for tf in timeframes.FRAMES}
 
 SQL = {

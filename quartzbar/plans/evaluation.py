@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzbar.functions.windows import rounded
-from quartzbar.operators import backtest, bar_features, labels, models, regimes, statistics
+from quartzbar.operators import backtest, bar_features, labels, models, regimes, splits, statistics
 from quartzbar.plans.bars import CANONICAL_SQL, canonical
 from quartzbar.plans.learning_data import _LABELS, HORIZON, SL, THRESHOLD, TP
 
@@ -95,6 +95,11 @@ def regime_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return regimes.diagnostics(regimes.with_regimes(_regime_rows(spark, d)), "strength")
 
 
+def regime_transition_weights(spark: SparkSession, d: str) -> DataFrame:
+    """A lower weight within a day of a change of the direction regime."""
+    return splits.transition_weights(regimes.with_regimes(_regime_rows(spark, d)).select("symbol", "idx", "direction"), "direction", 1440)
+
+
 def regime_confusion(spark: SparkSession, d: str) -> DataFrame:
     """Direction regime against the sign of the next hour's return: all nine cells."""
     r = regimes.with_regimes(_regime_rows(spark, d))
@@ -175,7 +180,7 @@ QUERIES = {
     for f in (
         classification_metrics, reliability_curve, calibration_errors, decision_band, threshold_search, threshold_ranking, equity_drawdown, rank_correlation,
         half_life, variance_filter, bootstrap_interval, regime_thresholds, market_regimes, regime_diagnostics, regime_confusion,
-        smoothed_probabilities, smoothed_regimes, backtest_trades, backtest_breakdown, centroid_model, platt_calibration, order_blocks, rolling_drift,
+        regime_transition_weights, smoothed_probabilities, smoothed_regimes, backtest_trades, backtest_breakdown, centroid_model, platt_calibration, order_blocks, rolling_drift,
     )
 }
 

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quartzbar.operators import asof, backtest, bar_features, labels, recursive_features, regimes, scan, splits, statistics, timeframes, timeline
+from quartzbar.operators import asof, backtest, bar_features, external_features, labels, recursive_features, regimes, scan, splits, statistics, timeframes, timeline
 from quartzbar.sources.bar_files import synthetic_bars
 
 
@@ -288,3 +288,20 @@ def test_threshold_ranking_against_all_candidates(spark):
     for s, (_, score) in want.items():
         assert score is None or (got[s].calmar, got[s].sharpe, got[s].f1) == pytest.approx(score[:3], abs=1e-7)
     assert any(round(r.threshold * 20, 6) % 1 for r in got.values())
+
+
+def test_weights_within_a_day_of_a_change(spark):
+    label = np.repeat(["up", "range", "down", "up"], [8192, 2, 5000, 4000])
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "S", "idx": range(len(label)), "direction": label}))
+    got = frame(splits.transition_weights(df, "direction", 1440)).weight.to_numpy()
+    at = np.arange(len(label))
+    near = np.any([np.abs(at - c) <= 1440 for c in (8192, 8194, 13194)], axis=0)
+    assert (got == np.where(near, 0.1, 1.0)).all()
+
+
+def test_account_features(spark):
+    rows = [("S", 0, 2.0, 1.5, 0.0), ("S", 1, 3.0, 1.25, 4.0), ("S", 2, 1.5, 1.0, 3.0)]
+    ticks = spark.createDataFrame(rows, "symbol string, idx long, count_toptrader_long_short_ratio double, sum_toptrader_long_short_ratio double, count_long_short_ratio double")
+    got = frame(external_features.account_features(ticks))
+    assert got.toptrader_ls_account.tolist() == [2.0, 3.0, 1.5] and got.toptrader_ls_position.tolist() == [1.5, 1.25, 1.0] and got.global_ls_account.tolist() == [0.0, 4.0, 3.0]
+    assert got.toptrader_ls_account_change_5m.tolist() == [0.0, 0.5, -0.5] and got.global_ls_account_change_5m.tolist() == [0.0, 0.0, -0.25]
