@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quartzbar.functions.windows import frame, strict
 from quartzbar.operators.asof import asof_backward
-from quartzbar.operators.nearest_time import entity_key, epoch_us
+from quartzbar.functions.keys import entity_key, epoch_us
 
 MINUTE_US, DAY_US = 60_000_000, 86_400_000_000
 

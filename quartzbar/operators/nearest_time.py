@@ -16,24 +16,15 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzbar.functions.instants import iso_us
+from quartzbar.functions.keys import entity_key, epoch_us
 
 BUCKET_US = 3_600_000_000
 
 
-def entity_key(symbol: Column) -> Column:
-    """The instrument that a spelling means: case, blanks and separators do not count."""
-    return F.upper(F.regexp_replace(symbol, r"[^\p{L}\p{N}]", ""))
-
-
-def epoch_us(value: Column) -> Column:
-    """Microseconds of an epoch in seconds (below 10^10) or milliseconds."""
-    return F.when(value < 10_000_000_000, value * 1_000_000).otherwise(value * 1_000)
-
-
 def match_nearest(left: DataFrame, right: DataFrame, tolerance_us: int, bucket_us: int = BUCKET_US) -> DataFrame:
     """left: left_id, entity, t; right: right_id, entity, t (t in microseconds).
 

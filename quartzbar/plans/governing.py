@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quartzbar.functions.windows import rounded
 from quartzbar.operators import backtest, bar_features, models, quality, rule_regimes, timeframes
-from quartzbar.operators.nearest_time import entity_key, epoch_us
+from quartzbar.functions.keys import entity_key, epoch_us
 from quartzbar.plans import bars
 from quartzbar.plans.bars import CANONICAL_SQL, canonical
 from quartzbar.plans.evaluation import _TRADES, MODEL_FEATURES, _one, _signals, _with_scored, scored

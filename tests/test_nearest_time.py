@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from quartzbar.operators.nearest_time import entity_key, match_funding, match_nearest, payload_times
+from quartzbar.functions.keys import entity_key
+from quartzbar.operators.nearest_time import match_funding, match_nearest, payload_times
 
 L = "left_id long, entity string, t long, bucket string"
 R = "right_id long, entity string, t long, prev string"
