@@ -1,13 +1,20 @@
-"""Queries p6 to p8: texts."""
+"""Queries p3 and p6 to p8: nearest times, texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartzbar.llm import encoding, packing, sentences
+from quartzbar.llm import encoding, nearest_time, packing, sentences
+from quartzbar.llm.oracles import SQL  # noqa: F401
 from quartzbar.session import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearest_time.match_funding(
+        table(spark, d, "funding_rates"), table(spark, d, "bars"), table(spark, d, "exchange_responses")
+    ).select("funding_id", "side", "match_id")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents"))
 
@@ -24,7 +31,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_containers, p7_report, p8_found)}
-
-#: None of these can be said in SQL; tests hold them against brute force and exact round trips.
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p3_found, p6_ids, p7_containers, p7_report, p8_found)}
