@@ -1,10 +1,10 @@
-"""Queries p1 to p5: raw feeds, readings and records."""
+"""Queries p1, p2, p4 and p5: raw feeds, readings and records."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartzbar.operators import bad_rows, nearest_time, regular_grid, schema_drift, spikes
+from quartzbar.operators import bad_rows, regular_grid, schema_drift, spikes
 from quartzbar.session import table
 
 
@@ -30,12 +30,6 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible_readings(table(spark, d, "bars"), table(spark, d, "depth_snapshots"))
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return nearest_time.match_funding(
-        table(spark, d, "funding_rates"), table(spark, d, "bars"), table(spark, d, "exchange_responses")
-    ).select("funding_id", "side", "match_id")
-
-
 def p4_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid.regular_grid(table(spark, d, "bars"), table(spark, d, "coverage_windows"))
 
@@ -55,7 +49,7 @@ def p5_bars(spark: SparkSession, d: str) -> DataFrame:
     return good.withColumn("open_time", F.timestamp_micros("open_time_us")).drop("reason", "detail", "open_time_us")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_bars, p2_found, p2_report, p3_found, p4_found, p4_grid, p5_found, p5_bars)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_bars, p2_found, p2_report, p4_found, p4_grid, p5_found, p5_bars)}
 
 SQL = {
     "p4_found": """
@@ -67,35 +61,5 @@ WITH readings AS (
   FROM coverage_windows
 )
 SELECT symbol, m * 60000 AS minute_ms FROM grid ANTI JOIN readings USING (symbol, m)
-""",
-    "p3_found": """
-WITH f AS (
-  SELECT funding_id, regexp_replace(upper(symbol), '[^A-Z0-9]', '', 'g') AS e,
-         CASE WHEN next_funding_time < 10000000000 THEN next_funding_time * 1000000 ELSE next_funding_time * 1000 END AS t
-  FROM funding_rates WHERE next_funding_time <> 0
-), b AS (
-  SELECT regexp_replace(upper(symbol), '[^A-Z0-9]', '', 'g') AS e, epoch_us(open_time) AS t, bar_id AS id FROM bars
-), ok AS (
-  SELECT response_id AS id, CAST(payload AS JSON) AS j FROM exchange_responses
-  WHERE status_code = 200 AND json_valid(payload)
-), parts AS (
-  SELECT id, j AS o FROM ok WHERE json_type(j) = 'OBJECT'
-  UNION ALL SELECT id, j->'data' FROM ok WHERE json_type(j) = 'OBJECT' AND json_type(j->'data') = 'OBJECT'
-  UNION ALL SELECT id, unnest(CAST(j AS JSON[])) FROM ok WHERE json_type(j) = 'ARRAY'
-), r0 AS (
-  SELECT id, regexp_replace(upper(coalesce(o->>'symbol', o->>'s')), '[^A-Z0-9]', '', 'g') AS e,
-         coalesce(o->>'time', o->>'E') AS ts FROM parts
-), r AS (
-  SELECT e, CASE WHEN regexp_full_match(ts, '[0-9]+') THEN TRY_CAST(ts AS BIGINT) * 1000 ELSE epoch_us(TRY_CAST(ts AS TIMESTAMPTZ)) END AS t, id
-  FROM r0 WHERE e <> '' AND ts IS NOT NULL
-),
-m AS (
-  SELECT funding_id, 'bar' AS side, id, row_number() OVER (PARTITION BY funding_id ORDER BY abs(b.t - f.t), b.t, id) AS k
-  FROM f JOIN b ON f.e = b.e AND b.t BETWEEN f.t - 120000000 AND f.t + 120000000
-  UNION ALL
-  SELECT funding_id, 'response', id, row_number() OVER (PARTITION BY funding_id ORDER BY abs(r.t - f.t), r.t, id)
-  FROM f JOIN r ON f.e = r.e AND r.t BETWEEN f.t - 90000000 AND f.t + 90000000
-)
-SELECT funding_id, side, id AS match_id FROM m WHERE k = 1
 """,
 }
