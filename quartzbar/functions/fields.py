@@ -33,3 +33,50 @@ SPELLINGS: dict[str, tuple[str, ...]] = {
 
 QUANTITY_OF: dict[str, str] = {name: field for field, names in SPELLINGS.items() for name in names}
 EPOCH_FIELDS = ("open_time", "close_time")
+
+# Words of column names that mean the same, and what the words of a name together mean.
+WORDS: dict[str, tuple[str, ...]] = {
+    "volume": ("volume", "volumes", "vol", "qty", "quantity", "amount", "amt", "size"),
+    "count": ("count", "cnt", "number", "num"),
+    "trade": ("trade", "trades"),
+    "time": ("time", "ts", "timestamp"),
+    "start": ("start", "begin", "from"),
+    "end": ("end", "until", "to"),
+    "bar": ("bar", "kline", "candle", "candlestick"),
+    "price": ("price", "px"),
+    "high": ("high", "max", "highest"),
+    "low": ("low", "min", "lowest"),
+    "open": ("open", "first", "opening"),
+    "close": ("close", "last", "closing"),
+    "quote": ("quote",),
+    "base": ("base",),
+    "taker": ("taker",),
+    "buy": ("buy",),
+    "": ("asset", "of"),
+}
+WORD_OF: dict[str, str] = {w: meaning for meaning, words in WORDS.items() for w in words}
+
+
+def _meanings() -> dict[str, str]:
+    """The sorted words of a name -> the quantity that they mean together."""
+    out: dict[str, str] = {}
+
+    def add(quantity: str, *choices: str) -> None:
+        for words in choices:
+            out[" ".join(sorted(words.split()))] = quantity
+
+    for price in ("open", "high", "low", "close"):
+        add(price, price, f"{price} price", f"bar {price}", f"bar {price} price")
+    for side, quantity in (("open", "open_time"), ("close", "close_time")):
+        edge = "start" if side == "open" else "end"
+        add(quantity, f"{side} time", f"bar {side} time", f"{edge} time", f"bar {edge} time", f"bar {edge}")
+    add("volume", "volume", "base volume", "volume trade", "bar volume")
+    add("quote_volume", "quote volume", "turnover")
+    add("count", "count trade")
+    for who in ("buy taker", "buy", "taker"):
+        add("taker_buy_volume", f"{who} volume", f"{who} base", f"{who} base volume")
+        add("taker_buy_quote_volume", f"{who} quote", f"{who} quote volume")
+    return out
+
+
+MEANINGS = _meanings()

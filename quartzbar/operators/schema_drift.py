@@ -10,26 +10,22 @@ milliseconds and microseconds), decimal (a number, some with fraction or point),
 every mixture with text).
 
 Defined results: null records, blank cells and JSON nulls vote for nothing, though a JSON key counts as
-present; records that are not JSON objects in a jsonl file say nothing; rows of unknown files are left out;
+present; records that are not JSON objects in a jsonl file say nothing, nor do JSON objects in a csv file;
+nested values are text; of a key that an object repeats every value votes; rows of unknown files are left out;
 files without rows have the columns of their header; repeated rows change nothing; further columns of the
 inputs are ignored; empty inputs give empty results.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quartzbar.functions.fields import ARCHIVE_CSV_FIELDS, EPOCH_FIELDS, QUANTITY_OF, SPELLINGS
+from quartzbar.functions.fields import ARCHIVE_CSV_FIELDS, EPOCH_FIELDS, MEANINGS, QUANTITY_OF, WORD_OF
 from quartzbar.session import checkpointed
 
 BOOL, INT_S, INT_MS, INT_US, DECIMAL, TEXT = (1 << i for i in range(6))
 INTEGER = INT_S | INT_MS | INT_US
-#: One JSON member of a flat object: its key, its string value or its bare value.
-_STRING = r'"((?:[^"\\]|\\.)*)"'
-_BARE = r"true|false|null|-?[0-9][0-9.eE+-]*"
 #: An integer is of seconds below 10^11, of milliseconds below 10^14 and of microseconds beyond.
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _INTEGER = r"^[+-]?[0-9]+$"
@@ -75,32 +71,37 @@ def alternatives(mask: Column, field: Column) -> Column:
 
 
 def quantity(name: Column) -> Column:
-    """The quantity that a column name means; the name itself where none is known."""
-    known = F.create_map(*(F.lit(x) for pair in QUANTITY_OF.items() for x in pair))
-    return F.coalesce(F.try_element_at(known, name), name)
+    """The quantity that a column name means; the name itself where none is known.
+
+    A known spelling, as it stands (v and V differ), or words that all mean something: takerBuyBaseAssetVolume,
+    num_trades, ClosePrice.
+    """
+    table = lambda d: F.create_map(*(F.lit(x) for pair in d.items() for x in pair))
+    parts = F.split(F.lower(F.regexp_replace(name, r"(?<=[a-z0-9])(?=[A-Z])", "_")), r"[_\s.-]+")
+    words = F.transform(parts, lambda w: F.try_element_at(table(WORD_OF), w))
+    together = F.array_join(F.array_sort(F.filter(words, lambda w: w != "")), " ")
+    meant = F.when(~F.exists(words, lambda w: w.isNull()), F.try_element_at(table(MEANINGS), together))
+    return F.coalesce(F.try_element_at(table(QUANTITY_OF), name), F.when(F.length(name) > 2, meant), name)
 
 
 def _members(record: Column) -> Column:
-    """The members of a flat JSON object as array<struct<name, kind, value>>; null if it is not one whole object."""
-    member = rf"{_STRING}\s*:\s*(?:{_STRING}|({_BARE}))"
-    whole = rf"^\s*\{{\s*(?:{member}\s*(?:,\s*{member}\s*)*)?\}}\s*$"
-    part = lambda i: F.regexp_extract_all(record, F.lit(member), F.lit(i))
-    pairs = F.transform(
-        F.arrays_zip(part(1).alias("name"), part(2).alias("text"), part(3).alias("bare")),
-        lambda x: F.struct(
-            x["name"].alias("name"),
-            F.when(x["bare"] != "", "bare").otherwise("string").alias("kind"),
-            F.when(x["bare"] != "", x["bare"]).otherwise(x["text"]).alias("value"),
-        ),
-    )
-    nested = F.from_json(record, "map<string,string>")
-    # A nested value has no place among the alternatives but text; such an object is read as a map.
-    return F.when(record.rlike(whole), pairs).otherwise(
-        F.transform(
-            F.map_entries(nested),
-            lambda e: F.struct(e["key"].alias("name"), F.lit("string").alias("kind"), e["value"].alias("value")),
+    """The members of a JSON object as array<struct<name, kind, value>>; null if it is none.
+
+    Every member has the kind of its own value: string (nested values and what is no number of JSON, too) or bare.
+    Parsed once into typed variants, so a value may be as long and as deep as the parser allows.
+    """
+
+    def member(e: Column) -> Column:
+        kind, text = F.schema_of_variant(e["value"]), e["value"].cast("string")
+        whole = kind.endswith(",0)") & (F.regexp_extract(kind, r"[0-9]+", 0).cast("int") < 19)
+        return F.struct(
+            e["key"].alias("name"),
+            F.when(kind.rlike("^(BOOLEAN|BIGINT|DECIMAL|VOID)") | (kind.startswith("DOUBLE") & text.rlike("[0-9]")), "bare").otherwise("string").alias("kind"),
+            # A decimal such as 12.0 keeps its point; whole numbers beyond 64 bits have none.
+            F.when(kind.startswith("VOID"), "null").when(kind.startswith("DECIMAL") & whole, F.concat(text, F.lit(".0"))).otherwise(text).alias("value"),
         )
-    )
+
+    return F.transform(F.map_entries(F.from_json(record, "map<string,variant>")), member)
 
 
 def _cells(record: Column) -> Column:
@@ -124,11 +125,11 @@ def path_unions(files: DataFrame, rows: DataFrame) -> DataFrame:
     Rows are folded before they meet their files: JSON members by name, CSV cells by position, each under
     its reading. So the hot file's rows shrink to a few paths in the map-side aggregate.
     """
-    object_like = F.ltrim("record").startswith("{")
+    members = F.when(F.ltrim("record").startswith("{"), _members(F.col("record")))
     votes = (
         rows.where("record IS NOT NULL AND file_id IS NOT NULL")
-        .select("file_id", F.explode(F.when(object_like, F.array(F.lit("jsonl"), F.lit("csv"))).otherwise(F.array(F.lit("csv")))).alias("form"), "record")
-        .select("file_id", "form", F.explode(F.when(F.col("form") == "jsonl", _members(F.col("record"))).otherwise(_cells(F.col("record")))).alias("m"))
+        .select("file_id", "record", members.alias("members"))
+        .select("file_id", F.when(F.col("members").isNotNull(), "jsonl").otherwise("csv").alias("form"), F.explode(F.coalesce("members", _cells(F.col("record")))).alias("m"))
         .select("file_id", "form", F.col("m.name").alias("path"), alternative(F.col("m.value"), F.col("m.kind")).alias("bit"))
         .groupBy("file_id", "form", "path")
         .agg(F.coalesce(F.bit_or("bit"), F.lit(0)).alias("mask"))
@@ -235,11 +236,8 @@ def branch(value: Column, kind: Column) -> Column:
     )
 
 
-_CELL_MAP = "map<string,struct<kind:string,value:string>>"
-
-
-def _one(x: Column) -> Column:
-    return F.create_map(x["name"], F.struct(x["kind"].alias("kind"), x["value"].alias("value")))
+def _header(header: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(header, "^\ufeff", ""), ",", -1), lambda x: F.trim(x))
 
 
 def consistent_bars(files: DataFrame, rows: DataFrame) -> DataFrame:
@@ -247,38 +245,32 @@ def consistent_bars(files: DataFrame, rows: DataFrame) -> DataFrame:
 
     Each quantity has its canonical column and, where a value could not be converted, ``unconverted`` (map of
     quantity to text) keeps it; quantities outside the bar are in ``extras`` (map of name to text). ``branches``
-    has the values of both by their alternative, each in the typed branch of it.
+    has the values of both by their alternative, each in the typed branch of it. Of several values of one
+    quantity or name in a record the first that is not empty holds.
     """
-    # The header joins once by file; a hot file is split by the adaptive skew join.
-    known = files.select("file_id", "feed", "file_seq", "symbol", "file_format", "header")
-    names = F.transform(F.split(F.regexp_replace("header", "^\ufeff", ""), ",", -1), lambda x: F.trim(x))
+    # Names are read once per file, before the join; a hot file is split by the adaptive skew join.
+    known = files.select("file_id", "feed", "file_seq", "symbol", "file_format", F.transform(_header(F.col("header")), lambda n: F.struct(n.alias("name"), quantity(n).alias("field"))).alias("columns"))
     joined = rows.select("file_id", "row_no", "record").join(known, "file_id")
     csv = F.transform(
-        F.arrays_zip(names.alias("name"), F.transform(F.split("record", ",", -1), lambda x: F.trim(x)).alias("value")),
-        lambda x: F.struct(x["name"].alias("name"), F.lit("cell").alias("kind"), x["value"].alias("value")),
+        F.arrays_zip(F.col("columns").alias("c"), F.transform(F.split("record", ",", -1), lambda x: F.trim(x)).alias("value")),
+        lambda x: F.struct(x["c"]["name"].alias("name"), x["c"]["field"].alias("field"), F.lit("cell").alias("kind"), x["value"].alias("value")),
     )
     json = F.transform(
         _members(F.col("record")),
-        lambda x: F.struct(F.trim(x["name"]).alias("name"), x["kind"].alias("kind"), F.when(~((x["kind"] == "bare") & (x["value"] == "null")), x["value"]).alias("value")),
+        lambda x: F.struct(
+            F.trim(x["name"]).alias("name"), quantity(F.trim(x["name"])).alias("field"), x["kind"].alias("kind"), F.when(~((x["kind"] == "bare") & (x["value"] == "null")), x["value"]).alias("value")
+        ),
     )
     entries = F.filter(
-        F.when(F.col("file_format") == "csv", csv).otherwise(json), lambda x: x["name"].isNotNull() & x["value"].isNotNull() & (x["value"] != "")
-    )
-    # Repeated names: the first value holds.
-    firsts = F.aggregate(
-        entries,
-        F.lit(None).cast(_CELL_MAP),
-        lambda m, x: F.when(m.isNull(), _one(x))
-        .when(F.map_contains_key(m, x["name"]), m)
-        .otherwise(F.map_concat(m, _one(x))),
+        F.when(F.col("file_format") == "csv", csv).otherwise(json), lambda x: x["name"].isNotNull() & x["value"].isNotNull() & (F.trim(x["value"]) != "")
     )
-    bars = joined.withColumn("m", F.coalesce(firsts, F.create_map().cast(_CELL_MAP)))
-    cell = {f: reduce(lambda a, b: F.coalesce(a, b), [F.try_element_at(F.col("m"), F.lit(n)) for n in names]) for f, names in SPELLINGS.items()}
-    bars = bars.withColumns({f"cell_{f}": c for f, c in cell.items()})
-    bars = bars.withColumns({f"raw_{f}": F.col(f"cell_{f}.value") for f in cell})
+    bars = joined.select("file_id", "feed", "file_seq", "symbol", "row_no", F.coalesce(entries, F.array()).alias("entries"))
+    of = lambda f: F.get(F.filter("entries", lambda x: x["field"] == f), F.lit(0))
+    bars = bars.withColumns({f"cell_{f}": of(f) for f in ARCHIVE_CSV_FIELDS})
+    bars = bars.withColumn("rest", F.filter("entries", lambda x: ~x["field"].isin(*ARCHIVE_CSV_FIELDS)))
     out = {}
     for f in ARCHIVE_CSV_FIELDS:
-        value = F.col(f"raw_{f}")
+        value = F.col(f"cell_{f}.value")
         if f in EPOCH_FIELDS:
             out[f] = _instant(value)
         elif f == "ignore":
@@ -286,11 +278,13 @@ def consistent_bars(files: DataFrame, rows: DataFrame) -> DataFrame:
         else:
             out[f] = _number(value)
     bars = bars.withColumns({f"out_{f}": c for f, c in out.items()})
-    kept = [F.when(F.col(f"raw_{f}").isNotNull() & F.col(f"out_{f}").isNull(), F.struct(F.lit(f).alias("field"), F.col(f"cell_{f}").alias("cell"))) for f in ARCHIVE_CSV_FIELDS]
-    bars = bars.withColumns({"kept": F.map_from_entries(F.array_compact(F.array(*kept))), "others": F.map_filter("m", lambda k, _: ~k.isin(*QUANTITY_OF))})
-    texts = lambda c: F.transform_values(c, lambda _, x: x["value"])
-    # A name of the others can be that of no quantity, so the two maps have no key in common.
-    branches = F.transform_values(F.map_concat("kept", "others"), lambda _, x: branch(x["value"], x["kind"]))
+    kept = [F.when(F.col(f"cell_{f}").isNotNull() & F.col(f"out_{f}").isNull(), F.struct(F.lit(f).alias("name"), F.col(f"cell_{f}.kind").alias("kind"), F.col(f"cell_{f}.value").alias("value"))) for f in ARCHIVE_CSV_FIELDS]
+    names = F.transform("rest", lambda x: x["name"])
+    firsts = F.filter("rest", lambda x, i: F.array_position(names, x["name"]) == i + 1)
+    bars = bars.withColumns({"kept": F.array_compact(F.array(*kept)), "others": F.transform(firsts, lambda x: F.struct(x["name"].alias("name"), x["kind"].alias("kind"), x["value"].alias("value")))})
+    texts = lambda c: F.map_from_entries(F.transform(c, lambda x: F.struct(x["name"], x["value"])))
+    # A name of the others can be that of no quantity, so the two have no key in common.
+    branches = F.map_from_entries(F.transform(F.concat("kept", "others"), lambda x: F.struct(x["name"], branch(x["value"], x["kind"]))))
     return bars.select(
         "file_id", "feed", "file_seq", "symbol", "row_no",
         *(F.col(f"out_{f}").alias(f) for f in ARCHIVE_CSV_FIELDS),

@@ -1,8 +1,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from quartzbar.operators.schema_drift import consistent_bars, schema_changes
+from quartzbar.operators.schema_drift import consistent_bars, quantity, schema_changes
 
 FILES = "file_id long, feed string, file_seq int, file_name string, symbol string, file_format string, header string, extra string, form string"
 ROWS = "file_id long, row_no int, record string, path string, mask int"
@@ -98,3 +99,31 @@ def test_values_without_a_column_are_in_typed_branches(spark):
 @pytest.mark.parametrize("record", ["", " ", ",,,", '{"a": }', "null"])
 def test_odd_records(spark, record):
     changes(spark, [(1, "a", 1, "jsonl", None), (2, "a", 2, "csv", "o")], [(1, record), (2, record)])
+
+
+def test_long_nested_and_escaped_members(spark):
+    files = [(i, "a", i, "jsonl", None) for i in (1, 2, 3)]
+    rows = [
+        (1, '{"open": 1, "volume": 3}'),
+        (2, json.dumps({"open": 2, "volume": 4, "x": [1, {"y": "z" * 5_000}]})),
+        (3, json.dumps({"open": 2, "volume": "\\\"" * 500_000, "x": {"deep": [[[1]]]}})), (3, '{"open": 12.0, "volume": "q"}'),
+    ]
+    assert changes(spark, files, rows) == {(2, "x", "added"), (3, "open", "retyped"), (3, "volume", "retyped")}
+    bars = {(r.file_id, r.row_no): r for r in consistent_bars(*tables(spark, files, rows)).collect()}
+    assert bars[2, 1].open == 2.0 and bars[2, 1].extras["x"].startswith('[1,{"y":"zzz') and len(bars[3, 2].unconverted["volume"]) == 1_000_000
+
+
+def test_json_objects_in_csv_files_and_what_is_no_json_number(spark):
+    files = [(1, "a", 1, "csv", "o,c"), (2, "a", 2, "csv", "o,c"), (3, "a", 3, "jsonl", None), (4, "a", 4, "jsonl", None)]
+    rows = [(1, "1,2"), (2, "1,2"), (2, '{"o": "x", "c": "y"}'), (3, '{"o": 1, "c": 2}'), (4, '{"o": NaN, "c": 12345678901234567890}')]
+    assert changes(spark, files, rows) == {(4, "open", "retyped")}
+
+
+def test_names_made_of_known_words(spark):
+    names = {
+        "takerBuyBaseAssetVolume": "taker_buy_volume", "Taker-Buy quote qty": "taker_buy_quote_volume", "num_trades": "count", "ClosePrice": "close", "base_qty": "volume",
+        "quoteAmount": "quote_volume", "candleStart": "open_time", "kline_close_time": "close_time", "open_interest": "open_interest", "first_trade_id": "first_trade_id",
+        "mark_price": "mark_price", "vwap": "vwap", "zz_vol": "zz_vol", "is_final": "is_final", "": "", "_": "_", "X": "X", "V": "taker_buy_volume", "v": "volume",
+    }
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", quantity(F.col("n")).alias("q")).collect()
+    assert {r.n: r.q for r in got} == names
