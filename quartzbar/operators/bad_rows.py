@@ -1,14 +1,17 @@
 """Rows that fail to parse: a minimum-cost error parse of CSV records.
 
-A dynamic program reads each record character by character through four states (cell start, unquoted,
-quoted, after the closing quote). It may insert or delete quotes at a cost of one each; then delimiters are
-inserted or deleted to reach the wanted number of cells. A record of cost zero whose cells have valid types
-is loaded. Otherwise the edit operations of the cheapest parse state the reason: any quote edit is a quoting
-fault, else any delimiter edit a column count fault; cost zero with an invalid cell is an invalid value.
-
-The zero-cost layer of the program is the RFC 4180 automaton itself; it is run first, as one regular
-expression, and only records it refuses go through the layers with edits. Both are linear in the length of
-the record, and no record meets another, so there is no shuffle and nothing can be skewed.
+A dynamic program reads each record through five states (cell start, unquoted, quoted, after the closing quote,
+after blanks behind it) and the number of cells so far. It may insert or delete quotes, delete a delimiter (the
+two cells are then one) and insert delimiters, each at a cost; of all readings with the wanted number of cells
+the cheapest holds. A quote edit costs more than any number of delimiter edits, as quoting is the first reason
+that applies; both costs are parameters. A record of cost zero whose cells have valid types is loaded. Otherwise
+the edits state the reason: with any quote edit it is quoting, else with any delimiter edit the column count;
+cost zero with an invalid cell is an invalid value.
+
+The zero-cost layer is the RFC 4180 automaton; it is run first, and only records it refuses, or that have another
+number of cells, go through the program. That runs over many records at once, one step per token (a run of
+ordinary characters or of blanks, a quote, a comma), and is linear in the length of a record. No record meets
+another in a result, so there is no shuffle and nothing can be skewed.
 
 Defined results: null, empty and blank records and header lines are neither loaded nor faults; repeated rows
 each count; further columns are ignored; an empty table gives no rows.
@@ -21,6 +24,7 @@ import re
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -32,7 +36,9 @@ _CELL = rf'[{BLANK}]*"[^"]*(?:""[^"]*)*"[{BLANK}]*|[^",]*'
 _RECORD = re.compile(rf"(?:{_CELL})(?:,(?:{_CELL}))*")
 _EACH = re.compile(_CELL)
 _NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
-_START, _OPEN, _QUOTED, _CLOSED = range(4)
+_START, _OPEN, _QUOTED, _CLOSED, _AFTER = range(5)
+#: A quote edit outweighs all delimiter edits that a record can have.
+QUOTE_COST = 1 << 32
 _EPOCH = datetime(1970, 1, 1)
 _FIRST, _END = 1_577_836_800_000_000, 4_102_444_800_000_000  # 2020 and 2100, in microseconds
 
@@ -53,44 +59,113 @@ def zero_cost_cells(record: str) -> list[str] | None:
         at = m.end() + 1
 
 
-def cheapest_edits(record: str, width: int) -> tuple[int, int, list[str]]:
-    """(cost, number of cells, quote edits as text) of the cheapest reading of a record; ties: cells nearest to width."""
-    infinite = (1 << 30, 0, None)
-    # Per state: cost, cells so far, edits as a linked list. Fewer edits first, then the cell count nearest to width.
-    better = lambda a, b: a if (a[0], abs(a[1] - width)) <= (b[0], abs(b[1] - width)) else b
-    states = [(0, 1, None), infinite, infinite, infinite]
-    for i, ch in enumerate(record + "\0"):
-        # Insertions of a quote before the character: they open a cell or close a quoted one.
-        start, open_, quoted, closed = states
-        edit = lambda s, what: (s[0] + 1, s[1], (s[2], f"{what}@{i}"))  # noqa: B023, E731
-        quoted_ = better(quoted, edit(start, "insert_quote"))
-        closed_ = better(closed, edit(quoted, "insert_quote"))
-        if ch == "\0":
-            best = better(better(start, open_), closed_)
-            edits = []
-            node = best[2]
-            while node:
-                edits.append(node[1])
-                node = node[0]
-            return best[0], best[1], edits[::-1]
-        new = [infinite] * 4
-        if ch == '"':
-            new[_QUOTED] = better(start, closed)  # opens, or "" inside a quoted cell
-            new[_CLOSED] = quoted_
-            for k, s in enumerate((start, open_, quoted_, closed_)):
-                new[k] = better(new[k], edit(s, "delete_quote"))
-            new[_QUOTED] = better(new[_QUOTED], edit(quoted_, "insert_quote"))  # doubled
-        elif ch == ",":
-            ends = better(better(start, open_), closed_)
-            new[_START] = (ends[0], ends[1] + 1, ends[2])
-            new[_QUOTED] = quoted_
-        elif ch in BLANK:
-            new[_START], new[_OPEN], new[_QUOTED], new[_CLOSED] = start, open_, quoted_, closed_
-        else:
-            new[_OPEN] = better(start, open_)
-            new[_QUOTED] = quoted_
-        states = new
-    raise AssertionError
+_TOKEN = re.compile(rf'(?P<text>[^",{BLANK}]+)|(?P<blank>[{BLANK}]+)|(?P<quote>")|(?P<comma>,)')
+_TEXT, _SPACE, _QUOTE, _COMMA, _PAST = range(5)
+_KIND = {"text": _TEXT, "blank": _SPACE, "quote": _QUOTE, "comma": _COMMA}
+_INFINITE = 1 << 60
+#: Tokens that one run of the program holds, over all its records.
+_AT_ONCE = 200_000
+
+
+def _least(*options: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(cost, code) of the cheapest option at each place; the first of equal ones."""
+    cost, code = options[0][0], np.full(options[0][0].shape, options[0][1], dtype=np.uint8)
+    for other, k in options[1:]:
+        less = other < cost
+        cost, code = np.where(less, other, cost), np.where(less, np.uint8(k), code)
+    return cost, code
+
+
+def cheapest_edits(records: list[str], width: int, quote: int = QUOTE_COST, delimiter: int = 1) -> list[tuple[int, list[str]]]:
+    """(cost, edits as text in order of place) of the cheapest reading of each record with ``width`` cells."""
+    tokens = [[(_KIND[m.lastgroup], m.start()) for m in _TOKEN.finditer(r)] for r in records]
+    order = sorted(range(len(records)), key=lambda i: len(tokens[i]))
+    out: list = [None] * len(records)
+    while order:
+        # Records of like length run together.
+        n = len(order)
+        while n > 1 and n * len(tokens[order[n - 1]]) > _AT_ONCE:
+            n = (n + 1) // 2
+        group, order = order[:n], order[n:]
+        for i, found in zip(group, _program([tokens[i] for i in group], [len(records[i]) for i in group], width, quote, delimiter)):
+            out[i] = found
+    return out
+
+
+def _program(tokens: list[list[tuple[int, int]]], ends: list[int], width: int, quote: int, delimiter: int) -> list[tuple[int, list[str]]]:
+    n, steps = len(tokens), max(map(len, tokens), default=0)
+    kinds = np.full((n, steps), _PAST, dtype=np.int8)
+    for i, t in enumerate(tokens):
+        kinds[i, : len(t)] = [k for k, _ in t]
+    # cost[state, record, cells - 1]; opened and read remember how each state was reached: before a token by an
+    # inserted quote (the code of the state it was inserted in), at a token by reading or deleting it.
+    cost = np.full((5, n, width), _INFINITE, dtype=np.int64)
+    cost[_START, :, 0] = 0
+    opened = np.zeros((steps + 1, 2, n, width), dtype=np.uint8)
+    read = np.zeros((steps, 5, n, width), dtype=np.uint8)
+    last = np.full((5, n, width), _INFINITE, dtype=np.int64)
+
+    def inserted(cost: np.ndarray, step: int) -> np.ndarray:
+        now = cost.copy()
+        now[_QUOTED], opened[step, 0] = _least((cost[_QUOTED], _QUOTED), (cost[_START] + quote, _START), (cost[_CLOSED] + quote, _CLOSED))
+        now[_CLOSED], opened[step, 1] = _least((cost[_CLOSED], _CLOSED), (cost[_QUOTED] + quote, _QUOTED))
+        return np.minimum(now, _INFINITE)
+
+    for step in range(steps + 1):
+        full = inserted(cost, step)
+        done = np.array([len(t) == step for t in tokens])
+        last[:, done] = full[:, done]
+        if step == steps:
+            break
+        start, open_, quoted, closed, after = full
+        none = np.full_like(start, _INFINITE)
+        kind = kinds[:, step]
+        new = np.full_like(full, _INFINITE)
+        for k in set(kind.tolist()) - {_PAST}:
+            if k == _TEXT:
+                got = [(none, np.zeros(none.shape, np.uint8)), _least((open_, _OPEN), (start, _START)), _least((quoted, _QUOTED)), *[(none, np.zeros(none.shape, np.uint8))] * 2]
+            elif k == _SPACE:
+                got = [_least((start, _START)), _least((open_, _OPEN)), _least((quoted, _QUOTED)), (none, np.zeros(none.shape, np.uint8)), _least((after, _AFTER), (closed, _CLOSED))]
+            elif k == _QUOTE:
+                # Codes from 8 on: the quote is deleted.
+                got = [
+                    _least((start + quote, 8 + _START)), _least((open_ + quote, 8 + _OPEN)), _least((start, _START), (closed, _CLOSED), (quoted + quote, 8 + _QUOTED)),
+                    _least((quoted, _QUOTED), (closed + quote, 8 + _CLOSED)), _least((after + quote, 8 + _AFTER)),
+                ]
+            else:
+                end, whence = _least((start, _START), (open_, _OPEN), (closed, _CLOSED), (after, _AFTER))
+                ahead, code = np.full_like(end, _INFINITE), np.zeros_like(whence)
+                ahead[:, 1:], code[:, 1:] = end[:, :-1], whence[:, :-1]
+                less = end + delimiter < ahead
+                got = [(np.where(less, end + delimiter, ahead), np.where(less, whence + 8, code)), (none, np.zeros(none.shape, np.uint8)), _least((quoted, _QUOTED)), *[(none, np.zeros(none.shape, np.uint8))] * 2]
+            mine = kind == k
+            for s, (c, code) in enumerate(got):
+                new[s, mine], read[step, s, mine] = c[mine], code[mine]
+        cost = np.minimum(new, _INFINITE)
+    # Cells that lack at the end are delimiters inserted there.
+    whole, state = _least(*((last[s], s) for s in (_START, _OPEN, _CLOSED, _AFTER)))
+    whole = whole + delimiter * np.arange(width - 1, -1, -1)
+    best = whole.argmin(axis=1)
+    return [_edits(int(whole[i, best[i]]), int(state[i, best[i]]), int(best[i]), i, t, ends[i], width, opened, read) for i, t in enumerate(tokens)]
+
+
+def _edits(cost: int, state: int, cell: int, i: int, tokens: list[tuple[int, int]], end: int, width: int, opened: np.ndarray, read: np.ndarray) -> tuple[int, list[str]]:
+    found = [f"insert_delimiter@{end}"] * (width - 1 - cell)
+    for step in range(len(tokens), -1, -1):
+        if state in (_QUOTED, _CLOSED):
+            before = int(opened[step, 0 if state == _QUOTED else 1, i, cell])
+            if before != state:
+                found.append(f"insert_quote@{tokens[step][1] if step < len(tokens) else end}")
+                state = before
+        if step:
+            kind, at = tokens[step - 1]
+            code = int(read[step - 1, state, i, cell])
+            if code >= 8:
+                found.append(f"delete_{'quote' if kind == _QUOTE else 'delimiter'}@{at}")
+            elif kind == _COMMA and state == _START:
+                cell -= 1
+            state = code % 8
+    return cost, found[::-1]
 
 
 def instant_us(cell: str) -> int | None:
@@ -136,24 +211,26 @@ def is_header(cells: list[str]) -> bool:
     return len(cells) > 1 and all(c in QUANTITY_OF or c.lower() in QUANTITY_OF for c in cells)
 
 
-def judge(record: str | None, width: int = len(ARCHIVE_CSV_FIELDS)) -> tuple[str, object]:
-    """(ok, values), (skip, None) or (reason, what was wrong)."""
-    if record is None:
-        return "skip", None
-    record = record.removeprefix("\ufeff").removesuffix("\r")
-    if not record.strip(BLANK):
-        return "skip", None
-    cells = zero_cost_cells(record)
-    if cells is None:
-        cost, n, edits = cheapest_edits(record, width)
-        delimiters = [] if n == width else [f"{'insert' if n < width else 'delete'}_delimiter*{abs(n - width)}"]
-        return "quoting", f"cost {cost + abs(n - width)}: " + " ".join(edits + delimiters)
-    if is_header(cells):
-        return "skip", None
-    if len(cells) != width:
-        return "column_count", f"cost {abs(len(cells) - width)}: {'insert' if len(cells) < width else 'delete'}_delimiter*{abs(len(cells) - width)}"
-    values = typed(cells)
-    return ("invalid_value", values) if isinstance(values, str) else ("ok", values)
+def judge(records: list[str | None], width: int = len(ARCHIVE_CSV_FIELDS)) -> list[tuple[str, object]]:
+    """Of each record (ok, values), (skip, None) or (reason, what was wrong)."""
+    out: list[tuple[str, object]] = [("skip", None)] * len(records)
+    refused: list[tuple[int, str]] = []
+    for i, record in enumerate(records):
+        record = (record or "").removeprefix("\ufeff").removesuffix("\r")
+        if not record.strip(BLANK):
+            continue
+        cells = zero_cost_cells(record)
+        if cells is not None and is_header(cells):
+            continue
+        if cells is None or len(cells) != width:
+            refused.append((i, record))
+            continue
+        values = typed(cells)
+        out[i] = ("invalid_value", values) if isinstance(values, str) else ("ok", values)
+    for (i, _), (_, edits) in zip(refused, cheapest_edits([r for _, r in refused], width)):
+        reason = "quoting" if any(e.startswith(("insert_quote", "delete_quote")) for e in edits) else "column_count"
+        out[i] = reason, f"{len(edits)} edits: " + " ".join(edits)
+    return out
 
 
 _OUT = pa.schema(
@@ -172,8 +249,7 @@ def parse_records(records: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                verdict, value = judge(record)
+            for i, (verdict, value) in zip(batch.column(0).to_pylist(), judge(batch.column(1).to_pylist())):
                 if verdict == "ok":
                     out.append({"rec_id": i, "open_time_us": value.pop("open_time")} | value)
                 elif verdict != "skip":
@@ -183,9 +259,8 @@ def parse_records(records: DataFrame) -> DataFrame:
     return records.select("rec_id", "record").mapInArrow(run, _DDL)
 
 
-def row_text(record: str | None) -> str | None:
+def row_text(record: str | None, verdict: str, values: object) -> str | None:
     """An accepted record as an API row: a JSON array of its cells, a date and time in full; None for others."""
-    verdict, values = judge(record)
     if verdict != "ok":
         return None
     cells = zero_cost_cells(record.removeprefix("\ufeff").removesuffix("\r"))
@@ -200,7 +275,8 @@ def api_rows(records: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, row_text(record)) for i, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            texts = batch.column(1).to_pylist()
+            rows = [(i, row_text(record, *found)) for i, record, found in zip(batch.column(0).to_pylist(), texts, judge(texts))]
             yield pa.RecordBatch.from_pylist([{"rec_id": i, "row": row} for i, row in rows if row is not None], schema=schema)
 
     return records.select("rec_id", "record").mapInArrow(run, "rec_id bigint, row string")

@@ -1,6 +1,7 @@
 import csv
 import io
 import itertools
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -27,7 +28,7 @@ def with_cell(i, text):
      with_cell(0, "2020-01-01 00:00:00"), with_cell(0, "2020-01-01T02:00:00+02:00"), with_cell(0, "1577836800"), with_cell(5, "0"), with_cell(7, ""), with_cell(8, "12.0"), with_cell(5, "1.5e+3"), with_cell(6, "x"), with_cell(11, "")],
 )
 def test_loads(record):
-    assert judge(record)[0] == "ok"
+    assert judge([record])[0][0] == "ok"
 
 
 @pytest.mark.parametrize(
@@ -41,32 +42,61 @@ def test_loads(record):
     ],
 )
 def test_reasons(record, reason):
-    assert judge(record)[0] == reason
+    assert judge([record])[0][0] == reason
 
 
 @pytest.mark.parametrize("record", [None, "", "  ", "﻿", "\r", "open_time,open,high,low,close,volume,close_time,quote_volume,count,taker_buy_volume,taker_buy_quote_volume,ignore"])
 def test_no_cases(record):
-    assert judge(record)[0] == "skip"
+    assert judge([record])[0][0] == "skip"
 
 
 def valid(text):
     return zero_cost_cells(text) is not None
 
 
-def brute(text, most=3):
-    """The least number of quotes to insert or delete so that a text parses."""
-    level = {text}
-    for cost in range(most + 1):
-        if any(valid(t) for t in level):
-            return cost
-        level = {t[:i] + t[i + 1 :] for t in level for i in range(len(t)) if t[i] == '"'} | {t[:i] + '"' + t[i:] for t in level for i in range(len(t) + 1)}
-    return None
+def brute(text, width, most=3):
+    """(quote edits, cells that are too many or too few) of every least reading: by number of quote edits."""
+    level, seen, out = {text}, set(), []
+    for quotes in range(most + 1):
+        cells = [len(zero_cost_cells(t)) for t in level if valid(t)]
+        if cells:
+            out.append((quotes, min(abs(n - width) for n in cells)))
+        seen |= level
+        level = ({t[:i] + t[i + 1 :] for t in level for i in range(len(t)) if t[i] == '"'} | {t[:i] + '"' + t[i:] for t in level for i in range(len(t) + 1)}) - seen
+    return out
 
 
-def test_cheapest_edits_against_brute_force():
-    for n in range(1, 6):
-        for t in map("".join, itertools.product('a",', repeat=n)):
-            assert cheapest_edits(t, 2)[0] == brute(t), t
+def costs(texts, width, quote):
+    return [(c, sum("quote" in e for e in edits), sum("delimiter" in e for e in edits)) for c, edits in cheapest_edits(texts, width, quote)]
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_cheapest_edits_against_brute_force(width):
+    texts = [t for n in range(1, 6) for t in map("".join, itertools.product('a", ', repeat=n))]
+    weighty, even = costs(texts, width, 1 << 32), costs(texts, width, 1)
+    for t, (_, quotes, delimiters), (cost, *_) in zip(texts, weighty, even):
+        want = brute(t, width)
+        assert (quotes, delimiters) == min(want), t
+        assert cost == min(q + d for q, d in want), t
+
+
+def test_longer_records_against_brute_force():
+    rng = random.Random(3)
+    for width in (1, 3, 5, 12):
+        texts = ["".join(rng.choice('a",,b " ') for _ in range(rng.randrange(6, 13))) for _ in range(15)]
+        for t, (cost, quotes, delimiters) in zip(texts, costs(texts, width, 1 << 32)):
+            want = brute(t, width, 2)
+            if want:
+                assert (quotes, delimiters) == min(want) and cost == (quotes << 32) + delimiters, t
+            else:
+                assert quotes > 2, t
+
+
+def test_edits_in_their_places():
+    assert cheapest_edits(['a"b,c', "a", "a,b,c", '"a', 'x,"a"b'], 2) == [
+        (1 << 32, ["delete_quote@1"]), (1, ["insert_delimiter@1"]), (1, ["delete_delimiter@1"]), ((1 << 32) + 1, ["delete_quote@0", "insert_delimiter@2"]), (1 << 33, ["delete_quote@2", "delete_quote@4"]),
+    ]
+    assert cheapest_edits([',",a,,,",aa,"a,,,""",,"'], 6, 1)[0][0] == 3
 
 
 @settings(max_examples=300, deadline=None)
@@ -89,7 +119,7 @@ def test_table(spark):
     got = parse_records(df).collect()
     assert sorted((r.rec_id or 0, r.reason or "ok") for r in got) == [(0, "quoting"), (1, "ok"), (1, "ok"), (3, "column_count"), (4, "ok")]
     assert parse_records(df.limit(0)).count() == 0
-    assert "insert_delimiter*10" in next(r.detail for r in got if r.rec_id == 3)
+    assert "10 edits: insert_delimiter@3" in next(r.detail for r in got if r.rec_id == 3)
 
 
 def test_every_accepted_record_is_an_api_row(spark):
