@@ -96,7 +96,7 @@ def test_edits_in_their_places():
     assert cheapest_edits(['a"b,c', "a", "a,b,c", '"a', 'x,"a"b'], 2) == [
         (1 << 32, ["delete_quote@1"]), (1, ["insert_delimiter@1"]), (1, ["delete_delimiter@1"]), ((1 << 32) + 1, ["delete_quote@0", "insert_delimiter@2"]), (1 << 33, ["delete_quote@2", "delete_quote@4"]),
     ]
-    assert cheapest_edits([',",a,,,",aa,"a,,,""",,"'], 6, 1)[0][0] == 3
+    assert cheapest_edits([',",a,,,",aa,"a,,,""",,"'], 10, 1)[0][0] == 3
 
 
 @settings(max_examples=300, deadline=None)
