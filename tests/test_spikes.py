@@ -100,8 +100,9 @@ def test_additive_outlier_but_not_level_shift():
     x = rng.normal(0, 1, 400)
     x[100] += 40
     x[250:] += 40
-    effect = np.abs(additive_outliers(x))
-    assert effect[100] > 30 and (effect[240:260] < 20).all()
+    for phi in (None, 0.0, 0.1):
+        effect = np.abs(additive_outliers(x, phi)[0])
+        assert effect[100] > 30 and (effect[240:260] < 20).all()
 
 
 @pytest.mark.parametrize("values", [[], [1.0], [1.0, 1.0, 2.0, 1.0]])
