@@ -17,14 +17,13 @@ repeated rows give their units again; ``lang`` may be null or wrong; further col
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Characters of a rule's context before the place.
-REACH = 48
 _LINE = regex.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 #: A run of signs in a wrapped line is no heading.
 _HEADING = regex.compile(r"\s*#{1,6}(?:\s|$)")
@@ -32,10 +31,12 @@ _LOG = regex.compile(r"\s*\[?[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}")
 _ITEM = regex.compile(r"\s*(?:[-*•‣◦▪·–—+]|[0-9]{1,3}[.)]|\([0-9a-z]{1,3}\))\s+(?=\S)")
 _WORD = regex.compile(r"[\p{L}\p{N}]")
 
-_MARKS = r".!?…。！？｡．।॥؟۔։᙮⁇⁈⁉‼"
+_MARKS = r".!?…。！？｡．।॥؟۔։᙮⁇⁈⁉‼\u037e።፧។៕။᠃᠉꓿"
 _CLOSERS = "\"”’»›“)）]】」』》〉}"
 #: A place: marks, then closing quotes or brackets (French ones after a space), then perhaps marks again.
 _PLACE = regex.compile(rf"[{_MARKS}]+(?P<close>(?:[{regex.escape(_CLOSERS)}]|\s»)*)")
+#: In Greek a semicolon asks.
+_GREEK_PLACE = regex.compile(_PLACE.pattern.replace(f"[{_MARKS}]+", f"[{_MARKS};]+"))
 _THAI_SPACE = regex.compile(r"(?<=[฀-๿])[^\S\r\n]+(?=[฀-๿A-Za-z])")
 
 _PAIRS = {"(": ")", "（": "）", "[": "]", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "{": "}", "«": "»", "‹": "›"}
@@ -46,10 +47,12 @@ class Rule(NamedTuple):
     breaks: bool
     before: regex.Pattern
     after: regex.Pattern
+    caseless: bool
 
 
-def rule(breaks: bool, before: str, after: str = "") -> Rule:
-    return Rule(breaks, regex.compile(f"(?:{before})\\Z"), regex.compile(after))
+def rule(breaks: bool, before: str, after: str = "", caseless: bool = False) -> Rule:
+    """before is read backwards from the place, after forwards; caseless: only where the last letter has no case."""
+    return Rule(breaks, regex.compile(f"(?r)(?:{before})"), regex.compile(after), caseless)
 
 
 #: The beginning of a word; it may follow a sentence without a blank.
@@ -57,6 +60,15 @@ _NAMED = r"(?:(?<![\p{L}\p{N}_.])|(?<=[\p{Ll})]{2}\.))"
 #: The next word is an identifier of code, whose lower case says nothing.
 _CODE = r"\s*[\p{Ps}\p{Pi}\"]*[a-z][a-z0-9]*(?:_[a-z0-9]+)+"
 _LOWER = r"\s*[\p{Ps}\p{Pi}\p{Pd}\"¿¡\s]*\p{Ll}"
+#: Words that mostly begin a sentence where they have a capital.
+_STARTS = (
+    r"\s+(?:The|A|An|It|Its|He|She|They|We|You|I|This|That|These|Those|There|Here|In|On|At|By|For|From|With|But|And|Or|So|If|When|While|After|Before|As|No|Not|All|Both|Each|However|Then|Now|Who|What|Why|How|Where)\b"
+)
+
+def shortened(words: str) -> list[Rule]:
+    """Rules of abbreviations that may end a sentence: they do before a word that mostly begins one."""
+    return [rule(True, _NAMED + rf"(?:{words})\.", _STARTS), rule(False, _NAMED + rf"(?:{words})\.")]
+
 
 # Abbreviations of each language and what they are followed by.
 TABLES: dict[str, list[Rule]] = {
@@ -73,6 +85,8 @@ TABLES: dict[str, list[Rule]] = {
         rule(False, _NAMED + r"(?:[Nn]os?|[Ss]ecs?|[Ff]igs?|[Ee]qs?|[Cc]h|[Vv]ol|[Pp]p?|[Aa]rt|[Pp]ar|[Tt]ab|[Mm]in|[Mm]ax)\.", r"\s*[(#]?\p{N}"),
         rule(False, _NAMED + r"[ap]\.\s?m\.", r"\s+(?:UTC|GMT|BST|JST|CES?T|E[SD]T|C[SD]T|P[SD]T)\b"),
         rule(False, _NAMED + r"(?:Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?|Oct|Nov|Dec)\.", r"\s+\p{N}"),
+        rule(False, _NAMED + r"(?:Adm|Brig|Cmdr|Cpl|Gov|Maj|Pres|Rep|Sen|Supt|Fr|Sr?gt|Ft)\.", r"\s+\p{Lu}"),
+        *shortened(r"[Ii]nc|[Ll]td|[Cc]orp|[Cc]o|[Bb]ros|[Jj]r|[Ss]r|[Ee]sq|[Aa]ve|[Bb]lvd|[Rr]d|[Hh]wy|[Dd]ept|[Uu]niv|[Aa]ssn|[Ii]nst|[Gg]ovt|[Mm]gmt|[Mm]fg|[Ee]xt|[Ee]d|[Ee]ds|[Tt]rans|[Rr]ev|[Mm]isc|Ph\.\s?D|M\.\s?D|B\.\s?A|M\.\s?A"),
     ],
     "de": [
         rule(False, _NAMED + r"(?:z\.\s?B|d\.\s?h|u\.\s?a|o\.\s?ä|i\.\s?d\.\s?R|u\.\s?U|s\.\s?o|s\.\s?u|v\.\s?a)\."),
@@ -112,6 +126,34 @@ TABLES: dict[str, list[Rule]] = {
     "ko": [rule(False, _NAMED + r"(?:No|vs|Dr|Mr|Ms)\.", r"\s*\S")],
     "zh": [],
     "ja": [],
+    "it": [
+        rule(False, _NAMED + r"(?:[Ss]ig|[Ss]igg|[Ss]ig\.ra|[Ss]ig\.na|[Dd]ott|[Dd]ott\.ssa|[Dd]r|[Pp]rof|[Aa]vv|[Ii]ng|[Aa]rch|[Gg]eom|[Rr]ag|[Oo]n|[Ss]en|[Cc]av|[Ss]pett|[Ee]gr|[Gg]ent)\."),
+        rule(False, _NAMED + r"(?:ad es|p\.\s?es|cfr|es|ca|cd|fig|tab|cap|vol|art|artt|n|nn|p|pp|pag|pagg|tel|sec|min|max|[Pp]\.zza|v|vd)\."),
+        rule(False, r"\b(?:a|d)\.", r"\s*[Cc]\."),
+    ],
+    "pt": [
+        rule(False, _NAMED + r"(?:[Ss]ra?s?|[Ss]rta|[Dd]ra?s?|[Pp]rofa?|[Ee]ng|[Ee]ngª|[Ee]xmo|[Ee]xma|D|Av|R|Pç|Trav)\."),
+        rule(False, _NAMED + r"(?:p\.\s?ex|aprox|núm|pág|págs|art|cap|fig|vol|tel|min|máx|obs|séc|ed|cf|[Nn])\."),
+    ],
+    "nl": [
+        rule(False, _NAMED + r"(?:[Dd]r|[Dd]rs|[Ii]r|[Ii]ng|[Mm]r|[Pp]rof|[Dd]hr|[Mm]evr|[Mm]w|[Ss]t)\."),
+        rule(False, _NAMED + r"(?:bijv|bv|d\.w\.z|o\.a|m\.a\.w|t\.o\.v|i\.v\.m|ca|nl|nr|blz|fig|art|incl|excl|evt|resp|max|min|jl|zgn)\."),
+    ],
+    "pl": [
+        rule(False, _NAMED + r"(?:np|tj|tzn|tzw|m\.in|ok|ul|al|pl|nr|str|rys|tab|prof|dr|mgr|inż|gen|ks|św|im|godz|min|tys|mln|mld|zł|gr|wg|zob|por|red|wyd|art|ust|pkt)\."),
+    ],
+    "tr": [rule(False, _NAMED + r"(?:[Dd]r|[Pp]rof|[Dd]oç|[Aa]v|[Ss]n|vb|vs|örn|bkz|yy|s|sf|No|Cad|Sok|Mah|Apt|Tel)\."), rule(False, r"(?<![\p{N}.,:])\p{N}{1,3}\.", r"\s+\p{Ll}")],
+    "cs": [rule(False, _NAMED + r"(?:např|tj|tzn|tzv|apod|atd|atp|č|čl|str|obr|tab|kap|viz|p|pí|sl|[Dd]r|[Ii]ng|[Mm]gr|[Bb]c|[Pp]rof|[Dd]oc|[Mm]UDr|JUDr|tis|mil|mld|ul|nám)\.", r"\s*\S")],
+    "sv": [rule(False, _NAMED + r"(?:t\.ex|bl\.a|m\.m|d\.v\.s|dvs|osv|s\.k|ca|kl|nr|st|[Dd]r|[Pp]rof|jfr|fig|kap|sid|tel|max|min)\.", r"\s*\S")],
+    "el": [rule(False, _NAMED + r"(?:π\.χ|δηλ|κ|κα|κος|κ\.λπ|κ\.ά|βλ|σελ|αρ|παρ|κεφ|τηλ|ευρ|εκ|δισ|καθ|[Δδ]ρ|μ\.μ|π\.μ)\.", r"\s*\S"), rule(True, r"\p{Greek}\s*;", r"\s+\p{Lu}")],
+    "uk": [rule(True, _NAMED + r"т\.\s?[дп]\.", r"\s+\p{Lu}"), rule(False, _NAMED + r"(?:т\.\s?(?:д|п|ч|е|зв)|напр|див|рис|табл|стор|ст|вул|просп|пл|м|обл|р|рр|тис|млн|млрд|грн|коп|ім|проф|акад|доц)\.")],
+    "bg": [rule(False, _NAMED + r"(?:т\.\s?е|напр|вж|стр|фиг|табл|ул|бул|гр|обл|хил|млн|млрд|лв|проф|доц|инж)\.")],
+    "fa": [rule(False, _NAMED + r"(?:ص|ق|م|ه|ش|د|دکتر|ر\.ک)\.", r"\s*\S")],
+    "ur": [rule(False, _NAMED + r"(?:ص|ڈاکٹر|م|ع)\.", r"\s*\S")],
+    "he": [rule(False, r"(?<![\p{Hebrew}])(?:ד״ר|ד\"ר|פרופ['׳]?|עמ['׳]?|מס['׳]?|וכו['׳]?|ר['׳]?)\.?", r"\s*\S")],
+    "bn": [rule(False, r"(?<![\p{L}\p{M}])(?:ড|ডা|মি|মো|মোঃ|পৃ|প্রফে|নং)\.", r"\s*\S")],
+    "mr": [rule(False, r"(?<![\p{L}\p{M}])(?:डॉ|श्री|पृ|क्र|रु|उदा)\.", r"\s*\S")],
+    "ta": [rule(False, r"(?<![\p{L}\p{M}])(?:திரு|டாக்டர்|பக்|எண்)\.", r"\s*\S")],
     "initials": [
         # Initials of names; the last letter of an abbreviation such as U.S. is none.
         rule(False, r"(?<![\p{L}\p{N}_.'’])\p{Lu}\.", r"\s+\p{Lu}"),
@@ -122,14 +164,14 @@ TABLES: dict[str, list[Rule]] = {
         rule(False, r"", r"\s*[\p{Ps}\p{Pi}\p{Pd}\"\s]*[\p{Lo}\p{Lm}]"),
         rule(True, r"", _CODE),
         rule(False, r"", _LOWER),
-        rule(False, r"[\p{Lo}\p{Lm}\p{M}][^\p{L}]*", r""),
+        rule(False, r"", r"", caseless=True),
         rule(False, r"", r"[^\s]"),
         rule(True, r"", r""),
     ],
     "last": [
         rule(False, r"", r"\s*[,;:，、；：،؛]"),
         # Full-width marks and those of scripts without blanks end a unit wherever they stand.
-        rule(True, r"[。！？｡．।॥؟۔].*", r""),
+        rule(True, rf"[。！？｡．।॥؟۔።፧។៕။᠃᠉꓿][{_MARKS}{regex.escape(_CLOSERS)}\s]*", r""),
         rule(True, r"[!?…]+", r"[\p{Lo}]"),
         rule(True, r"(?:[\p{Han}\p{Hiragana}\p{Katakana}%\p{N}])…+", r"[^\s.]"),
         rule(True, r"", r"\s+" + _CODE),
@@ -138,17 +180,44 @@ TABLES: dict[str, list[Rule]] = {
         rule(False, r"", r""),
     ],
 }
-_OF_SCRIPT = {"latin": ("en", "de", "fr", "es"), "cyrillic": ("ru",), "arabic": ("ar",), "devanagari": ("hi",), "thai": ("th",), "hangul": ("ko",), "han": ("zh", "ja")}
+_OF_SCRIPT = {
+    "latin": ("en", "de", "fr", "es"), "cyrillic": ("ru",), "greek": ("el",), "arabic": ("ar",), "hebrew": ("he",), "devanagari": ("hi",), "bengali": ("bn",), "tamil": ("ta",),
+    "thai": ("th",), "hangul": ("ko",), "han": ("zh", "ja"), "other": (),
+}
+#: Languages whose table counts only where the text is said to be in them: they share a script with others.
+_IF_SAID = {"latin": ("it", "pt", "nl", "pl", "tr", "cs", "sv"), "cyrillic": ("uk", "bg"), "arabic": ("fa", "ur"), "devanagari": ("mr",)}
 _SCRIPT = regex.compile(
-    r"(?P<latin>\p{Latin})|(?P<cyrillic>\p{Cyrillic})|(?P<arabic>\p{Arabic})|(?P<devanagari>\p{Devanagari})|(?P<thai>\p{Thai})|(?P<hangul>\p{Hangul})|(?P<han>[\p{Han}\p{Hiragana}\p{Katakana}])"
+    r"(?P<latin>\p{Latin})|(?P<cyrillic>\p{Cyrillic})|(?P<greek>\p{Greek})|(?P<arabic>\p{Arabic})|(?P<hebrew>\p{Hebrew})|(?P<devanagari>\p{Devanagari})|(?P<bengali>\p{Bengali})|(?P<tamil>\p{Tamil})"
+    r"|(?P<thai>\p{Thai})|(?P<hangul>\p{Hangul})|(?P<han>[\p{Han}\p{Hiragana}\p{Katakana}])|(?P<other>.)",
+    regex.S,
 )
 _LAST_LETTER = regex.compile(r"(?r)\p{L}")
+_CASELESS = regex.compile(r"[\p{Lo}\p{Lm}]")
 
 
-def script_before(text: str, start: int, at: int) -> str:
-    m = _LAST_LETTER.search(text, start, at)
-    found = _SCRIPT.match(m.group()) if m else None
-    return found.lastgroup if found else "latin"
+class _Letters:
+    """The script of the last letter before a place, and whether it has no case; places must be asked for in order."""
+
+    def __init__(self, text: str, start: int):
+        self.text, self.upto, self.script, self.caseless = text, start, "latin", False
+
+    def before(self, at: int) -> tuple[str, bool]:
+        if at > self.upto:
+            m = _LAST_LETTER.search(self.text, self.upto, at)
+            if m:
+                self.script, self.caseless = _SCRIPT.match(m.group()).lastgroup, bool(_CASELESS.match(m.group()))
+            self.upto = at
+        return self.script, self.caseless
+
+
+@lru_cache(1024)
+def cascade(script: str, lang: str, quoted: bool) -> tuple[Rule, ...]:
+    """The rules that decide a place, in order: of the common table, of the languages of the script, of the last table."""
+    languages = [*(x for x in _IF_SAID.get(script, ()) if x == lang), *sorted(_OF_SCRIPT[script], key=lambda x: x != lang)]
+    names = ["common", *languages, "initials", "last"]
+    if quoted:
+        names = ["common", "quoted"] if script != "thai" else ["common", "th", "quoted"]
+    return tuple(r for name in names for r in TABLES[name])
 
 
 def protected_spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -193,24 +262,18 @@ def protected_spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return spans
 
 
-def _decide(text: str, start: int, at: int, end: int, quoted: bool, lang: str) -> bool:
+def _decide(text: str, start: int, at: int, end: int, rules: tuple[Rule, ...], caseless: bool) -> bool:
     """Whether a unit ends at a place: the first matching rule of the cascade."""
-    before, after = text[max(start, at - REACH) : at], text[at : min(end, at + REACH)]
-    script = script_before(text, start, at)
-    languages = sorted(_OF_SCRIPT[script], key=lambda x: x != lang)
-    tables = ["common", *languages, "initials", "quoted" if quoted else "last"]
-    if quoted:
-        tables = ["common", "quoted"] if script != "thai" else ["common", "th", "quoted"]
-    for name in tables:
-        for r in TABLES[name]:
-            if r.after.match(after) and r.before.search(before):
-                return r.breaks
+    for r in rules:
+        if (caseless or not r.caseless) and r.after.match(text, at, end) and r.before.match(text, start, at):
+            return r.breaks
     return False
 
 
 def _places(text: str, start: int, end: int, lang: str) -> list[int]:
     """Where units of a block end, in order; not the block's own end."""
     spans = protected_spans(text, start, end)
+    letters = _Letters(text, start)
     ends: list[int] = []
     k = 0
 
@@ -220,7 +283,7 @@ def _places(text: str, start: int, end: int, lang: str) -> list[int]:
             k += 1
         return k < len(spans) and spans[k][0] < at < spans[k][1]
 
-    found = [(m.end(), bool(m["close"])) for m in _PLACE.finditer(text, start, end)]
+    found = [(m.end(), bool(m["close"])) for m in (_GREEK_PLACE if lang == "el" else _PLACE).finditer(text, start, end)]
     thai = [(m.end(), None) for m in _THAI_SPACE.finditer(text, start, end)]
     if thai:
         found = sorted(found + thai, key=lambda x: x[0])
@@ -228,11 +291,12 @@ def _places(text: str, start: int, end: int, lang: str) -> list[int]:
         if at >= end or inside(at):
             continue
         if quoted is None:
-            before, after = text[max(start, at - REACH) : at], text[at : min(end, at + REACH)]
-            if next((r.breaks for r in TABLES["th"] if r.after.match(after) and r.before.search(before)), False):
+            if _decide(text, start, at, end, tuple(TABLES["th"]), False):
+                ends.append(at)
+        else:
+            script, caseless = letters.before(at)
+            if _decide(text, start, at, end, cascade(script, lang, quoted), caseless):
                 ends.append(at)
-        elif _decide(text, start, at, end, quoted, lang):
-            ends.append(at)
     return ends
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,3 +89,26 @@ def test_table(spark):
     got = sorted((r.doc_id or 0, r.start_char, r.end_char) for r in sentence_units(df).collect())
     assert got == [(0, 0, 1), (1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9), (3, 0, 1)]
     assert sentence_units(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "lang, sentences",
+    [
+        ("en", ["Arrived at Ave. Montaigne.", "He left."]), ("en", ["The dept. Head said no.", "It was so."]), ("en", ["He joined Acme Inc.", "The firm grew.", "Acme Inc. Holdings fell."]),
+        ("it", ["Il Sig. Rossi arriva.", "Poi parte."]), ("pt", ["O Sr. Silva saiu às 10.", "Voltou depois."]), ("nl", ["Zie bijv. Fig. 2.", "Klaar."]), ("el", ["Τι κάνεις;", "Καλά.", "Ο κ. Παπάς ήρθε."]),
+        ("uk", ["Див. рис. 3 та т.д.", "Кінець."]), ("bn", ["ডা. রহমান এলেন।", "তিনি গেলেন।"]), ("am", ["ሰላም ነው።", "ደህና።"]), ("he", ["ד״ר כהן הגיע.", "הוא הלך."]), ("fa", ["او رفت؟", "بله."]),
+    ],
+)
+def test_further_languages(lang, sentences):
+    text = " ".join(sentences)
+    assert [text[a:b] for a, b in units(text, lang)] == sentences
+
+
+def test_no_cap_on_the_context_and_linear_time():
+    word = "x" * 500
+    text = f"See {word}.Next one. Done."
+    assert [text[a:b] for a, b in units(text, "en")] == [f"See {word}.", "Next one.", "Done."]
+    began = time.process_time()
+    for text in ("1.” " * 60_000 + "x", "((1. " * 40_000 + "x", "a. " * 60_000, "。" * 200_000 + "好", "A.B." * 40_000):
+        assert units(text, "en")[-1][1] == len(text.rstrip())
+    assert time.process_time() - began < 60
