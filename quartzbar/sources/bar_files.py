@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import io
 import zipfile
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quartzbar.functions.fields import ARCHIVE_CSV_FIELDS, COLLECTED_CSV_FIELDS
+from quartzbar.operators.asof import asof_backward
 
 REQUIRED = ("open_time", "open", "high", "low", "close", "volume")
 OPTIONAL = tuple(c for c in COLLECTED_CSV_FIELDS if c not in REQUIRED)
@@ -29,7 +31,7 @@ def instant(text) -> F.Column:
 
 
 def read_csv_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Bars of CSV files with a header; refuses missing columns, repeated times and files without any volume."""
+    """Bars of CSV files with a header, in order of time; refuses missing columns, repeated times and files without any volume."""
     raw = spark.read.option("header", True).csv(path)
     missing = [c for c in REQUIRED if c not in raw.columns]
     if missing:
@@ -39,36 +41,51 @@ def read_csv_bars(spark: SparkSession, path: str) -> DataFrame:
         instant(F.col("open_time")).alias("open_time"), *(number(c).alias(c) for c in REQUIRED[1:]),
         *(F.coalesce(number(c), F.lit(0.0)).alias(c) if c in raw.columns else F.lit(0.0).alias(c) for c in OPTIONAL),
     )
-    facts = bars.agg(F.count(F.lit(1)).alias("n"), F.max("volume").alias("v"), F.count(F.when(F.col("open_time").isNull(), 1)).alias("untimed")).first()
+    # One pass proves all three; times are folded before they are shuffled.
+    times = bars.groupBy("open_time").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("volume")).alias("v"))
+    untimed = F.sum(F.when(F.col("open_time").isNull(), F.col("n")))
+    facts = times.agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("v"), F.max(F.when(F.col("open_time").isNotNull(), F.col("n"))).alias("most"), untimed.alias("untimed")).first()
     if facts.untimed:
         raise BadBars(f"{facts.untimed} rows without a time")
     if facts.n and not facts.v:
         raise BadBars("no row has any volume")
-    if bars.groupBy("open_time").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+    if (facts.most or 0) > 1:
         raise BadBars("repeated times")
-    return bars
+    return bars.sort("open_time")
 
 
-def _archive_columns(rows: DataFrame, file: str) -> DataFrame:
-    typed = rows.where(F.col("open_time").rlike("^[0-9]")).select(
-        F.col(file).alias("file"), instant(F.col("open_time")).alias("open_time"), *(F.col(c).try_cast("double").alias(c) for c in REQUIRED[1:]),
+#: Where a row stands: its file, the split of the file (by first byte), its number in the order of reading.
+PLACE = ("file", "split", "line")
+
+
+def _archive_columns(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("open_time").rlike("^[0-9]")).select(
+        *PLACE, instant(F.col("open_time")).alias("open_time"), *(F.col(c).try_cast("double").alias(c) for c in REQUIRED[1:]),
         F.col("quote_volume").try_cast("double").alias("quote_volume"), F.col("count").try_cast("double").alias("number_of_trades"),
         F.col("taker_buy_volume").try_cast("double").alias("taker_buy_base_volume"), F.col("taker_buy_quote_volume").try_cast("double").alias("taker_buy_quote_volume"),
     )
-    return typed
 
 
 _ARCHIVE = T.StructType([T.StructField(c, T.StringType()) for c in ARCHIVE_CSV_FIELDS])
 
 
-def read_archive_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of archive CSV files; a header is optional, rows of too few cells are left out. Has a column file."""
+def _in_order(rows: DataFrame, strict: bool) -> DataFrame:
+    if strict and (late := out_of_order(rows).select("file").limit(1).collect()):
+        raise BadBars(f"times are not in order: {late[0].file}")
+    return rows
+
+
+def read_archive_csv(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
+    """Rows of archive CSV files with the PLACE of each; a header is optional, rows of too few cells are left out.
+
+    strict: a file whose times do not rise is refused.
+    """
     raw = spark.read.schema(_ARCHIVE).option("mode", "PERMISSIVE").csv(path)
-    whole = raw.where(F.col("ignore").isNotNull()).withColumn("_file", F.input_file_name())
-    return _archive_columns(whole, "_file")
+    placed = raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    return _in_order(_archive_columns(placed.where(F.col("ignore").isNotNull())), strict)
 
 
-def read_archive_zip(spark: SparkSession, path: str) -> DataFrame:
+def read_archive_zip(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
     """The same from zip files, of each the first CSV; broken zip files are left out. One file is one task's work."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -78,38 +95,51 @@ def read_archive_zip(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         inner = next(n for n in z.namelist() if n.endswith(".csv"))
+                        line = 0
                         with z.open(inner) as f:
                             for part in pd.read_csv(f, header=None, names=list(ARCHIVE_CSV_FIELDS), dtype=str, chunksize=50_000, on_bad_lines="skip"):
-                                part = part[part["ignore"].notna()].astype(object)
-                                yield part.assign(_file=pd.Series([name] * len(part), index=part.index, dtype=object))
+                                part = part.assign(split=0, line=range(line, line + len(part)))
+                                line += len(part)
+                                part = part[part["ignore"].notna()].astype({c: object for c in ARCHIVE_CSV_FIELDS})
+                                yield part.assign(file=pd.Series([name] * len(part), index=part.index, dtype=object))[[*ARCHIVE_CSV_FIELDS, *PLACE]]
                 except (zipfile.BadZipFile, StopIteration, OSError):
                     continue
 
-    schema = T.StructType([*_ARCHIVE.fields, T.StructField("_file", T.StringType())])
-    return _archive_columns(files.mapInPandas(unzip, schema), "_file")
+    schema = T.StructType([*_ARCHIVE.fields, T.StructField("file", T.StringType()), T.StructField("split", T.LongType()), T.StructField("line", T.LongType())])
+    return _in_order(_archive_columns(files.mapInPandas(unzip, schema)), strict)
 
 
-def read_archive_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """CSV and zip files of a folder: a CSV stands for the zip of its name, of rows of one time the first file's counts."""
-    import glob
-    import os
+def read_archive_folder(spark: SparkSession, folder: str, strict: bool = True) -> DataFrame:
+    """CSV and zip files of a folder: a CSV stands for the zip of its name, of rows of one time the first file's counts.
 
-    plain, zipped = sorted(glob.glob(f"{folder}/*.csv")), sorted(glob.glob(f"{folder}/*.zip"))
-    stems = {os.path.splitext(os.path.basename(p))[0] for p in plain}
-    zipped = [p for p in zipped if os.path.splitext(os.path.basename(p))[0] not in stems]
-    parts = [read(spark, p) for read, p in ((read_archive_csv, plain), (read_archive_zip, zipped)) if p]
+    Names are listed by the folder's own file system; no content is read for that.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,zip}").load(folder).select("path")
+    paths = sorted(r.path for r in listed.collect())
+    stem = lambda p: p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    plain = [p for p in paths if p.endswith(".csv")]
+    stems = {stem(p) for p in plain}
+    zipped = [p for p in paths if p.endswith(".zip") and stem(p) not in stems]
+    parts = [read(spark, p, strict) for read, p in ((read_archive_csv, plain), (read_archive_zip, zipped)) if p]
     if not parts:
         raise BadBars(f"no archive files in {folder}")
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    stem = F.regexp_extract("file", r"([^/]+)\.[a-z]+$", 1)
-    least = rows.withColumn("_s", stem).groupBy("open_time").agg(F.min_by(F.struct(*(c for c in rows.columns if c != "open_time")), "_s").alias("b"))
+    name = F.regexp_extract("file", r"([^/]+)\.[a-z]+$", 1)
+    least = rows.withColumn("_s", F.struct(name, "split", "line")).groupBy("open_time").agg(F.min_by(F.struct(*(c for c in rows.columns if c != "open_time")), "_s").alias("b"))
     return least.select("open_time", "b.*")
 
 
 def out_of_order(rows: DataFrame) -> DataFrame:
-    """file, open_time of archive rows that do not come after the row of the greatest time before them in their file."""
-    w = Window.partitionBy("file").orderBy("open_time")
-    return rows.withColumn("_p", F.lag("open_time").over(w)).where(F.col("_p") == F.col("open_time")).select("file", "open_time")
+    """file, open_time of archive rows (with their PLACE) that do not come after all rows before them in their file.
+
+    A split looks back in itself; the greatest time of the splits before it comes from one row per split.
+    """
+    tops = rows.groupBy("file", "split").agg(F.max("open_time").alias("_top"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("file", "split", F.max("_top").over(before).alias("_carried"))
+    inside = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.select(*PLACE, "open_time").join(tops, ["file", "split"])
+    return seen.withColumn("_p", F.greatest(F.max("open_time").over(inside), "_carried")).where("open_time <= _p").select("file", "open_time")
 
 
 def read_parquet_bars(spark: SparkSession, path: str) -> DataFrame:
@@ -170,22 +200,43 @@ def read_regime_periods(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-MOST_PERIODS = 1000
+#: Periods that every row looks through as one literal.
+MOST_PERIODS = 64
+
+
+def _segments(periods: list) -> list[tuple]:
+    """(start, regime or None) of the stretches of time in order, each with the first period that covers it."""
+    edges = sorted({p.start for p in periods} | {p.end_exclusive for p in periods})
+    opened: list[int] = []
+    by_start = sorted(range(len(periods)), key=lambda i: periods[i].start)
+    out, k = [], 0
+    for at in edges:
+        while k < len(by_start) and periods[by_start[k]].start <= at:
+            heapq.heappush(opened, by_start[k])
+            k += 1
+        while opened and periods[opened[0]].end_exclusive <= at:
+            heapq.heappop(opened)
+        out.append((at, periods[opened[0]].regime if opened else None))
+    return out
 
 
 def with_periods(rows: DataFrame, periods: DataFrame, default: str = "range") -> DataFrame:
-    """rows (open_time, ...) with the regime of the first period they are in.
+    """rows (open_time, ...) with the regime of the first period they are in; periods without start or end count for nothing.
 
-    Periods are a file of a few dates: they are read by the driver, MOST_PERIODS at most (more are refused), and
-    every row looks through them as one literal, so the range join shuffles nothing.
+    Periods are a file of dates and read by the driver. A few become one literal that every row looks through, so
+    nothing is shuffled; many become a table of disjoint stretches of time and an as-of join by blocks of days.
     """
-    few = periods.orderBy("rank").limit(MOST_PERIODS + 1).collect()
-    if len(few) > MOST_PERIODS:
-        raise BadBars(f"more than {MOST_PERIODS} periods")
-    found = F.lit(default)
-    for p in reversed(few):
-        found = F.when((F.col("open_time") >= F.lit(p.start)) & (F.col("open_time") < F.lit(p.end_exclusive)), p.regime).otherwise(found)
-    return rows.withColumn("regime", found)
+    listed = [p for p in periods.orderBy("rank").collect() if p.start is not None and p.end_exclusive is not None and p.start < p.end_exclusive]
+    if len(listed) <= MOST_PERIODS:
+        found = F.lit(default)
+        for p in reversed(listed):
+            found = F.when((F.col("open_time") >= F.lit(p.start)) & (F.col("open_time") < F.lit(p.end_exclusive)), p.regime).otherwise(found)
+        return rows.withColumn("regime", found)
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    right = rows.sparkSession.createDataFrame(_segments(listed), "start timestamp, regime string").select(F.lit(0).alias("entity"), us("start").alias("t"), "regime")
+    left = rows.select(F.lit(0).alias("entity"), us("open_time").alias("t"), F.struct("*").alias("own"))
+    found = asof_backward(left, right, ["regime"], 86_400_000_000)
+    return found.select("own.*", F.coalesce("regime", F.lit(default)).alias("regime"))
 
 
 def synthetic_bars(spark: SparkSession, n: int, start: str = "2026-01-01 00:00:00", missing: tuple[int, ...] = (37, 38, 119, 177)) -> DataFrame:

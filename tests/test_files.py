@@ -1,6 +1,8 @@
 import json
 import os
+import random
 import zipfile
+from datetime import datetime, timedelta
 
 import pytest
 
@@ -95,3 +97,54 @@ def test_round_trip_and_manifest(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "one")).count() == 196
     sinks.write_json({"a": float("nan"), "b": [1, float("inf")]}, str(tmp_path / "x" / "r.json"))
     assert json.loads((tmp_path / "x" / "r.json").read_text()) == {"a": None, "b": [1, None]}
+
+
+def test_order_of_archive_rows(spark, tmp_path):
+    minute = lambda i: ARCHIVE.replace("1577836800000", str(1577836800000 + 60000 * i))
+    write(tmp_path / "x.csv", *(minute(i) for i in (3, 1, 2, 4, 4, 5)))
+    write(tmp_path / "y.csv", *(minute(i) for i in range(5)))
+    rows = bar_files.read_archive_csv(spark, str(tmp_path), strict=False)
+    assert sorted((r.file[-5:], r.open_time.minute) for r in bar_files.out_of_order(rows).collect()) == [("x.csv", 1), ("x.csv", 2), ("x.csv", 4)]
+    with pytest.raises(bar_files.BadBars, match="x.csv"):
+        bar_files.read_archive_folder(spark, str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    try:
+        split = bar_files.read_archive_csv(spark, str(tmp_path / "x.csv"), strict=False)
+        assert split.select("split").distinct().count() > 1
+        assert sorted(r.open_time.minute for r in bar_files.out_of_order(split).collect()) == [1, 2, 4]
+        assert bar_files.read_archive_csv(spark, str(tmp_path / "y.csv")).count() == 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("x.csv", minute(2) + "\n" + minute(1) + "\n")
+    with pytest.raises(bar_files.BadBars, match="z.zip"):
+        bar_files.read_archive_zip(spark, str(tmp_path / "z.zip"))
+
+
+def test_many_periods_as_few(spark, monkeypatch):
+    rng = random.Random(2)
+    at = lambda h: datetime(2020, 1, 1) + timedelta(hours=h)
+    listed = [(rng.choice(["up", "down", "range"]), at(a), at(a + rng.randrange(-1, 30)), i) for i, a in enumerate(rng.choices(range(300), k=60))] + [("up", None, at(5), 60)]
+    periods = spark.createDataFrame(listed, "regime string, start timestamp, end_exclusive timestamp, rank int")
+    rows = spark.createDataFrame([(i, at(i / 2), "clash", 5) for i in range(-4, 700)] + [(999, None, "", 6)], "id int, open_time timestamp, entity string, t int")
+    few = {r.id: r.regime for r in bar_files.with_periods(rows, periods, "none").collect()}
+    monkeypatch.setattr(bar_files, "MOST_PERIODS", 3)
+    many = bar_files.with_periods(rows, periods, "none")
+    assert {r.id: r.regime for r in many.collect()} == few and set(few.values()) == {"up", "down", "range", "none"}
+    assert many.columns == [*rows.columns, "regime"]
+
+
+def test_cache_and_artifacts(spark, tmp_path):
+    rows = spark.createDataFrame([("A", 1, 2.5), ("B", 2, None)], "symbol string, idx int, x double")
+    sinks.write_cache({"features": rows}, str(tmp_path / "c"), {"horizon": 5})
+    got = sinks.read_cache(spark, str(tmp_path / "c"), "features", ["idx", "x", "y"]).sort("idx").collect()
+    assert [tuple(r) for r in got] == [(1, 2.5, None), (2, None, None)] and sinks.read_cache(spark, str(tmp_path / "c"), "features").count() == 2
+    assert sinks.cache_facts(spark, str(tmp_path / "c")) == {"horizon": 5, "tables": {"features": ["symbol", "idx", "x"]}}
+    sinks.write_records([{"b": 1}, {"a": 2}], str(tmp_path / "r.csv"))
+    assert (tmp_path / "r.csv").read_text().split() == ["a,b", ",1", "2,"]
+    sinks.write_monitoring({"m": rows}, str(tmp_path / "mon"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "mon/m")).count() == 2
+    sinks.write_lineage(str(tmp_path / "l.json"), "r1", {"bars": "x"}, {}, {"h": float("nan")})
+    assert json.loads((tmp_path / "l.json").read_text())["parameters"] == {"h": None}
+    paths = {r.path for r in sinks.file_hashes(spark, str(tmp_path)).collect()}
+    assert "r.csv" in paths and all(not p.startswith("/") for p in paths)
