@@ -20,7 +20,10 @@ def _return(k: int) -> str:
 
 
 def _denominator(*names: str) -> str:
-    return f"greatest(1e-12, {', '.join(names)})"
+    """The greatest finite value above 1e-12; without one NaN if any is not finite, else 1e-12."""
+    finite = ", ".join(f"CASE WHEN {n} - {n} = 0 AND {n} > 1e-12 THEN {n} END" for n in names)
+    best = f"greatest({finite})" if len(names) > 1 else finite
+    return f"coalesce({best}, CASE WHEN {' AND '.join(f'coalesce({n} - {n} = 0, false)' for n in names)} THEN 1e-12 ELSE CAST('NaN' AS DOUBLE) END)"
 
 
 #: Fixed value: the dead band of the direction of the previous horizon.
@@ -44,7 +47,7 @@ LAYERS: list[dict[str, str]] = [
     },
     {
         "true_range": "greatest(high - low, abs(high - prev_close), abs(low - prev_close))",
-        "dev_vwap_20": "close - rolling_vwap_20",
+        "dev_vwap_20": "CASE WHEN rolling_vwap_20 <> 0 THEN close - rolling_vwap_20 ELSE 0 END",
         "prev_high_20": "coalesce(lag(range_high_20, 1) @, 0)",
         "prev_low_20": "coalesce(lag(range_low_20, 1) @, 0)",
         **{f"rv_{n}": from_row(n, spread("ret1", n)) for n in (5, 15, 30, 60, 120)},
@@ -165,8 +168,8 @@ FAMILIES: dict[str, dict[str, str]] = {
 }
 
 
-def with_features(timeline: DataFrame, *families: str) -> DataFrame:
-    """The timeline's symbol, idx and the features of the families."""
+def with_features(timeline: DataFrame, *families: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The timeline's symbol, idx, the columns to keep and the features of the families."""
     rows = in_chunks(timeline)
     wanted = {n: e for f in families for n, e in FAMILIES[f].items()}
     for layer in LAYERS:
@@ -174,7 +177,7 @@ def with_features(timeline: DataFrame, *families: str) -> DataFrame:
     # Features are named at last: one may share the name of a column that others are made of.
     calls, rest = shared(wanted, KEYS)
     rows = rows.withColumns({n: F.expr(e) for n, e in calls.items()}) if calls else rows
-    return rows.where("core").select("symbol", "idx", *(F.expr(e).alias(n) for n, e in rest.items()))
+    return rows.where("core").select("symbol", "idx", *keep, *(F.expr(e).alias(n) for n, e in rest.items()))
 
 
 def _apply(rows: DataFrame, layer: dict[str, str]) -> DataFrame:

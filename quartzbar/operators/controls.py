@@ -52,16 +52,41 @@ def detrended(timeline: DataFrame, n: int) -> DataFrame:
     return rows.where("core").select("symbol", "idx", "level")
 
 
-def zone_entries(timeline: DataFrame, blocks: DataFrame, reach: int = 9) -> DataFrame:
-    """symbol, idx, block_idx, side: the latest order block (symbol, idx, side) of the last reach rows whose range holds the close.
+# The least body, the greatest wick (of the range), the least volume z-score and imbalance, rows
+# between two blocks, rows after which a zone is forgotten.
+BODY, WICK, LOUD, ONE_SIDED, SPACING, REACH = 0.6, 0.2, 1.0, 0.3, 5, 9
 
-    Blocks are few; each goes to the rows it can reach, so the range join is an equality join.
+
+def order_blocks(rows: DataFrame) -> DataFrame:
+    """symbol, idx, side, low, high of the order blocks of dense rows (symbol, idx, prices, volume_zscore_20, taker_imbalance).
+
+    A block is a candle with a large body, small wicks, high volume and a one-sided flow, at least SPACING rows
+    after the block before it, in order of time; its side is the candle's.
+    """
+    size = F.col("high") - F.col("low")
+    part = lambda c: c / F.greatest(size, F.lit(1e-12))
+    wick = F.greatest(part(F.col("high") - F.greatest("open", "close")), part(F.least("open", "close") - F.col("low")))
+    fits = (
+        (part(F.abs(F.col("close") - F.col("open"))) >= BODY) & (wick <= WICK) & (F.col("volume_zscore_20") >= LOUD)
+        & (F.abs("taker_imbalance") >= ONE_SIDED) & (F.col("close") != F.col("open"))
+    )
+    side = F.when(F.col("close") > F.col("open"), "bullish").otherwise("bearish")
+    flagged = checkpointed(rows.select("symbol", "idx", F.coalesce(fits.cast("int"), F.lit(0)).alias("fits"), side.alias("side"), "low", "high"))
+    return spaced(flagged, "fits", SPACING).join(flagged.where("fits = 1").drop("fits"), ["symbol", "idx"])
+
+
+def zone_entries(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """symbol, idx, block_idx, signal, confidence: of rows (symbol, idx, close, taker_imbalance) whose close is in the zone
+    of a block (symbol, idx, side, low, high) of the last REACH rows or their own, the latest such block.
+
+    All zones of a row have one score, so the latest wins. Blocks are few; each goes to the rows it can reach, so
+    the range join is an equality join.
     """
-    zones = blocks.join(timeline.select("symbol", "idx", "low", "high"), ["symbol", "idx"])
-    ahead = zones.select("symbol", F.col("idx").alias("block_idx"), "side", F.col("low").alias("zl"), F.col("high").alias("zh"), F.explode(F.sequence(F.col("idx") + 1, F.col("idx") + reach)).alias("idx"))
-    hit = ahead.join(timeline.select("symbol", "idx", "close"), ["symbol", "idx"]).where("close BETWEEN zl AND zh")
-    best = hit.groupBy("symbol", "idx").agg(F.max(F.struct("block_idx", "side")).alias("b"))
-    return best.select("symbol", "idx", "b.block_idx", "b.side")
+    ahead = blocks.select("symbol", F.col("idx").alias("block_idx"), "side", F.col("low").alias("zl"), F.col("high").alias("zh"), F.explode(F.sequence(F.col("idx"), F.col("idx") + REACH)).alias("idx"))
+    hit = ahead.join(rows.select("symbol", "idx", "close", "taker_imbalance"), ["symbol", "idx"]).where("close BETWEEN zl AND zh")
+    best = hit.groupBy("symbol", "idx").agg(F.max(F.struct("block_idx", "side")).alias("b"), F.max(F.abs("taker_imbalance")).alias("pressure"))
+    signal = F.when(F.col("b.side") == "bullish", "BUY").otherwise("SELL")
+    return best.select("symbol", "idx", "b.block_idx", signal.alias("signal"), (F.least(F.lit(1.0), "pressure") * 0.8 + 0.2).alias("confidence"))
 
 
 def spaced(rows: DataFrame, flag: str, least: int = 5) -> DataFrame:

@@ -68,7 +68,7 @@ METRICS: dict[str, str] = {
     "oi_change_rate_5m": _change("open_interest", 1), "oi_change_rate_30m": _change("open_interest", 6),
     "oi_zscore_1d": _partial_z("open_interest", 288), "oi_value_zscore_1d": _partial_z("open_interest_value", 288),
     "taker_ls_ratio": "taker_ratio", "taker_ls_ratio_change_5m": _change("taker_ratio", 1),
-    "strict_oi_mean_12": strict(12, "avg(open_interest) @12"),
+    "strict_oi_mean_12": strict(12, "avg(open_interest) @12", "NULL"),
 }
 
 

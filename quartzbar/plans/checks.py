@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from quartzbar.functions.windows import rounded
 from quartzbar.operators import bar_features, controls
-from quartzbar.plans import evaluation
 from quartzbar.plans.bars import CANONICAL_SQL, canonical
 from quartzbar.plans.evaluation import _one, _with_scored, scored
 from quartzbar.plans.learning_data import _LABELS, barrier_labels
-from quartzbar.session import checkpointed
 
 SEED = 11
 
@@ -33,36 +31,39 @@ def detrended_levels(spark: SparkSession, d: str) -> DataFrame:
     return controls.detrended(canonical(spark, d), 60).selectExpr("symbol", "idx", *rounded(["level"]))
 
 
-def order_block_entries(spark: SparkSession, d: str) -> DataFrame:
-    return controls.zone_entries(canonical(spark, d), evaluation.order_blocks(spark, d))
-
-
-def _spaced_blocks(base: DataFrame) -> DataFrame:
-    """Order blocks of a timeline, at least five rows apart in order of time; the side is the candle's."""
-    f = bar_features.with_features(base, "candle", "zscores", "activity")
-    keep = (
-        (F.col("body_to_range") >= 0.6) & (F.col("volume_zscore_20") >= 1) & (F.abs("taker_imbalance") >= 0.3)
-        & (F.col("upper_shadow") <= 0.2 * F.col("high_low_range")) & (F.col("lower_shadow") <= 0.2 * F.col("high_low_range"))
-    )
-    rise = base.select("symbol", "idx", F.signum(F.col("close") - F.col("open")).alias("rise"))
-    flagged = f.select("symbol", "idx", F.coalesce(keep.cast("int"), F.lit(0)).alias("keep")).join(rise, ["symbol", "idx"])
-    rows = checkpointed(flagged.select("symbol", "idx", "rise", (F.col("keep") * F.abs("rise")).cast("int").alias("candidate")))
-    side = F.when(F.col("rise") > 0, "bullish").otherwise("bearish")
-    return controls.spaced(rows, "candidate").join(rows, ["symbol", "idx"]).select("symbol", "idx", side.alias("side"))
-
+def _block_rows(spark: SparkSession, d: str) -> DataFrame:
+    f = bar_features.with_features(canonical(spark, d), "zscores", "activity", keep=("open", "high", "low", "close"))
+    return f.select("symbol", "idx", "open", "high", "low", "close", "volume_zscore_20", "taker_imbalance")
 
-def spaced_order_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return _spaced_blocks(canonical(spark, d))
 
+def order_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return controls.order_blocks(_block_rows(spark, d)).select("symbol", "idx", "side")
 
-def spaced_order_block_entries(spark: SparkSession, d: str) -> DataFrame:
-    base = canonical(spark, d)
-    return controls.zone_entries(base, _spaced_blocks(base))
 
+def order_block_entries(spark: SparkSession, d: str) -> DataFrame:
+    rows = _block_rows(spark, d)
+    entries = controls.zone_entries(rows, controls.order_blocks(rows))
+    return entries.selectExpr("symbol", "idx", "block_idx", "signal", *rounded(["confidence"]))
+
+
+_BLOCKS = f"""
+f AS MATERIALIZED (
+  SELECT symbol, idx, open, high, low, close, coalesce((2 * taker_buy_base_volume - volume) / nullif(volume, 0), 0) AS flow,
+         CASE WHEN count(*) OVER w = 20 AND stddev_pop(volume) OVER w > 1e-12 * avg(volume) OVER w THEN (volume - avg(volume) OVER w) / stddev_pop(volume) OVER w ELSE 0 END AS loud
+  FROM ({CANONICAL_SQL}) WINDOW w AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
+), fits AS MATERIALIZED (
+  SELECT symbol, idx FROM f
+  WHERE close <> open AND abs(close - open) / (high - low) >= 0.6 AND greatest((high - greatest(open, close)) / (high - low), (least(open, close) - low) / (high - low)) <= 0.2
+    AND loud >= 1 AND abs(flow) >= 0.3
+), blocks AS (
+  SELECT symbol, min(idx) AS idx FROM fits GROUP BY symbol
+  UNION ALL
+  SELECT b.symbol, min(n.idx) FROM blocks AS b JOIN fits AS n ON n.symbol = b.symbol AND n.idx >= b.idx + 5 GROUP BY b.symbol
+)"""
 
 QUERIES = {
     f.__name__: f
-    for f in (shuffled_labels, score_bins, flip_rate, detrended_levels, order_block_entries, spaced_order_blocks, spaced_order_block_entries)
+    for f in (shuffled_labels, score_bins, flip_rate, detrended_levels, order_blocks, order_block_entries)
 }
 SQL = {
     "shuffled_labels": f"""
@@ -83,9 +84,16 @@ WITH c AS ({CANONICAL_SQL}), x AS (
   SELECT symbol, idx, ln(close) - avg(CASE WHEN gap_flag = 0 THEN ln(close) END) OVER (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS level FROM c
 )
 SELECT symbol, idx, {_one("level", "level")} FROM x
+""",
+    "order_blocks": f"""
+WITH RECURSIVE {_BLOCKS} SELECT symbol, idx, CASE WHEN close > open THEN 'bullish' ELSE 'bearish' END AS side FROM blocks JOIN f USING (symbol, idx)
 """,
     "order_block_entries": f"""
-WITH c AS MATERIALIZED ({CANONICAL_SQL}), b AS (SELECT o.symbol, o.idx, o.side, c.low, c.high FROM ({evaluation.SQL["order_blocks"]}) AS o JOIN c ON c.symbol = o.symbol AND c.idx = o.idx)
-SELECT c.symbol, c.idx, max(b.idx) AS block_idx, arg_max(b.side, b.idx) AS side FROM c JOIN b ON b.symbol = c.symbol AND b.idx BETWEEN c.idx - 9 AND c.idx - 1 AND c.close BETWEEN b.low AND b.high GROUP BY c.symbol, c.idx
+WITH RECURSIVE {_BLOCKS}, z AS (SELECT symbol, idx, close > open AS up, low, high FROM blocks JOIN f USING (symbol, idx)),
+e AS (
+  SELECT f.symbol, f.idx, max(z.idx) AS block_idx, arg_max(z.up, z.idx) AS up, any_value(f.flow) AS flow
+  FROM f JOIN z ON z.symbol = f.symbol AND z.idx BETWEEN f.idx - 9 AND f.idx AND f.close BETWEEN z.low AND z.high GROUP BY f.symbol, f.idx
+)
+SELECT symbol, idx, block_idx, CASE WHEN up THEN 'BUY' ELSE 'SELL' END AS signal, {_one("least(1, abs(flow)) * 0.8 + 0.2", "confidence")} FROM e
 """,
 }

@@ -158,14 +158,6 @@ def platt_calibration(spark: SparkSession, d: str) -> DataFrame:
     return q.groupBy("symbol").agg(*(F.avg((F.col(x) - F.col("y")) * (F.col(x) - F.col("y"))).alias(f"brier_{x}") for x in ("p", "q", "blend")))
 
 
-def order_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Candles with a strong body, small wicks, high volume and one-sided flow."""
-    f = bar_features.with_features(canonical(spark, d), "candle", "zscores", "activity")
-    side = F.when(F.col("taker_imbalance") >= 0.3, "bullish").when(F.col("taker_imbalance") <= -0.3, "bearish")
-    keep = (F.col("body_to_range") >= 0.6) & (F.col("volume_zscore_20") >= 1) & (F.col("upper_shadow") <= 0.2 * F.col("high_low_range")) & (F.col("lower_shadow") <= 0.2 * F.col("high_low_range"))
-    return f.where(keep & side.isNotNull()).select("symbol", "idx", side.alias("side"))
-
-
 def rolling_drift(spark: SparkSession, d: str) -> DataFrame:
     """Mean squared error of the last 240 rows of a symbol against that of all before."""
     rows = scored(spark, d)
@@ -180,7 +172,7 @@ QUERIES = {
     for f in (
         classification_metrics, reliability_curve, calibration_errors, decision_band, threshold_search, threshold_ranking, equity_drawdown, rank_correlation,
         half_life, variance_filter, bootstrap_interval, regime_thresholds, market_regimes, regime_diagnostics, regime_confusion,
-        regime_transition_weights, smoothed_probabilities, smoothed_regimes, backtest_trades, backtest_breakdown, centroid_model, platt_calibration, order_blocks, rolling_drift,
+        regime_transition_weights, smoothed_probabilities, smoothed_regimes, backtest_trades, backtest_breakdown, centroid_model, platt_calibration, rolling_drift,
     )
 }
 
@@ -338,11 +330,6 @@ FROM trades GROUP BY GROUPING SETS ((symbol), (side), (reason), (side, reason),
     ) + " FROM scored), q AS (SELECT symbol, y, 1 / (1 + exp(-greatest(-60, least(60, " + " + ".join(
         f"CASE WHEN s_{x} > 1e-9 * greatest(1, abs(a_{x}), abs(b_{x})) THEN (a_{x} - b_{x}) / (s_{x} * s_{x}) * ({x} - (a_{x} + b_{x}) / 2) ELSE 0 END" for x in MODEL_FEATURES
     ) + f")))) AS q FROM scored, m) SELECT symbol, {_one('avg(q)', 'mean_q', 5)}, {_one('avg((q - y) * (q - y))', 'brier', 5)} FROM q GROUP BY symbol").replace(") , m AS", "), m AS"),
-    "order_blocks": f"""
-WITH f AS ({bar_features.sql_text(CANONICAL_SQL, "candle", "zscores", "activity", digits=15, clipped=False)})
-SELECT symbol, idx, CASE WHEN taker_imbalance >= 0.3 THEN 'bullish' ELSE 'bearish' END AS side FROM f
-WHERE body_to_range >= 0.6 AND volume_zscore_20 >= 1 AND upper_shadow <= 0.2 * high_low_range AND lower_shadow <= 0.2 * high_low_range AND abs(taker_imbalance) >= 0.3
-""",
     "rolling_drift": _with_scored(f"""
 , n AS (SELECT symbol, max(idx) - 240 AS cut FROM scored GROUP BY symbol)
 SELECT symbol, {_one("avg((p - y) * (p - y)) FILTER (idx > cut)", "recent")}, {_one("avg((p - y) * (p - y)) FILTER (idx <= cut)", "baseline")} FROM scored JOIN n USING (symbol) GROUP BY symbol
