@@ -1,8 +1,7 @@
-"""Backward as-of join, prefix sums, exact ranks and percentiles without one task per entity.
+"""Backward and nearest as-of joins, prefix sums, exact ranks and percentiles without one task per entity.
 
-All four work in blocks and carry what a block needs from those before it through a table of one row per
-block. Blocks are spans of time or of values, so the table's windows are bounded by the span of time or by a
-fixed number of cuts, whatever share of the rows an entity has.
+All work in blocks and carry what a block needs from those before it (or after it) through a table of one row
+per block. Blocks are spans of time or ranges of values, whatever share of the rows an entity has.
 
 Defined results: rows without entity or time match nothing and ranks leave null and NaN values out; of right
 rows of one time the last by ``tie`` counts; ties have their mean rank; empty inputs give no rows.
@@ -13,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quartzbar.session import checkpointed
+
 
 def asof_backward(left: DataFrame, right: DataFrame, value: list[str], block: int, tie: list[str] | None = None) -> DataFrame:
     """left (entity, t, ...) with the value columns of the latest right row (entity, t, ...) at or before t.
@@ -34,6 +35,28 @@ def asof_backward(left: DataFrame, right: DataFrame, value: list[str], block: in
     return joined.select(found.entity, found.t, *(found.row[c].alias(c) for c in kept), *(best["v"][c].alias(c) for c in value))
 
 
+def asof_nearest(left: DataFrame, right: DataFrame, value: list[str], block: int, tie: list[str] | None = None) -> DataFrame:
+    """left (entity, t, ...) with the value columns of the right row (entity, t, ...) nearest in time; at equal distance the earlier.
+
+    Of right rows of one time the last by ``tie`` counts.
+    """
+    mine = F.struct(F.struct(*(tie or []), F.lit(0).alias("_")).alias("k"), F.struct(*value).alias("v"))
+    rs = right.where("entity IS NOT NULL AND t IS NOT NULL").groupBy("entity", "t").agg(F.max_by(mine["v"], mine["k"]).alias("v"))
+    kept = [c for c in left.columns if c not in ("entity", "t")]
+    ls = left.select("entity", "t", F.lit(1).alias("is_left"), F.struct(*kept).alias("row"), F.lit(None).cast(rs.select(F.struct("t", "v").alias("s")).schema["s"].dataType).alias("mine"))
+    rs = rs.select("entity", "t", F.lit(0).alias("is_left"), F.lit(None).cast(ls.schema["row"].dataType).alias("row"), F.struct("t", "v").alias("mine"))
+    rows = ls.unionByName(rs).withColumn("block", F.floor(F.col("t") / block))
+    blocks = rows.groupBy("entity", "block").agg(F.max_by("mine", F.when(F.col("mine").isNotNull(), F.col("t"))).alias("last"), F.min_by("mine", F.when(F.col("mine").isNotNull(), F.col("t"))).alias("first"))
+    order = "PARTITION BY entity ORDER BY block"
+    carried = blocks.select("entity", "block", F.expr(f"lag(last) IGNORE NULLS OVER ({order})").alias("back"), F.expr(f"lead(first) IGNORE NULLS OVER ({order})").alias("ahead"))
+    inside = "PARTITION BY entity, block ORDER BY t, is_left"
+    found = rows.withColumns({"p": F.expr(f"lag(mine) IGNORE NULLS OVER ({inside})"), "n": F.expr(f"lead(mine) IGNORE NULLS OVER ({inside})")}).where("is_left = 1")
+    joined = found.join(carried, found.entity.eqNullSafe(carried.entity) & found.block.eqNullSafe(carried.block), "left")
+    p, n = F.coalesce(found.p, carried.back), F.coalesce(found.n, carried.ahead)
+    best = F.when(p["t"].isNull() | (n["t"] - found.t < found.t - p["t"]), n).otherwise(p)
+    return joined.select(found.entity, found.t, *(found.row[c].alias(c) for c in kept), *(best["v"][c].alias(c) for c in value))
+
+
 def prefix_sums(rows: DataFrame, key: str, order: str, sums: dict[str, Column], size: int) -> DataFrame:
     """rows with running sums up to and including each row, in the order of a number column."""
     rows = rows.withColumn("_block", F.floor(F.col(order) / size)).withColumns({f"_{n}": c for n, c in sums.items()})
@@ -46,40 +69,36 @@ def prefix_sums(rows: DataFrame, key: str, order: str, sums: dict[str, Column],
     return out.drop("_block", *(f"_{n}" for n in sums), *(f"_c_{n}" for n in sums))
 
 
-CUTS = 64
+def _ordered_counts(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, value, _n (rows of that value), _upto (rows up to and including it) of the known values.
+
+    Equal values are folded before anything is shuffled, so a value that most rows have is one row. The folded
+    values are cut into ranges by the engine's own sampling, as many as the session has shuffle partitions; what
+    a range needs of those before it comes from one row per range and key.
+    """
+    ok = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    counts = rows.where(ok).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    # The ranges are read twice and must be the same both times.
+    counts = checkpointed(counts.repartitionByRange(key, value).withColumn("_part", F.spark_partition_id()))
+    sums = counts.groupBy(key, "_part").agg(F.sum("_n").alias("_s"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(key, "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_below"), F.sum("_s").over(Window.partitionBy(key)).alias("_all"))
+    inside = Window.partitionBy(key, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.join(offsets, [key, "_part"]).withColumn("_upto", F.col("_below") + F.sum("_n").over(inside)).drop("_part", "_below")
 
 
 def mean_ranks(rows: DataFrame, key: str, value: str, rank: str) -> DataFrame:
     """rows with the mean rank (1 is least) of a value within its key; null where the value is null or NaN.
 
-    The values are cut at approximate quantiles; ranks are exact: those of a cut's rows plus the rows below it.
+    Rows meet the ranks of their values in a join, whose hot values the adaptive skew join splits.
     """
-    ok = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    known = rows.where(ok)
-    cuts = known.groupBy(key).agg(F.percentile_approx(value, [i / CUTS for i in range(1, CUTS)]).alias("_cuts"))
-    part = known.join(cuts, key).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
-    counts = part.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    below = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, "_part", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"))
-    inside = Window.partitionBy(key, "_part").orderBy(value)
-    ties = Window.partitionBy(key, "_part", value)
-    ranked = part.join(offsets, [key, "_part"])
-    ranked = ranked.withColumn("_r", F.rank().over(inside)).withColumn("_t", F.count(F.lit(1)).over(ties))
-    ranked = ranked.withColumn(rank, F.col("_below") + F.col("_r") + (F.col("_t") - 1) / 2.0).drop("_part", "_below", "_r", "_t")
-    return ranked.unionByName(rows.where(~F.coalesce(ok, F.lit(False))).withColumn(rank, F.lit(None).cast("double")))
+    ranks = _ordered_counts(rows, key, value).select(key, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(rank))
+    return rows.join(ranks, [key, value], "left").select(*rows.columns, rank)
 
 
 def percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
     """key and the exact percentiles (linear between neighbours) of a value, named by shares."""
-    counted = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    # Equal values are one row from here on; their positions are a range.
-    cuts = counted.groupBy(key).agg(F.percentile_approx(value, [i / CUTS for i in range(1, CUTS)]).alias("_cuts"), F.sum("_n").alias("_all"))
-    part = counted.join(cuts, key).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
-    sums = part.groupBy(key, "_part").agg(F.sum("_n").alias("_s"))
-    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(key, "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_below"))
-    inside = Window.partitionBy(key, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = part.join(offsets, [key, "_part"]).withColumn("_upto", F.col("_below") + F.sum("_n").over(inside))
+    placed = _ordered_counts(rows, key, value)
     at = lambda p: F.lit(p) * (F.col("_all") - 1)
     holds = lambda k: (F.col("_upto") > k) & (F.col("_upto") - F.col("_n") <= k)
     picks = []

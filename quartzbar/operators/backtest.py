@@ -93,7 +93,7 @@ def backtest(rows: DataFrame, horizon: int = 30, tp: float = 0.004, sl: float =
         )
 
     maps = chunks.groupBy("symbol", "chunk").applyInPandas(ends, "symbol string, chunk long, ends array<int>")
-    return chunks.join(start_states(maps), ["symbol", "chunk"]).groupBy("symbol", "chunk").applyInPandas(write, TRADES)
+    return chunks.join(start_states(maps, reach), ["symbol", "chunk"]).groupBy("symbol", "chunk").applyInPandas(write, TRADES)
 
 
 def breakdown(trades: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Order-dependent state machines over unbounded series, exact and in parallel.
 
 A machine with few states is run over each chunk from every state it could start in; what comes out is a map
-from start to end state. The maps of a symbol's chunks, one short array each, are composed in order, which
+from start to end state. The maps of a symbol's chunks, one short array each, are composed by a tree, which
 gives each chunk its true start; a second pass writes the states. So a scan costs two passes over the rows and
 no symbol needs to fit into one task.
 """
@@ -35,11 +35,27 @@ def transition_table(codes: int, start: Hashable, step: Callable[[Hashable, int]
     return np.array(rows, dtype=np.int32), states
 
 
-def start_states(maps: DataFrame) -> DataFrame:
-    """symbol, chunk, start from maps (symbol, chunk, ends): what the maps before a chunk make of state 0."""
-    ordered = Window.partitionBy("symbol").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = maps.withColumn("before", F.collect_list("ends").over(ordered))
-    return before.select("symbol", "chunk", F.aggregate("before", F.lit(0), lambda s, ends: F.get(ends, s)).alias("start"))
+#: Chunks whose maps are composed in one step, and how often groups of them are grouped again.
+GROUP, LEVELS = 64, 2
+
+
+def start_states(maps: DataFrame, states: int, group: int = GROUP, levels: int = LEVELS) -> DataFrame:
+    """symbol, chunk, start from maps (symbol, chunk, ends): what the maps before a chunk make of state 0.
+
+    Maps compose associatively: those of a group of chunks make the group's map, and a group's start gives the
+    starts of its chunks. So a row never holds more than a group's maps, however many chunks a symbol has.
+    """
+    if levels == 0:
+        ordered = Window.partitionBy("symbol").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        before = maps.withColumn("before", F.collect_list("ends").over(ordered))
+        return before.select("symbol", "chunk", F.aggregate("before", F.lit(0), lambda s, ends: F.get(ends, s)).alias("start"))
+    parts = maps.groupBy("symbol", F.floor(F.col("chunk") / group).alias("grp")).agg(F.array_sort(F.collect_list(F.struct("chunk", "ends"))).alias("parts"))
+    every = F.array(*(F.lit(s) for s in range(states)))
+    whole = F.aggregate("parts", every, lambda now, x: F.transform(now, lambda s: F.get(x["ends"], s)))
+    starts = start_states(parts.select("symbol", F.col("grp").alias("chunk"), whole.alias("ends")), states, group, levels - 1)
+    joined = parts.join(starts.select("symbol", F.col("chunk").alias("grp"), "start"), ["symbol", "grp"])
+    upto = F.transform("parts", lambda x, i: F.struct(x["chunk"].alias("chunk"), F.aggregate(F.slice("parts", 1, i), F.col("start"), lambda s, y: F.get(y["ends"], s)).alias("start")))
+    return joined.select("symbol", F.inline(upto))
 
 
 class Machine(NamedTuple):
@@ -75,7 +91,7 @@ def scan(rows: DataFrame, machines: list[Machine], size: int = CHUNK) -> DataFra
     maps = chunked.groupBy("symbol", "chunk").applyInPandas(ends, "symbol string, chunk long, ends array<int>")
     starts = None
     for k, (m, a) in enumerate(zip(machines, offsets)):
-        part = start_states(maps.select("symbol", "chunk", F.slice("ends", int(a) + 1, len(m.table)).alias("ends"))).withColumnRenamed("start", f"start{k}")
+        part = start_states(maps.select("symbol", "chunk", F.slice("ends", int(a) + 1, len(m.table)).alias("ends")), len(m.table)).withColumnRenamed("start", f"start{k}")
         starts = part if starts is None else starts.join(part, ["symbol", "chunk"])
     nested = [m.table.tolist() for m in machines]
 

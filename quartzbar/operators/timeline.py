@@ -53,26 +53,39 @@ def valid_bars(bars: DataFrame) -> DataFrame:
 
     Rows are shuffled once, by symbol and day; what needs a minute, a day or its neighbours finds them there.
     """
-    t = F.unix_micros(F.col("open_time").cast("timestamp"))
-    picked = bars.where(ohlcv_ok() & F.col("symbol").isNotNull() & F.col("open_time").isNotNull()).select(
-        "symbol",
-        F.floor((t + 30_000_000) / 60_000_000).alias("m"),
+    picked = _valid(bars).select(
+        "symbol", "m",
         F.struct(
             F.coalesce(F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(-1)).alias("came"),
             F.coalesce("bar_id", F.lit(-1)).alias("id"),
             *PRICES,
             *(F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in VOLUMES),
         ).alias("b"),
-    )
+    )
     placed = picked.withColumn("day", F.floor(F.col("m") / DAY)).repartition("symbol", "day")
     # The greatest struct is the last delivered.
     return placed.groupBy("symbol", "day", "m").agg(F.max("b").alias("b")).select("symbol", "day", "m", *(f"b.{c}" for c in (*PRICES, *VOLUMES)))
 
 
-def canonical(valid: DataFrame) -> DataFrame:
-    """Dense minutes per symbol: idx, m, prices, volumes, gap_flag, gap_length, repaired."""
+def _valid(bars: DataFrame) -> DataFrame:
+    t = F.unix_micros(F.col("open_time").cast("timestamp"))
+    ok = bars.where(ohlcv_ok() & F.col("symbol").isNotNull() & F.col("open_time").isNotNull())
+    return ok.withColumn("m", F.floor((t + 30_000_000) / 60_000_000))
+
+
+def first_minutes(bars: DataFrame) -> DataFrame:
+    """symbol, day, first: the first valid minute of each day; folded where the bars are read, so a row per day is shuffled."""
+    return _valid(bars).groupBy("symbol", F.floor(F.col("m") / DAY).alias("day")).agg(F.min("m").alias("first"))
+
+
+def canonical(valid: DataFrame, firsts: DataFrame | None = None) -> DataFrame:
+    """Dense minutes per symbol: idx, m, prices, volumes, gap_flag, gap_length, repaired.
+
+    firsts: the first minute of each symbol and day, where it can be had more cheaply than from the valid bars.
+    """
     v = valid if "day" in valid.columns else valid.withColumn("day", F.floor(F.col("m") / DAY))
-    firsts = v.groupBy("symbol", "day").agg(F.min("m").alias("first"))
+    if firsts is None:
+        firsts = v.groupBy("symbol", "day").agg(F.min("m").alias("first"))
     by_symbol = Window.partitionBy("symbol").orderBy("day")
     days = firsts.select(
         "symbol", "day", F.lead("first").over(by_symbol).alias("next_first"),

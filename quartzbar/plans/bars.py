@@ -47,7 +47,7 @@ def valid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def canonical(spark: SparkSession, d: str) -> DataFrame:
-    return timeline.canonical(valid(spark, d))
+    return timeline.canonical(valid(spark, d), timeline.first_minutes(table(spark, d, "bars")))
 
 
 def bar_validation(spark: SparkSession, d: str) -> DataFrame:

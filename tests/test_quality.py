@@ -4,9 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quartzbar.operators import controls, quality, regimes, rule_regimes, timeline
-from quartzbar.operators.scan import Machine, scan
-from quartzbar.plans import checks
+from quartzbar.operators import bar_features, controls, quality, regimes, rule_regimes, timeline
+from quartzbar.operators.scan import Machine, scan, start_states
 
 
 def walk(rows, hold):
@@ -141,5 +140,24 @@ def test_order_blocks_are_spaced_and_take_the_side_of_the_candle(spark):
         share = 0.5 if i not in strong else 0.05 if i == 30 else 0.9
         rows.append(("S", t0 + timedelta(minutes=i), 1000.0, 1001 + max(body, 0.0), 999 + min(body, 0.0), 1000 + body, volume, volume, 9, volume * share, volume * share, t0, i))
     df = spark.createDataFrame(rows, "symbol string, open_time timestamp, open double, high double, low double, close double, volume double, quote_volume double, number_of_trades long, taker_buy_base_volume double, taker_buy_quote_volume double, ingested_at timestamp, bar_id long")
-    got = checks._spaced_blocks(timeline.canonical(timeline.valid_bars(df))).collect()
-    assert sorted((r.idx, r.side) for r in got) == [(25, "bearish"), (30, "bullish"), (35, "bullish")]
+    f = bar_features.with_features(timeline.canonical(timeline.valid_bars(df)), "zscores", "activity", keep=("open", "high", "low", "close"))
+    blocks = controls.order_blocks(f)
+    assert sorted((r.idx, r.side) for r in blocks.collect()) == [(25, "bearish"), (30, "bullish"), (35, "bullish")]
+    entries = {r.idx: (r.block_idx, r.signal, round(r.confidence, 6)) for r in controls.zone_entries(f, blocks).collect()}
+    # Its own candle is in a block's zone; the rows after it are near 1001, in the zones of all of them; the latest wins.
+    assert entries[25] == (25, "SELL", round(0.8 * 0.8 + 0.2, 6)) and entries[36][:2] == (35, "BUY") and entries[36][2] == 0.2 and 45 not in entries and 24 not in entries
+
+
+def test_composed_maps_against_a_loop(spark):
+    rng = np.random.default_rng(4)
+    maps = {s: [[int(x) for x in rng.integers(0, 5, 5)] for _ in range(n)] for s, n in (("a", 1), ("b", 37), ("c", 9))}
+    rows = [(s, i, m) for s, listed in maps.items() for i, m in enumerate(listed)]
+    df = spark.createDataFrame(rows, "symbol string, chunk long, ends array<int>")
+    want = {}
+    for s, listed in maps.items():
+        state = 0
+        for i, m in enumerate(listed):
+            want[s, i] = state
+            state = m[state]
+    for group, levels in ((2, 0), (2, 3), (3, 2), (64, 2)):
+        assert {(r.symbol, r.chunk): r.start for r in start_states(df, 5, group, levels).collect()} == want
