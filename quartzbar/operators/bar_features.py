@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzbar.functions.windows import frame, from_row, ratio, rounded, shared, slope, spread, strict, to_mean, zscore
+from quartzbar.functions.windows import from_row, ratio, shared, slope, spread, strict, to_mean, zscore
 from quartzbar.operators.timeline import in_chunks
 
 _LN_HL, _LN_CO = "ln(high / low)", "ln(close / open)"
@@ -217,19 +217,5 @@ def clip(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows
 
 
-def sql_text(canonical_sql: str, *families: str, digits: int = 6, clipped: bool = True) -> str:
-    """The same features stated in SQL over whole symbols, without chunks."""
-    parts, last = [f"canon AS ({canonical_sql})"], "canon"
-    for i, layer in enumerate(LAYERS):
-        items = ", ".join(f"{frame(e, 'symbol')} AS {n}" for n, e in layer.items())
-        parts.append(f"layer{i} AS (SELECT *, {items} FROM {last})")
-        last = f"layer{i}"
-    wanted = {n: e for f in families for n, e in FAMILIES[f].items()}
-    bound = lambda n: CLIP_LIMITS[clip_class(n)]
-    limit = lambda n: f"greatest(-{bound(n)}, least({bound(n)}, CAST({n} AS DOUBLE)))" if clipped else f"CAST({n} AS DOUBLE)"
-    parts.append(f"features AS (SELECT symbol, idx, {', '.join(f'{frame(e, "symbol")} AS {n}' for n, e in wanted.items())} FROM {last})")
-    return f"WITH {', '.join(parts)} SELECT symbol, idx, {', '.join(rounded(list(wanted), digits, limit))} FROM features"
-
-
 def family_columns(*families: str) -> list[str]:
     return [n for f in families for n in FAMILIES[f]]

@@ -105,25 +105,6 @@ def onto_minutes(timeline: DataFrame, tf: str) -> DataFrame:
     return joined.select("symbol", "idx", *(F.coalesce(F.col(n), neutral(n)).alias(n) for n in names(tf)))
 
 
-def sql_text(canonical_sql: str, tf: str) -> str:
-    """The same, with an as-of join."""
-    minutes = FRAMES[tf]
-    parts = [
-        f"canon AS MATERIALIZED ({canonical_sql})",
-        f"""b AS (SELECT symbol, CAST(floor(m / {minutes}) AS BIGINT) AS bucket, arg_min(open, m) AS open, max(high) AS high, min(low) AS low,
-              arg_max(close, m) AS close, sum(volume) AS volume FROM canon GROUP BY ALL HAVING count(*) = {minutes})""",
-    ]
-    last = "b"
-    for i, layer in enumerate(LAYERS):
-        items = ", ".join(f"{frame(e, 'symbol', 'bucket')} AS {n}" for n, e in layer.items())
-        parts.append(f"l{i} AS (SELECT *, {items} FROM {last})")
-        last = f"l{i}"
-    items = ", ".join(f"{frame(e, 'symbol', 'bucket')} AS {n}" for n, e in _wanted(tf).items())
-    parts.append(f"x AS (SELECT symbol, (bucket + 1) * {minutes} AS known_at, {items} FROM {last})")
-    out = ", ".join(f"round(CAST(coalesce(x.{n}, {50 if n.startswith('rsi_') else 0}) AS DOUBLE) + 1e-9, 6) + 0e0 AS {n}" for n in names(tf))
-    return f"WITH {', '.join(parts)} SELECT c.symbol, c.idx, {out} FROM canon AS c ASOF LEFT JOIN x ON c.symbol = x.symbol AND c.m >= x.known_at"
-
-
 def weekly(timeline: DataFrame, minutes: int = 7 * 1440, offset: int = 4 * 1440, short: int = 20, long: int = 50) -> DataFrame:
     """Per period and symbol: means over the short and long window, their slopes, drawdown, contraction.
 

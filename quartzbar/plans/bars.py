@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quartzbar.functions.windows import rounded
 from quartzbar.operators import bar_features, recursive_features, timeframes, timeline
+from quartzbar.plans import feature_oracles
 from quartzbar.session import table
 
 VALID_SQL = """
@@ -139,14 +140,15 @@ def clip_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clip_sql() -> str:
-    names = bar_features.family_columns(*_CLIPPED)
-    inner = bar_features.sql_text(CANONICAL_SQL, *_CLIPPED, digits=12, clipped=False)
-    each = " UNION ALL ".join(
-        f"SELECT '{n}' AS feature_name, '{bar_features.clip_class(n)}' AS feature_type, CAST({bar_features.CLIP_LIMITS[bar_features.clip_class(n)]} AS DOUBLE) AS clip_abs,"
-        f" CAST(count(*) FILTER (abs({n}) > {bar_features.CLIP_LIMITS[bar_features.clip_class(n)]}) AS BIGINT) AS clipped_count FROM f"
-        for n in names
-    )
-    return f"WITH f AS ({inner}) {each}"
+    limits = ", ".join(f"('{n}', {x})" for f in _CLIPPED for n, (_, x) in feature_oracles.FEATURES[f].items())
+    return f"""
+WITH f AS ({feature_oracles.sql(CANONICAL_SQL, *_CLIPPED, digits=12, clipped=False)}),
+u AS (UNPIVOT f ON COLUMNS(* EXCLUDE (symbol, idx)) INTO NAME feature_name VALUE x),
+k AS (SELECT * FROM (VALUES {limits}) AS k(feature_name, clip_abs))
+SELECT feature_name, CASE WHEN feature_name LIKE '%vol_adj' THEN 'vol_adj' WHEN feature_name LIKE '%regime%' THEN 'regime' WHEN feature_name LIKE '%zscore%' THEN 'zscore'
+    WHEN feature_name LIKE '%return%' THEN 'return' ELSE 'ratio' END AS feature_type, CAST(any_value(clip_abs) AS DOUBLE) AS clip_abs, count(*) FILTER (abs(x) > clip_abs) AS clipped_count
+FROM u JOIN k USING (feature_name) GROUP BY feature_name
+"""
 
 
 QUERIES = {
@@ -185,8 +187,8 @@ r AS (
 SELECT symbol, idx, CAST(run AS BIGINT) AS max_gap_run_120, round(ratio_20 * (1 + run), 6) + 0e0 AS canonical_gap_pressure FROM r JOIN q USING (symbol, idx)
 """,
     "clip_report": _clip_sql(),
-} | {f"features_{name}": bar_features.sql_text(CANONICAL_SQL, name) for name in bar_features.FAMILIES}
-SQL |= {f"features_{tf}": timeframes.sql_text(CANONICAL_SQL, tf) for tf in timeframes.FRAMES}
+} | {f"features_{name}": feature_oracles.sql(CANONICAL_SQL, name) for name in bar_features.FAMILIES}
+SQL |= {f"features_{tf}": feature_oracles.frame_sql(CANONICAL_SQL, minutes, tf) for tf, minutes in timeframes.FRAMES.items()}
 SQL["features_recursive"] = (
     f"SELECT symbol, idx, {', '.join(rounded(list(recursive_features.NAMES)))} FROM ({recursive_features.sql_text(CANONICAL_SQL)})"
 )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quartzbar.functions.windows import rounded
 from quartzbar.operators import backtest, bar_features, labels, models, regimes, splits, statistics
+from quartzbar.plans import feature_oracles
 from quartzbar.plans.bars import CANONICAL_SQL, canonical
 from quartzbar.plans.learning_data import _LABELS, HORIZON, SL, THRESHOLD, TP
 
@@ -176,7 +177,7 @@ QUERIES = {
     )
 }
 
-_RETURNS = bar_features.sql_text(CANONICAL_SQL, "returns", digits=15, clipped=False)
+_RETURNS = feature_oracles.sql(CANONICAL_SQL, "returns", digits=15, clipped=False)
 _SCORED = f"SELECT f.*, {_P} AS p, l.label AS y, l.ret AS target_return FROM ({_RETURNS}) AS f JOIN (SELECT symbol, idx, label, ret FROM ({_LABELS.replace('FROM f' + chr(10), ', ret FROM f' + chr(10))})) AS l USING (symbol, idx)"
 
 
@@ -189,7 +190,7 @@ def _one(e: str, name: str, digits: int = 6) -> str:
 
 
 _REGIME_ROWS = f"""
-WITH a AS ({bar_features.sql_text(CANONICAL_SQL, "volatility", "trend", digits=15, clipped=False)})
+WITH a AS ({feature_oracles.sql(CANONICAL_SQL, "volatility", "trend", digits=15, clipped=False)})
 SELECT symbol, idx, round(rv_15, 8) AS rv_15, round(trend_slope_30, 8) AS trend_slope_30 FROM a
 """
 _THRESHOLDS = """
@@ -298,7 +299,7 @@ s AS (SELECT symbol, regr_slope(z - prev, prev) AS slope FROM p WHERE prev IS NO
 SELECT symbol, {_one("slope", "slope")}, CASE WHEN slope < 0 AND slope > -1 THEN round(-ln(2) / ln(1 + slope), 3) END AS half_life FROM s
 """,
     "variance_filter": (lambda names: f"""
-WITH f AS ({bar_features.sql_text(CANONICAL_SQL, "returns", digits=15)}),
+WITH f AS ({feature_oracles.sql(CANONICAL_SQL, "returns", digits=15)}),
 v AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, var_pop({n}) AS variance FROM f" for n in names)})
 SELECT feature, {_one("variance", "variance", 8)}, row_number() OVER (ORDER BY round(variance, 14), feature) > {max(1, int(len(names) * 0.2))} AS kept FROM v
 """)(bar_features.family_columns("returns")),
