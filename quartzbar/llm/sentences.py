@@ -16,6 +16,7 @@ repeated rows give their units again; ``lang`` may be null or wrong; further col
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -24,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-_LINE = regex.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+_LINE = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 #: A run of signs in a wrapped line is no heading.
 _HEADING = regex.compile(r"\s*#{1,6}(?:\s|$)")
 _LOG = regex.compile(r"\s*\[?[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}")
@@ -34,25 +35,30 @@ _WORD = regex.compile(r"[\p{L}\p{N}]")
 _MARKS = r".!?…。！？｡．।॥؟۔։᙮⁇⁈⁉‼\u037e።፧។៕။᠃᠉꓿"
 _CLOSERS = "\"”’»›“)）]】」』》〉}"
 #: A place: marks, then closing quotes or brackets (French ones after a space), then perhaps marks again.
-_PLACE = regex.compile(rf"[{_MARKS}]+(?P<close>(?:[{regex.escape(_CLOSERS)}]|\s»)*)")
+_PLACE = re.compile(rf"[{_MARKS}]+(?P<close>(?:[{regex.escape(_CLOSERS)}]|\s»)*)")
 #: In Greek a semicolon asks.
-_GREEK_PLACE = regex.compile(_PLACE.pattern.replace(f"[{_MARKS}]+", f"[{_MARKS};]+"))
+_GREEK_PLACE = re.compile(_PLACE.pattern.replace(f"[{_MARKS}]+", f"[{_MARKS};]+"))
+_THAI_LETTER = re.compile("[\u0e00-\u0e7f]")
 _THAI_SPACE = regex.compile(r"(?<=[฀-๿])[^\S\r\n]+(?=[฀-๿A-Za-z])")
 
 _PAIRS = {"(": ")", "（": "）", "[": "]", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "{": "}", "«": "»", "‹": "›"}
-_BRACKETY = regex.compile(r"[()（）\[\]【】「」『』《》〈〉{}«»‹›“”„\"]")
+_BRACKETY = re.compile(r"[()（）\[\]【】「」『』《》〈〉{}«»‹›“”„\"]")
 
 
 class Rule(NamedTuple):
+    """dot: only after a full stop; glued: only where no blank follows; caseless: only where the last letter has no case."""
+
     breaks: bool
     before: regex.Pattern
     after: regex.Pattern
     caseless: bool
+    dot: bool
+    glued: bool
 
 
 def rule(breaks: bool, before: str, after: str = "", caseless: bool = False) -> Rule:
-    """before is read backwards from the place, after forwards; caseless: only where the last letter has no case."""
-    return Rule(breaks, regex.compile(f"(?r)(?:{before})"), regex.compile(after), caseless)
+    """before is read backwards from the place, after forwards."""
+    return Rule(breaks, regex.compile(f"(?r)(?:{before})"), regex.compile(after), caseless, before.endswith(r"\."), bool(after) and not after.startswith(r"\s"))
 
 
 #: The beginning of a word; it may follow a sentence without a blank.
@@ -169,6 +175,7 @@ TABLES: dict[str, list[Rule]] = {
         rule(True, r"", r""),
     ],
     "last": [
+        rule(True, r"", r"\s+\p{Lu}"),
         rule(False, r"", r"\s*[,;:，、；：،؛]"),
         # Full-width marks and those of scripts without blanks end a unit wherever they stand.
         rule(True, rf"[。！？｡．।॥؟۔።፧។៕။᠃᠉꓿][{_MARKS}{regex.escape(_CLOSERS)}\s]*", r""),
@@ -195,6 +202,11 @@ _LAST_LETTER = regex.compile(r"(?r)\p{L}")
 _CASELESS = regex.compile(r"[\p{Lo}\p{Lm}]")
 
 
+@lru_cache(65536)
+def _letter(letter: str) -> tuple[str, bool]:
+    return _SCRIPT.match(letter).lastgroup, bool(_CASELESS.match(letter))
+
+
 class _Letters:
     """The script of the last letter before a place, and whether it has no case; places must be asked for in order."""
 
@@ -203,21 +215,38 @@ class _Letters:
 
     def before(self, at: int) -> tuple[str, bool]:
         if at > self.upto:
-            m = _LAST_LETTER.search(self.text, self.upto, at)
-            if m:
-                self.script, self.caseless = _SCRIPT.match(m.group()).lastgroup, bool(_CASELESS.match(m.group()))
+            # Most marks follow a letter.
+            letter = self.text[at - 2] if at - 2 >= self.upto and self.text[at - 2].isalpha() and not self.text[at - 1].isalpha() else None
+            if letter is None and (m := _LAST_LETTER.search(self.text, self.upto, at)):
+                letter = m.group()
+            if letter:
+                self.script, self.caseless = _letter(letter)
             self.upto = at
         return self.script, self.caseless
 
 
-@lru_cache(1024)
-def cascade(script: str, lang: str, quoted: bool) -> tuple[Rule, ...]:
-    """The rules that decide a place, in order: of the common table, of the languages of the script, of the last table."""
+#: Rules that are tried in order, and a pattern that what stands before the place must meet for any of them (or none).
+Group = tuple[regex.Pattern | None, tuple[Rule, ...]]
+
+
+@lru_cache(4096)
+def cascade(script: str, lang: str, quoted: bool, dot: bool, blank: bool) -> tuple[Group, ...]:
+    """The rules that decide a place, in order: of the common table, of the languages of the script, of the last table.
+
+    Rules that cannot match after (or before) such a sign are left out; those of the languages have one pattern in
+    front of them, as most words are no abbreviations.
+    """
     languages = [*(x for x in _IF_SAID.get(script, ()) if x == lang), *sorted(_OF_SCRIPT[script], key=lambda x: x != lang)]
-    names = ["common", *languages, "initials", "last"]
+    names = [["common"], languages, ["initials", "last"]]
     if quoted:
-        names = ["common", "quoted"] if script != "thai" else ["common", "th", "quoted"]
-    return tuple(r for name in names for r in TABLES[name])
+        names = [["common", "quoted"]] if script != "thai" else [["common", "th", "quoted"]]
+    groups: list[Group] = []
+    for part in names:
+        rules = tuple(r for name in part for r in TABLES[name] if (dot or not r.dot) and not (blank and r.glued))
+        if rules:
+            either = regex.compile("(?r)" + "|".join(r.before.pattern.removeprefix("(?r)") for r in rules)) if part is languages else None
+            groups.append((either, rules))
+    return tuple(groups)
 
 
 def protected_spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -262,15 +291,20 @@ def protected_spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return spans
 
 
-def _decide(text: str, start: int, at: int, end: int, rules: tuple[Rule, ...], caseless: bool) -> bool:
+_THAI: tuple[Group, ...] = ((None, tuple(TABLES["th"])),)
+
+
+def _decide(text: str, start: int, at: int, end: int, groups: tuple[Group, ...], caseless: bool) -> bool:
     """Whether a unit ends at a place: the first matching rule of the cascade."""
-    for r in rules:
-        if (caseless or not r.caseless) and r.after.match(text, at, end) and r.before.match(text, start, at):
-            return r.breaks
+    for either, rules in groups:
+        if either is None or either.match(text, start, at):
+            for r in rules:
+                if (caseless or not r.caseless) and r.after.match(text, at, end) and r.before.match(text, start, at):
+                    return r.breaks
     return False
 
 
-def _places(text: str, start: int, end: int, lang: str) -> list[int]:
+def _places(text: str, start: int, end: int, lang: str, has_thai: bool) -> list[int]:
     """Where units of a block end, in order; not the block's own end."""
     spans = protected_spans(text, start, end)
     letters = _Letters(text, start)
@@ -284,18 +318,18 @@ def _places(text: str, start: int, end: int, lang: str) -> list[int]:
         return k < len(spans) and spans[k][0] < at < spans[k][1]
 
     found = [(m.end(), bool(m["close"])) for m in (_GREEK_PLACE if lang == "el" else _PLACE).finditer(text, start, end)]
-    thai = [(m.end(), None) for m in _THAI_SPACE.finditer(text, start, end)]
+    thai = [(m.end(), None) for m in _THAI_SPACE.finditer(text, start, end)] if has_thai else None
     if thai:
         found = sorted(found + thai, key=lambda x: x[0])
     for at, quoted in found:
         if at >= end or inside(at):
             continue
         if quoted is None:
-            if _decide(text, start, at, end, tuple(TABLES["th"]), False):
+            if _decide(text, start, at, end, _THAI, False):
                 ends.append(at)
         else:
             script, caseless = letters.before(at)
-            if _decide(text, start, at, end, cascade(script, lang, quoted), caseless):
+            if _decide(text, start, at, end, cascade(script, lang, quoted, text[at - 1] == ".", text[at].isspace()), caseless):
                 ends.append(at)
     return ends
 
@@ -338,10 +372,10 @@ def units(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
     """[start, end) of every sentence unit of a text, in code points."""
     if not text or not _WORD.search(text):
         return []
-    short = (lang or "").lower()[:2]
+    short, has_thai = (lang or "").lower()[:2], bool(_THAI_LETTER.search(text))
     out: list[tuple[int, int]] = []
     for kind, start, first, end in blocks(text):
-        cuts = _places(text, first, end, short) if kind in ("item", "paragraph") else []
+        cuts = _places(text, first, end, short, has_thai) if kind in ("item", "paragraph") else []
         mine: list[list[int]] = []
         for a, b in zip([start, *cuts], [*cuts, end]):
             piece = text[a:b]

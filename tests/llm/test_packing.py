@@ -80,3 +80,28 @@ def test_exact_multiple_leaves_no_rest(spark):
 def test_report(spark):
     r = packing_report(table(spark, ["bar " * 40] * 10, 4), spark.createDataFrame([(1, "byte_bpe_50k", 100, 0)], LIMITS)).first()
     assert r.containers >= r.least_containers and 0 <= r.unused_share < 1
+
+
+def test_what_is_handed_on_costs_no_container(monkeypatch):
+    """The tree with the bins it keeps against one that hands on all of them."""
+    rng = random.Random(8)
+    for capacity, draw in ((512, lambda: min(512, int(rng.lognormvariate(4.6, 1.0)))), (2048, lambda: min(2048, int(rng.lognormvariate(5.6, 1.2)))), (100, lambda: rng.randrange(1, 101)), (64, lambda: rng.choice([1, 2, 33, 40]))):
+        parts = [[draw() for _ in range(400)] for _ in range(20)]
+        used = []
+        for keep, near in ((packing.KEEP, packing.NEARLY_FULL), (10**9, 0.0)):
+            monkeypatch.setattr(packing, "KEEP", keep)
+            monkeypatch.setattr(packing, "NEARLY_FULL", near)
+            closed, groups = 0, parts
+            while True:
+                handed = []
+                for g in groups:
+                    _, fill = packing.best_fit(g, capacity)
+                    opened = packing.still_open(fill, capacity)
+                    closed += len(fill) - len(opened)
+                    handed.append([fill[b] for b in opened])
+                if len(groups) == 1:
+                    used.append(closed + len(handed[0]))
+                    break
+                groups = [sum(handed[i : i + packing.FAN_IN], []) for i in range(0, len(handed), packing.FAN_IN)]
+            monkeypatch.undo()
+        assert used[0] <= used[1] * 1.001 + 1
