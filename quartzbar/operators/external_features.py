@@ -5,12 +5,12 @@ A minute sees the last record at or before its beginning; where there is none th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzbar.functions.keys import entity_key, epoch_us
 from quartzbar.functions.windows import frame, strict
-from quartzbar.operators.asof import asof_backward
+from quartzbar.operators.asof import asof_backward, asof_nearest
 
 MINUTE_US, DAY_US = 60_000_000, 86_400_000_000
 
@@ -41,12 +41,16 @@ def book_features(timeline: DataFrame, depth: DataFrame) -> DataFrame:
     )
 
 
-def funding_features(timeline: DataFrame, funding: DataFrame, blackout_min: float = 60) -> DataFrame:
-    """symbol, idx, funding_rate, next_funding_rate, minutes_to_next_funding, funding_blackout_active."""
+def funding_features(timeline: DataFrame, funding: DataFrame, blackout_min: float = 60, nearest: bool = True) -> DataFrame:
+    """symbol, idx, funding_rate, next_funding_rate, minutes_to_next_funding, funding_blackout_active.
+
+    Of each minute the funding row nearest in time, which may lie ahead; else the last at or before it.
+    """
     right = funding.where("next_funding_time <> 0").select(
         entity_key(F.col("symbol")).alias("entity"), epoch_us(F.col("next_funding_time")).alias("t"), "funding_id", "current_rate", "next_rate", "minutes_to_next"
     )
-    got = asof_backward(_minutes(timeline), right, ["current_rate", "next_rate", "minutes_to_next"], DAY_US, ["funding_id"])
+    join = asof_nearest if nearest else asof_backward
+    got = join(_minutes(timeline), right, ["current_rate", "next_rate", "minutes_to_next"], DAY_US, ["funding_id"])
     left = F.coalesce(F.when(~F.isnan("minutes_to_next"), F.col("minutes_to_next")), F.lit(480.0))
     return got.select(
         "symbol", "idx", F.coalesce("current_rate", F.lit(0.0)).alias("funding_rate"), F.coalesce("next_rate", F.lit(0.0)).alias("next_funding_rate"),
@@ -54,6 +58,38 @@ def funding_features(timeline: DataFrame, funding: DataFrame, blackout_min: floa
     )
 
 
+# What stands for a mark price and premium that are missing.
+MARK_FACTOR, MARK_PREMIUM = 1.0002, 0.0002
+
+
+def mark_prices(responses: DataFrame) -> DataFrame:
+    """entity, t (microseconds), mark_price, premium of the well-formed payloads that give a mark price; of one time the last response counts."""
+    v = F.try_parse_json("payload")
+    rows = responses.where("status_code = 200").select(
+        "response_id", entity_key(F.try_variant_get(v, "$.symbol", "string")).alias("entity"), epoch_us(F.try_variant_get(v, "$.time", "bigint")).alias("t"),
+        F.try_variant_get(v, "$.markPrice", "double").alias("mark_price"), F.try_variant_get(v, "$.premium", "double").alias("premium"),
+    )
+    known = rows.where("mark_price IS NOT NULL AND t IS NOT NULL AND entity <> ''")
+    return known.groupBy("entity", "t").agg(F.max_by(F.struct("mark_price", "premium"), "response_id").alias("b")).select("entity", "t", "b.*")
+
+
+def mark_features(timeline: DataFrame, marks: DataFrame) -> DataFrame:
+    """symbol, idx, mark_price_basis, premium_index from marks (entity, t, mark_price, premium) of exactly the minute's time.
+
+    Without one the mark price is taken as a fixed factor of the close.
+    """
+    j = _minutes(timeline).join(marks, ["entity", "t"], "left")
+    mark = F.coalesce("mark_price", F.col("close") * MARK_FACTOR)
+    premium = F.when(F.col("mark_price").isNull(), MARK_PREMIUM).otherwise(F.coalesce("premium", F.lit(0.0)))
+    return j.select("symbol", "idx", _safe(mark - F.col("close"), F.col("close"), 0.0).alias("mark_price_basis"), premium.alias("premium_index"))
+
+
+def carried(timeline: DataFrame, source: DataFrame, defaults: dict[str, float]) -> DataFrame:
+    """symbol, idx and columns of the last source row (entity, t, ...) at or before each minute, or their defaults."""
+    got = asof_backward(_minutes(timeline), source, list(defaults), DAY_US)
+    return got.select("symbol", "idx", *(F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(v)).alias(c) for c, v in defaults.items()))
+
+
 #: Window expressions over ticks of five minutes, numbered by idx. A change of nothing is 0; windows may be partial.
 def _change(x: str, k: int) -> str:
     return f"coalesce(({x} - lag({x}, {k}) @) / nullif(abs(lag({x}, {k}) @), 0), 0)"
@@ -89,3 +125,20 @@ ACCOUNTS: dict[str, str] = {
 def account_features(ticks: DataFrame) -> DataFrame:
     """The features of the account ratios of metrics ticks (symbol, idx and the ratios as named by read_metrics_csv)."""
     return ticks.select("symbol", "idx", *(F.expr(frame(e, "symbol")).cast("double").alias(n) for n, e in ACCOUNTS.items()))
+
+
+def metrics_onto_minutes(timeline: DataFrame, ticks: DataFrame) -> DataFrame:
+    """symbol, idx and the eleven metrics features of the last tick at or before each minute; 0 before the first.
+
+    ticks: symbol, create_time and the quantities as read_metrics_csv names them.
+    """
+    w = Window.partitionBy("symbol").orderBy("create_time")
+    # Ticks are minutes apart: their number per symbol is bounded by the span of time.
+    numbered = ticks.withColumn("idx", F.row_number().over(w) - 1).withColumns(
+        {"open_interest": F.col("sum_open_interest"), "open_interest_value": F.col("sum_open_interest_value"), "taker_ratio": F.col("sum_taker_long_short_vol_ratio")}
+    )
+    wanted = {n: e for n, e in (METRICS | ACCOUNTS).items() if n != "strict_oi_mean_12"}
+    known = numbered.select(
+        F.col("symbol").alias("entity"), F.unix_micros(F.col("create_time").cast("timestamp")).alias("t"), *(F.expr(frame(e, "symbol")).cast("double").alias(n) for n, e in wanted.items())
+    )
+    return carried(timeline, known, dict.fromkeys(wanted, 0.0))

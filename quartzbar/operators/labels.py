@@ -80,3 +80,34 @@ def reason_counts(labels: DataFrame) -> DataFrame:
     every = spark.createDataFrame([(r,) for r in REASONS], "label_reason string")
     counts = labels.groupBy("label_reason").agg(F.count(F.lit(1)).alias("n"))
     return every.join(counts, "label_reason", "left").select("label_reason", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def external_labels(labels: DataFrame, events: DataFrame, threshold: float = 0.001) -> DataFrame:
+    """labels (symbol, idx, open_time, label, label_reason, target_return, ...) with those of events (symbol, idx or open_time,
+    label_reason, label or null) put over them.
+
+    An event is looked up by row number, then by time; of several the least label and reason count. A known reason
+    settles the label where the event gives none: take profit 1, a loss 0, else the return decides. Unknown reasons
+    and labels other than 0 and 1 are refused.
+    """
+    ok = F.col("label_reason").isin(*REASONS) & (F.col("label").isNull() | F.col("label").isin(0, 1))
+    refused = F.raise_error(F.concat(F.lit("unknown label or reason: "), F.coalesce("label_reason", F.lit("null")))).cast("string")
+    checked = events.withColumn("label_reason", F.when(F.coalesce(ok, F.lit(False)), F.col("label_reason")).otherwise(refused))
+    pick = F.min(F.struct("label_reason", "label"))
+    by_idx = checked.where("idx IS NOT NULL").groupBy("symbol", "idx").agg(pick.alias("_i"))
+    by_time = checked.where("idx IS NULL AND open_time IS NOT NULL").groupBy("symbol", "open_time").agg(pick.alias("_t"))
+    j = labels.join(by_idx, ["symbol", "idx"], "left").join(by_time, ["symbol", "open_time"], "left").withColumn("_e", F.coalesce("_i", "_t"))
+    reason = F.col("_e.label_reason")
+    given = F.coalesce(
+        F.col("_e.label"), F.when(reason == "tp_first", 1).when(~reason.isin("timeout_no_tp", "gap_cross_timeout"), 0).when(reason.isNotNull(), (F.col("target_return") > threshold).cast("int"))
+    )
+    return j.withColumn("label", F.coalesce(given, F.col("label"))).withColumn("label_reason", F.coalesce(reason, F.col("label_reason"))).drop("_i", "_t", "_e")
+
+
+def with_target(labels: DataFrame, target: str) -> DataFrame:
+    """labels whose label is that of a target: profitability (as it is), long_success or short_success."""
+    if target == "profitability":
+        return labels
+    if target not in ("long_success", "short_success"):
+        raise ValueError(f"unknown target {target}")
+    return labels.withColumn("label", F.col(target).cast("int"))

@@ -45,6 +45,34 @@ def platt_probability(p: str, slope: float, intercept: float) -> Column:
     return 1 / (1 + F.exp(-(slope * F.log(safe / (1 - safe)) + intercept)))
 
 
+def fit_beta(rows: DataFrame, p: str, label: str) -> tuple[float, float, float]:
+    """(a, b, c) of a logistic on log p and log (1 - p), fitted by Spark's own solver."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    safe = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
+    data = rows.select(array_to_vector(F.array(F.log(safe), F.log(1 - safe))).alias("features"), F.col(label).cast("double").alias("label"))
+    m = LogisticRegression(regParam=1e-4, maxIter=50).fit(data)
+    return float(m.coefficients[0]), float(m.coefficients[1]), float(m.intercept)
+
+
+def beta_probability(p: str, a: float, b: float, c: float) -> Column:
+    safe = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
+    return 1 / (1 + F.exp(-(a * F.log(safe) + b * F.log(1 - safe) + c)))
+
+
+#: Fixed value: positives from which a beta calibration is fitted.
+BETA_FROM = 200
+
+
+def fit_calibration(rows: DataFrame, p: str, label: str) -> tuple[str, Column]:
+    """(method, calibrated probability): platt below BETA_FROM positives, else beta."""
+    positives = rows.agg(F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0))).first()[0]
+    if positives < BETA_FROM:
+        return "platt", platt_probability(p, *fit_platt(rows, p, label))
+    return "beta", beta_probability(p, *fit_beta(rows, p, label))
+
+
 def weighted_average(parts: dict[str, float]) -> Column:
     """Average of probabilities by weights; their plain mean if the weights have no sum above zero."""
     total = sum(parts.values())

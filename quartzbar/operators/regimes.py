@@ -127,3 +127,69 @@ def assigned(rows: DataFrame, names: list[str], unsure: str, n: int = 30, confid
     table, states = persistence(len(names), names.index(unsure), after)
     shown = [names[s[0]] if s else "" for s in states]
     return means.drop("_code").join(scan(means, [Machine("_code", table, shown, "assigned")]), ["symbol", "idx"])
+
+
+def transitions(rows: DataFrame, label: str) -> DataFrame:
+    """symbol, before, after, n: changes of a label from one row to the next of dense rows (symbol, idx)."""
+    from quartzbar.operators.timeline import in_chunks
+
+    w = Window.partitionBy("symbol", "chunk").orderBy("idx")
+    steps = in_chunks(rows.select("symbol", "idx", label), before=1).withColumn("before", F.lag(label).over(w))
+    changed = steps.where(F.col("core") & (F.col("before") != F.col(label)))
+    return changed.groupBy("symbol", "before", F.col(label).alias("after")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def jitter(rows: DataFrame, label: str, window: int = 10, most: int = 3) -> DataFrame:
+    """symbol, idx, changes of dense rows where a label changed more often than ``most`` within the last ``window`` rows."""
+    from quartzbar.operators.timeline import in_chunks
+
+    w = Window.partitionBy("symbol", "chunk").orderBy("idx")
+    steps = in_chunks(rows.select("symbol", "idx", label), before=window + 1).withColumn("c", F.coalesce((F.lag(label).over(w) != F.col(label)).cast("int"), F.lit(0)))
+    steps = steps.withColumn("changes", F.sum("c").over(w.rowsBetween(-(window - 1), 0)))
+    return steps.where(F.col("core") & (F.col("changes") > most)).select("symbol", "idx", "changes")
+
+
+#: The sides that may be held in each direction regime, with the target of each.
+SIDES = {"up": (("long", "long_success"),), "down": (("short", "short_success"),), "range": (("long", "long_success"), ("short", "short_success"))}
+
+
+def by_policy(rows: DataFrame, regime: str) -> DataFrame:
+    """rows (long_success, short_success, ...) once for each side that their regime admits, with side and target; unknown regimes are refused."""
+    side = lambda name: F.array(*(F.struct(F.lit(s).alias("side"), F.col(t).alias("target")) for s, t in SIDES[name]))
+    choice = F.raise_error(F.concat(F.lit("no policy for regime "), F.coalesce(F.col(regime), F.lit("null")))).cast("array<struct<side:string,target:int>>")
+    for name in SIDES:
+        choice = F.when(F.col(regime) == name, side(name)).otherwise(choice)
+    return rows.withColumn("_s", F.explode(choice)).select(*rows.columns, F.col("_s.side").alias("side"), F.col("_s.target").alias("target"))
+
+
+def holdouts(rows: DataFrame, regime: str, horizon: int) -> DataFrame:
+    """symbol, regime, n, train_end, holdout_start, viable: the first four fifths of a regime's rows, a gap, the rest."""
+    n = rows.groupBy("symbol", F.col(regime).alias("regime")).agg(F.count(F.lit(1)).alias("n"))
+    split = F.greatest(F.lit(1), F.floor(F.col("n") * 0.8)).cast("long")
+    s = n.withColumn("train_end", split)
+    gap = F.least(F.lit(max(0, horizon)), F.greatest(F.lit(0), F.floor((F.col("n") - F.col("train_end")) / 4)))
+    s = s.withColumn("holdout_start", (F.col("train_end") + gap).cast("long"))
+    return s.withColumn("viable", (F.col("holdout_start") < F.col("n") - 10) & (F.col("train_end") >= 10))
+
+
+# The share of the volatility threshold up to which a slope is a trend; weekly slope and drawdown of a
+# strong trend, the deep drawdown, the contraction that ends a trend.
+CALM, STRONG_SLOPE, SHALLOW, DEEP, CONTRACTED = 1.0, 0.02, -0.05, -0.20, 0.5
+
+
+def weekly_strength() -> Column:
+    """The strength regime from rv_15, trend_slope_30, rv, trend and the weekly features, high volatility first."""
+    high = F.col("rv_15") > F.col("rv")
+    slope, slope50, fall = F.col("weekly_ma20_slope_closed"), F.col("weekly_ma50_slope_closed"), F.col("weekly_drawdown")
+    strong = (F.abs(slope) > STRONG_SLOPE) & (fall > SHALLOW)
+    crossed = (F.col("weekly_ma20_above_ma50") > 0.5) & (slope > 0) & (slope50 > 0) & (fall > SHALLOW)
+    trend = ((F.abs("trend_slope_30") > F.col("trend")) & (F.col("rv_15") <= F.col("rv") * CALM)) | strong | crossed
+    high = high | (fall < DEEP)
+    trend = trend & ~(fall < DEEP) & ~((F.col("weekly_vol_contraction") < CONTRACTED) & ~high)
+    return F.when(high, "high_volatility").when(trend, "trending").otherwise("ranging")
+
+
+def with_weekly_strength(rows: DataFrame) -> DataFrame:
+    """symbol, idx, strength of each row by itself, from rows (symbol, idx, rv_15, trend_slope_30, weekly features)."""
+    rows = checkpointed(rows)
+    return rows.join(fit_thresholds(rows), "symbol").select("symbol", "idx", weekly_strength().alias("strength"))

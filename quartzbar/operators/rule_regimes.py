@@ -50,40 +50,50 @@ def scores(rows: DataFrame) -> DataFrame:
     )
 
 
-def proposals() -> list[Column]:
-    """What a row proposes (0 range, 1 up, 2 down) while no regime, range, up or down is in force."""
+def proposals(reversal: bool = True) -> list[Column]:
+    """What a row proposes (0 range, 1 up, 2 down) while no regime, range, up or down is in force.
+
+    Without reversal up and down only follow each other by way of range (or a breakout).
+    """
     trend, fast, vol, rng = (F.col(c) for c in ("trend", "fast", "vol", "rng"))
     lively = vol > LEAST_VOLATILITY
     rise, fall = (trend > TREND_ENTER) & lively, (trend < -TREND_ENTER) & lively
     agrees_up, agrees_down = fast > -CONFLICT, fast < CONFLICT
     from_range = F.when(rise & agrees_up, 1).when(fall & agrees_down, 2).otherwise(0)
     first = F.when((rng > RANGE_ENTER) & (F.abs(trend) < FLAT), 0).otherwise(from_range)
-    held_up = F.when(fast < -FAST_EXIT, 0).when(trend > TREND_EXIT, 1).when(fall, 2).otherwise(0)
-    held_down = F.when(fast > FAST_EXIT, 0).when(trend < -TREND_EXIT, 2).when(rise, 1).otherwise(0)
+    held_up = F.when(fast < -FAST_EXIT, 0).when(trend > TREND_EXIT, 1).when(fall & F.lit(reversal), 2).otherwise(0)
+    held_down = F.when(fast > FAST_EXIT, 0).when(trend < -TREND_EXIT, 2).when(rise & F.lit(reversal), 1).otherwise(0)
     return [F.when(F.col("breaks") > 0, F.col("breaks")).otherwise(c) for c in (first, from_range, held_up, held_down)]
 
 
-def machine(hold: int = HOLD):
-    """(table, states): a state is (regime, rows held, at most hold); a code holds four proposals and the bypass."""
+def machine(hold: int = HOLD, confirm: int = 1):
+    """(table, states): a code holds four proposals and the bypass; a state is (regime, rows held, at most hold, pending
+    regime, rows in a row it was proposed, at most confirm).
+
+    A switch needs a breakout, or the hold served and the same proposal for ``confirm`` rows in a row.
+    """
 
     def step(state, code):
         bypass, code = divmod(code, 81)
         proposed = [code // 27, code // 9 % 3, code // 3 % 3, code % 3]
         if state is None:
-            return (proposed[0], 0)
-        regime, held = state
+            return (proposed[0], 0, None, 0)
+        regime, held, pending, count = state
         new = proposed[1 + regime]
-        if new != regime and (bypass or held >= hold):
-            return (new, 0)
-        return (regime, min(held + 1, hold))
+        if new == regime:
+            return (regime, min(held + 1, hold), None, 0)
+        count = min(count + 1, confirm) if new == pending else 1
+        if bypass or (held >= hold and count >= confirm):
+            return (new, 0, None, 0)
+        return (regime, min(held + 1, hold), new, count) if confirm > 1 else (regime, min(held + 1, hold), None, 0)
 
     return transition_table(162, None, step)
 
 
-def with_rule_regimes(rows: DataFrame, hold: int = HOLD) -> DataFrame:
+def with_rule_regimes(rows: DataFrame, hold: int = HOLD, confirm: int = 1, reversal: bool = True) -> DataFrame:
     """symbol, idx, regime from rows (symbol, idx, FEATURES, FLAGS)."""
-    p = proposals()
+    p = proposals(reversal)
     code = (F.col("breaks") > 0).cast("int") * 81 + p[0] * 27 + p[1] * 9 + p[2] * 3 + p[3]
-    table, states = machine(hold)
+    table, states = machine(hold, confirm)
     coded = scores(checkpointed(rows.select("symbol", "idx", *FEATURES, *FLAGS))).select("symbol", "idx", code.cast("int").alias("code"))
     return scan(checkpointed(coded), [Machine("code", table, [CLASSES[s[0]] if s else "" for s in states], "regime")])

@@ -197,16 +197,19 @@ SELECT symbol, CAST(floor(m / 15) AS BIGINT) AS bucket, arg_min(open, m) AS open
        {rounded(["sum(volume)"], 3)[0].removesuffix(" AS sum(volume)")} AS volume
 FROM ({CANONICAL_SQL}) GROUP BY ALL HAVING count(*) = 15
 """
-SQL["features_weekly"] = f"""
+
+
+def _weekly_sql(minutes: int, offset: int, short: int, long: int) -> str:
+    return f"""
 WITH canon AS MATERIALIZED ({CANONICAL_SQL}),
-w AS (SELECT symbol, CAST(floor(m / {PERIOD}) AS BIGINT) AS b, arg_max(close, m) AS close FROM canon GROUP BY ALL),
+w AS (SELECT symbol, CAST(floor((m - {offset}) / {minutes}) AS BIGINT) AS b, arg_max(close, m) AS close FROM canon GROUP BY ALL),
 x AS (
-  SELECT *, CASE WHEN count(*) OVER s = 4 THEN avg(close) OVER s END AS ma_s, CASE WHEN count(*) OVER l = 5 THEN avg(close) OVER l END AS ma_l,
-         CASE WHEN count(*) OVER s = 4 THEN stddev_samp(close) OVER s END AS sd_s, CASE WHEN count(*) OVER l = 5 THEN stddev_samp(close) OVER l END AS sd_l,
-         max(close) OVER (PARTITION BY symbol ORDER BY b) AS top, count(*) OVER (PARTITION BY symbol) >= 5 AS enough
-  FROM w WINDOW s AS (PARTITION BY symbol ORDER BY b ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), l AS (PARTITION BY symbol ORDER BY b ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)
+  SELECT *, CASE WHEN count(*) OVER s = {short} THEN avg(close) OVER s END AS ma_s, CASE WHEN count(*) OVER l = {long} THEN avg(close) OVER l END AS ma_l,
+         CASE WHEN count(*) OVER s = {short} THEN stddev_samp(close) OVER s END AS sd_s, CASE WHEN count(*) OVER l = {long} THEN stddev_samp(close) OVER l END AS sd_l,
+         max(close) OVER (PARTITION BY symbol ORDER BY b) AS top, count(*) OVER (PARTITION BY symbol) >= {long} AS enough
+  FROM w WINDOW s AS (PARTITION BY symbol ORDER BY b ROWS BETWEEN {short - 1} PRECEDING AND CURRENT ROW), l AS (PARTITION BY symbol ORDER BY b ROWS BETWEEN {long - 1} PRECEDING AND CURRENT ROW)
 ), y AS (
-  SELECT *, (b + 1) * {PERIOD} AS known_at, coalesce(ma_s / lag(ma_s) OVER o - 1, 0) AS slope_s, coalesce(ma_l / lag(ma_l) OVER o - 1, 0) AS slope_l
+  SELECT *, (b + 1) * {minutes} + {offset} AS known_at, coalesce(ma_s / lag(ma_s) OVER o - 1, 0) AS slope_s, coalesce(ma_l / lag(ma_l) OVER o - 1, 0) AS slope_l
   FROM x WINDOW o AS (PARTITION BY symbol ORDER BY b)
 ), z AS (
   SELECT c.symbol, c.idx, coalesce(e.enough, false) AS ok, coalesce(slope_s, 0) AS weekly_ma20_slope_closed, coalesce(slope_l, 0) AS weekly_ma50_slope_closed,
@@ -217,3 +220,7 @@ x AS (
 )
 SELECT symbol, idx, {", ".join(rounded(list(_WEEKLY), of=lambda n: f"CASE WHEN ok THEN CAST({n} AS DOUBLE) ELSE 0 END"))} FROM z
 """
+
+
+SQL["features_weekly"] = _weekly_sql(PERIOD, 0, 4, 5)
+SQL["features_weeks"] = _weekly_sql(7 * 1440, 4 * 1440, 20, 50)

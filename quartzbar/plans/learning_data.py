@@ -127,18 +127,6 @@ f AS (
     coalesce((mp - mid) / nullif(mid, 0), 0) AS microprice_deviation FROM j
 )
 SELECT symbol, idx, {", ".join(rounded(list(BOOK)))} FROM f
-""",
-    "features_funding": f"""
-WITH d AS (
-  SELECT {_NORM} AS symbol, CASE WHEN next_funding_time < 10000000000 THEN next_funding_time * 1000000 ELSE next_funding_time * 1000 END AS t,
-         arg_max({{'c': current_rate, 'n': next_rate, 'm': minutes_to_next}}, funding_id) AS v
-  FROM funding_rates WHERE next_funding_time <> 0 GROUP BY ALL
-), f AS (
-  SELECT c.symbol, c.idx, coalesce(v.c, 0) AS funding_rate, coalesce(v.n, 0) AS next_funding_rate, coalesce(v.m, 480) AS minutes_to_next_funding,
-         CASE WHEN coalesce(v.m, 480) <= 60 THEN 1 ELSE 0 END AS funding_blackout_active
-  FROM ({CANONICAL_SQL}) AS c ASOF LEFT JOIN d ON d.symbol = c.symbol AND c.m * 60000000 >= d.t
-)
-SELECT symbol, idx, {", ".join(rounded(list(FUNDING), 8))} FROM f
 """,
     "features_metrics": f"""
 WITH t AS (
