@@ -67,6 +67,15 @@ def missing_days(spark: SparkSession, d: str) -> DataFrame:
     return timeline.missing_days(valid(spark, d))
 
 
+def coverage_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per symbol: rows, valid bars, canonical minutes, first and last minute, days with and without a bar."""
+    v = valid(spark, d)
+    raw = table(spark, d, "bars").groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))
+    days = v.groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("a"), F.max("m").alias("b"))
+    s = days.groupBy("symbol").agg(F.sum("n").alias("bars"), F.min("a").alias("first"), F.max("b").alias("last"), F.count(F.lit(1)).alias("days"), (F.max("day") - F.min("day") + 1).alias("span"))
+    return raw.join(s, "symbol").select("symbol", "rows", "bars", (F.col("last") - F.col("first") + 1).alias("minutes"), "first", "last", "days", (F.col("span") - F.col("days")).alias("missing_days"))
+
+
 def max_gap_run(spark: SparkSession, d: str) -> DataFrame:
     """Longest repaired run inside the last 120 minutes, runs cut at the window's start, and the gap pressure."""
     rows = timeline.in_chunks(canonical(spark, d).select("symbol", "idx", "gap_flag", "gap_length"))
@@ -152,7 +161,7 @@ FROM u JOIN k USING (feature_name) GROUP BY feature_name
 
 
 QUERIES = {
-    f.__name__: f for f in (bar_validation, canonical_timeline, gap_summary, missing_days, max_gap_run, clip_report)
+    f.__name__: f for f in (bar_validation, canonical_timeline, gap_summary, missing_days, coverage_report, max_gap_run, clip_report)
 } | {f"features_{name}": partial(features, name) for name in bar_features.FAMILIES}
 QUERIES |= {f.__name__: f for f in (features_recursive, features_weekly, features_weeks, resampled_bars)}
 QUERIES |= {f"features_{tf}": partial(features_timeframe, tf) for tf in timeframes.FRAMES}
@@ -177,6 +186,11 @@ FROM ({CANONICAL_SQL}) GROUP BY symbol
     "missing_days": f"""
 WITH d AS (SELECT DISTINCT symbol, CAST(floor(m / 1440) AS BIGINT) AS day FROM ({VALID_SQL}))
 SELECT symbol, day FROM (SELECT symbol, unnest(range(min(day), max(day) + 1)) AS day FROM d GROUP BY symbol) ANTI JOIN d USING (symbol, day)
+""",
+    "coverage_report": f"""
+WITH v AS ({VALID_SQL}), r AS (SELECT symbol, count(*) AS rows FROM bars GROUP BY symbol)
+SELECT v.symbol, any_value(r.rows) AS rows, count(*) AS bars, max(m) - min(m) + 1 AS minutes, min(m) AS first, max(m) AS last, count(DISTINCT m // 1440) AS days, max(m // 1440) - min(m // 1440) + 1 - count(DISTINCT m // 1440) AS missing_days
+FROM v JOIN r USING (symbol) GROUP BY v.symbol
 """,
     "max_gap_run": f"""
 WITH c AS MATERIALIZED (SELECT symbol, idx, gap_flag, gap_length FROM ({CANONICAL_SQL})),

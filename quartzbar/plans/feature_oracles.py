@@ -194,7 +194,7 @@ def _moves(e: str) -> str:
     return _MOVES.format(h="h15", e=e.replace("y.", "h15[i - 1]."))
 
 
-def frame_sql(canonical_sql: str, minutes: int, tf: str) -> str:
+def frame_sql(canonical_sql: str, minutes: int, tf: str, digits: int = 6) -> str:
     """The indicators of closed buckets by lists of the buckets before them, carried onto the minutes."""
     up, down = "greatest(0, x.c - y.c)", "greatest(0, y.c - x.c)"
     parts = f"""
@@ -227,5 +227,5 @@ b AS MATERIALIZED (
         parts += f""", {_fit("c24")} / c AS trend_slope_24h, c / c24[1] - 1 AS return_24h, 1 - c / list_max(hi24) AS drawdown_from_24h_high, c / list_max(hi24) - 1 AS distance_from_24h_high,
     c / list_min(lo24) - 1 AS distance_from_24h_low, CAST(c >= list_max(hi24) AS INTEGER) AS rolling_high_breakout_24h, CAST(c <= list_min(lo24) AS INTEGER) AS rolling_low_breakdown_24h"""
         names += ["trend_slope_24h", "return_24h", "drawdown_from_24h_high", "distance_from_24h_high", "distance_from_24h_low", "rolling_high_breakout_24h", "rolling_low_breakdown_24h"]
-    out = rounded(names, 6, lambda n: f"CAST(coalesce({n}, {50 if n.startswith('rsi_') else 0}) AS DOUBLE)")
+    out = rounded(names, digits, lambda n: f"CAST(coalesce({n}, {50 if n.startswith('rsi_') else 0}) AS DOUBLE)")
     return f"WITH {parts} FROM t) SELECT c.symbol, c.idx, {', '.join(out)} FROM canon AS c ASOF LEFT JOIN x ON c.symbol = x.symbol AND c.m >= x.known_at"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quartzbar.functions.keys import entity_key, epoch_us
 from quartzbar.functions.windows import rounded
 from quartzbar.operators import backtest, bar_features, models, quality, rule_regimes, timeframes
-from quartzbar.plans import bars
+from quartzbar.plans import bars, feature_oracles
 from quartzbar.plans.bars import CANONICAL_SQL, canonical
 from quartzbar.plans.evaluation import _TRADES, MODEL_FEATURES, _one, _signals, _with_scored, scored
 from quartzbar.session import table
@@ -122,7 +122,74 @@ _GAP_CASES = " UNION ALL ".join(
     + " AS action FROM x"
     for g, limit in quality.GAP_LIMITS.items() for live in (False, True)
 )
+_RETURN_NAMES = bar_features.family_columns("returns")
+_PAIRS = " UNION ALL ".join(
+    f"SELECT {i} AS a, {j} AS b, abs(corr(r_{x}, r_{y})) AS rho FROM r" for i, x in enumerate(_RETURN_NAMES) for j, y in enumerate(_RETURN_NAMES) if i < j
+)
+_RULE_SCORES = {
+    "trend": (1.0, {"trend_slope_1h": 0.25, "trend_slope_4h": 0.30, "return_4h": 0.15, "ema_gap_4h": 0.15, "trend_slope_24h": 0.15}),
+    "fast": (1.0, {"return_5": 0.20, "trend_slope_15m": 0.35, "trend_slope_30": 0.45}),
+    "vol": (1.0, {"atr_pct_1h": 0.40, "atr_pct_4h": 0.30, "bb_width_1h": 0.30}),
+    "quiet": (1.0, {"adx_1h": 0.35, "adx_4h": 0.20, "bb_width_1h": 0.30}),
+}
+_RULE_FEATURES = sorted({f for _, w in _RULE_SCORES.values() for f in w})
+
+
+def _rule_sql(confirm: int, reversal: bool) -> str:
+    """The rule detector as a recursive step per row: regime, rows held, pending regime, its count."""
+    frames = " JOIN ".join(
+        f"({feature_oracles.frame_sql(CANONICAL_SQL, minutes, tf, 12)}) AS f{tf}" + ("" if i == 0 else " USING (symbol, idx)") for i, (tf, minutes) in enumerate(timeframes.FRAMES.items())
+    )
+    total = lambda name: " + ".join(f"{w} * z_{f}" for f, w in _RULE_SCORES[name][1].items())
+    turn_up, turn_down = ("WHEN trend > 0.7 AND vol > 0.2 THEN 1", "WHEN trend < -0.7 AND vol > 0.2 THEN 2") if reversal else ("", "")
+    new = "CASE s.regime WHEN 0 THEN c.p0 WHEN 1 THEN c.p1 ELSE c.p2 END"
+    count = f"CASE WHEN {new} = s.pending THEN s.cnt + 1 ELSE 1 END"
+    go = f"({new} <> s.regime AND (c.breaks > 0 OR (s.held >= 60 AND {count} >= {confirm})))"
+    return f"""
+WITH RECURSIVE one AS ({feature_oracles.sql(CANONICAL_SQL, "returns", "trend", digits=12, clipped=False)}), tf AS (SELECT * FROM {frames}),
+x AS MATERIALIZED (
+  SELECT one.symbol, one.idx, round(one.return_5, 9) AS return_5, round(one.trend_slope_30, 9) AS trend_slope_30,
+    {", ".join(f"round(tf.{f}, 9) AS {f}" for f in [*(f for f in _RULE_FEATURES if f not in ("return_5", "trend_slope_30")), *rule_regimes.FLAGS])}
+  FROM one JOIN tf ON tf.symbol = one.symbol AND tf.idx = one.idx
+), fit AS (SELECT symbol, {", ".join(f"avg({f}) AS m_{f}, greatest(stddev_pop({f}), 1e-9) AS s_{f}" for f in _RULE_FEATURES)} FROM x GROUP BY symbol),
+z AS (SELECT x.*, {", ".join(f"({f} - m_{f}) / s_{f} AS z_{f}" for f in _RULE_FEATURES)}, abs(distance_from_24h_low) AS lo, abs(drawdown_from_24h_high) AS hi FROM x JOIN fit USING (symbol)),
+sc AS (
+  SELECT symbol, idx, round({total("trend")}, 9) AS trend, round(({total("fast")}) / 1.0, 9) AS fast, round({total("vol")}, 9) AS vol,
+    round(0.15 * CASE WHEN lo + hi > 0 THEN 1 - 2 * abs(lo / (lo + hi) - 0.5) ELSE 0 END - ({total("quiet")}), 9) AS calm,
+    CASE WHEN volume_z_1h > 1.5 AND rolling_high_breakout_24h = 1 THEN 1 WHEN volume_z_1h > 1.5 AND rolling_low_breakdown_24h = 1 THEN 2 ELSE 0 END AS breaks
+  FROM z
+), pr AS (
+  SELECT *, CASE WHEN trend > 0.7 AND vol > 0.2 AND fast > -0.6 THEN 1 WHEN trend < -0.7 AND vol > 0.2 AND fast < 0.6 THEN 2 ELSE 0 END AS leave FROM sc
+), c AS MATERIALIZED (
+  SELECT symbol, idx, breaks, CASE WHEN breaks > 0 THEN breaks WHEN calm > 0.65 AND abs(trend) < 0.45 THEN 0 ELSE leave END AS first, CASE WHEN breaks > 0 THEN breaks ELSE leave END AS p0,
+    CASE WHEN breaks > 0 THEN breaks WHEN fast < -0.8 THEN 0 WHEN trend > 0.4 THEN 1 {turn_down} ELSE 0 END AS p1,
+    CASE WHEN breaks > 0 THEN breaks WHEN fast > 0.8 THEN 0 WHEN trend < -0.4 THEN 2 {turn_up} ELSE 0 END AS p2
+  FROM pr
+), s AS (
+  SELECT symbol, idx, first AS regime, 0 AS held, -1 AS pending, 0 AS cnt FROM c WHERE idx = 0
+  UNION ALL
+  SELECT c.symbol, c.idx, CASE WHEN {go} THEN {new} ELSE s.regime END, CASE WHEN {go} THEN 0 ELSE s.held + 1 END,
+    CASE WHEN {new} = s.regime OR {go} THEN -1 ELSE {new} END, CASE WHEN {new} = s.regime OR {go} THEN 0 ELSE {count} END
+  FROM s JOIN c ON c.symbol = s.symbol AND c.idx = s.idx + 1
+)
+SELECT symbol, idx, ['range', 'up', 'down'][regime + 1] AS regime FROM s
+"""
+
+
 SQL = {
+    "rule_regimes_by_row": _rule_sql(1, True),
+    "confirmed_rule_regimes": _rule_sql(3, False),
+    "correlated_features": f"""
+WITH RECURSIVE f AS MATERIALIZED ({feature_oracles.sql(CANONICAL_SQL, "returns", digits=15, clipped=False)}),
+r AS MATERIALIZED (SELECT {", ".join(f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2 AS r_{x}" for x in _RETURN_NAMES)} FROM f),
+p AS MATERIALIZED ({_PAIRS}), t AS MATERIALIZED (SELECT b, list(a) FILTER (rho >= 0.9) AS near FROM p GROUP BY b),
+k AS (
+  SELECT 0 AS i, [0] AS kept
+  UNION ALL
+  SELECT k.i + 1, CASE WHEN list_has_any(kept, coalesce(near, [])) THEN kept ELSE list_append(kept, k.i + 1) END FROM k JOIN t ON t.b = k.i + 1
+)
+SELECT [{", ".join(f"'{x}'" for x in _RETURN_NAMES)}][j + 1] AS feature FROM range({len(_RETURN_NAMES)}) AS n(j) WHERE j NOT IN (SELECT unnest(kept) FROM k WHERE i = {len(_RETURN_NAMES) - 1})
+""",
     "gap_policy": f"""
 WITH x AS MATERIALIZED (
   SELECT r.symbol, r.idx, r.max_gap_run_120 AS run, round(avg(gap_flag) OVER (PARTITION BY c.symbol ORDER BY c.idx ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 9) AS r

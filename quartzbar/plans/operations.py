@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzbar.operators import bad_rows, bar_features, timeframes
+from quartzbar.plans import record_oracles
 from quartzbar.plans.bars import VALID_SQL, valid
 from quartzbar.session import table
 from quartzbar.sources.bar_files import parse_kline_messages, parse_kline_rows, with_periods
@@ -30,39 +31,21 @@ def gap_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kline_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Bars written as stream messages, every tenth still open, and parsed again."""
-    return _through_messages(table(spark, d, "bars").where("close IS NOT NULL AND NOT isnan(close)"), F.col("bar_id") % 10 != 0)
-
-
-def closed_kline_messages(spark: SparkSession, d: str) -> DataFrame:
     """Every bar written as the message of a closed candle and parsed again."""
-    return _through_messages(table(spark, d, "bars"), F.lit(True))
-
-
-def _through_messages(b: DataFrame, closed: Column) -> DataFrame:
+    b = table(spark, d, "bars")
     text = lambda c: F.col(c).cast("string")
     k = F.struct(
         F.floor(F.unix_micros(F.col("open_time").cast("timestamp")) / 1000).alias("t"), text("open").alias("o"), text("high").alias("h"), text("low").alias("l"), text("close").alias("c"),
         text("volume").alias("v"), text("quote_volume").alias("q"), F.col("number_of_trades").alias("n"), text("taker_buy_base_volume").alias("V"),
-        text("taker_buy_quote_volume").alias("Q"), closed.alias("x"),
+        text("taker_buy_quote_volume").alias("Q"), F.lit(True).alias("x"),
     )
     parsed = parse_kline_messages(b.select(F.to_json(F.struct(F.col("symbol").alias("s"), k.alias("k"))).alias("value")), "value")
     return parsed.select("symbol", F.unix_micros("open_time").alias("t_us"), "open", "high", "low", "close", "volume", "quote_volume", "number_of_trades", "taker_buy_base_volume")
 
 
 def kline_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Plain archive records (twelve cells of digits and points) read as API rows."""
-    r = table(spark, d, "archive_records").where(r"record RLIKE '^[0-9]+(,[0-9.]+){11}\\z'")
-    return _from_rows(r.select(F.concat(F.lit("["), "record", F.lit("]")).alias("row")))
-
-
-def archive_kline_rows(spark: SparkSession, d: str) -> DataFrame:
     """Every archive record that is a valid bar, read as an API row."""
-    return _from_rows(bad_rows.api_rows(table(spark, d, "archive_records")))
-
-
-def _from_rows(rows: DataFrame) -> DataFrame:
-    p = parse_kline_rows(rows, "row")
+    p = parse_kline_rows(bad_rows.api_rows(table(spark, d, "archive_records")), "row")
     return p.select(F.unix_micros("open_time").alias("t_us"), "open", "high", "low", "close", "volume", "quote_volume", "number_of_trades")
 
 
@@ -97,14 +80,14 @@ def feature_registry(spark: SparkSession, d: str) -> DataFrame:
 def row_hashes(spark: SparkSession, d: str) -> DataFrame:
     """Per symbol of the instruments a hash of its canonical text: equal rows, equal hash."""
     i = table(spark, d, "instruments")
-    text = F.concat_ws("|", "symbol", F.col("lot_size").cast("decimal(20,8)").cast("string"), F.col("funding_interval_min").cast("string"))
+    text = F.concat_ws("|", "symbol", F.col("tick_size").cast("decimal(20,8)").cast("string"), F.col("lot_size").cast("decimal(20,8)").cast("string"), F.col("funding_interval_min").cast("string"))
     return i.select("symbol", F.sha2(text, 256).alias("hash"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        gap_events, gap_alerts, kline_messages, closed_kline_messages, kline_rows, archive_kline_rows, bars_in_periods, source_grades, feature_registry, row_hashes,
+        gap_events, gap_alerts, kline_messages, kline_rows, bars_in_periods, source_grades, feature_registry, row_hashes,
     )
 }
 
@@ -118,25 +101,19 @@ SQL = {
 WITH e AS ({_GAPS}) SELECT 'desync' AS rule, symbol, minute FROM e WHERE kind = 'stream_desync' UNION ALL SELECT 'long_gap', symbol, minute FROM e WHERE missing >= 10
 """,
     "kline_messages": """
-SELECT symbol, epoch_us(open_time) // 1000 * 1000 AS t_us, open, high, low, close, volume, quote_volume, CAST(number_of_trades AS DOUBLE) AS number_of_trades, taker_buy_base_volume
-FROM bars WHERE close IS NOT NULL AND NOT isnan(close) AND bar_id % 10 <> 0
-""",
-    "closed_kline_messages": """
 SELECT symbol, epoch_us(open_time) // 1000 * 1000 AS t_us, open, high, low, close, volume, quote_volume, CAST(number_of_trades AS DOUBLE) AS number_of_trades, taker_buy_base_volume FROM bars
 """,
-    "kline_rows": r"""
-WITH r AS (SELECT string_split(record, ',') AS a FROM archive_records WHERE regexp_full_match(record, '[0-9]+(,[0-9.]+){11}'))
-SELECT CASE WHEN CAST(a[1] AS BIGINT) <= 10000000000 THEN CAST(a[1] AS BIGINT) * 1000000 ELSE CAST(a[1] AS BIGINT) * 1000 END AS t_us, TRY_CAST(a[2] AS DOUBLE) AS open, TRY_CAST(a[3] AS DOUBLE) AS high,
-  TRY_CAST(a[4] AS DOUBLE) AS low, TRY_CAST(a[5] AS DOUBLE) AS close, TRY_CAST(a[6] AS DOUBLE) AS volume, TRY_CAST(a[8] AS DOUBLE) AS quote_volume, TRY_CAST(a[9] AS DOUBLE) AS number_of_trades FROM r
-""",
+    "kline_rows": record_oracles.SQL["kline_rows"],
     "bars_in_periods": """
 SELECT symbol, CASE WHEN t >= TIMESTAMP '2020-01-01 06:00:00' AND t < TIMESTAMP '2020-01-01 12:00:00' THEN 'up' WHEN t >= TIMESTAMP '2020-01-01 10:00:00' AND t < TIMESTAMP '2020-01-01 18:00:00' THEN 'down'
   WHEN t >= TIMESTAMP '2020-01-02 00:00:00' AND t < TIMESTAMP '2020-01-03 00:00:00' THEN 'range' ELSE 'none' END AS regime, count(*) AS n
 FROM (SELECT symbol, make_timestamp(epoch_us(open_time)) AS t FROM bars) GROUP BY ALL
 """,
-    "source_grades": "SELECT * FROM (VALUES " + ", ".join(
-        f"('{k}', '{'D' if v[3] and not v[2] else 'A' if v[0] and v[1] and v[2] else 'B' if v[0] and v[2] else 'C'}')" for k, v in SOURCES.items()
-    ) + ") AS s(source, grade)",
+    "source_grades": """
+SELECT source, CASE WHEN live = 0 AND source = 'klines_1m' THEN 'D' WHEN backfill + archive + live = 3 THEN 'A' WHEN backfill = 1 AND live = 1 THEN 'B' ELSE 'C' END AS grade
+FROM (SELECT source, CAST(source IN ('klines_1m', 'funding_rate', 'metrics', 'regime_classifier') AS INTEGER) AS backfill, CAST(source IN ('klines_1m', 'metrics') AS INTEGER) AS archive, 1 AS live
+      FROM (SELECT unnest(['klines_1m', 'mark_price_1m', 'premium_index_1m', 'funding_rate', 'exchange_info', 'leverage_bracket', 'depth_snapshot', 'agg_trades', 'liquidation_feed', 'adl_quantile', 'metrics', 'regime_classifier']) AS source))
+""",
     "feature_registry": "SELECT feature, family, class, CAST(clip_abs AS DOUBLE) AS clip_abs FROM (VALUES " + ", ".join(f"('{n}', '{f}', '{c}', {x})" for n, f, c, x in _registry()) + ") AS s(feature, family, class, clip_abs)",
-    "row_hashes": "SELECT symbol, sha256(symbol || '|' || CAST(CAST(lot_size AS DECIMAL(20, 8)) AS VARCHAR) || '|' || CAST(funding_interval_min AS VARCHAR)) AS hash FROM instruments",
+    "row_hashes": "SELECT symbol, sha256(symbol || '|' || CAST(CAST(tick_size AS DECIMAL(20, 8)) AS VARCHAR) || '|' || CAST(CAST(lot_size AS DECIMAL(20, 8)) AS VARCHAR) || '|' || CAST(funding_interval_min AS VARCHAR)) AS hash FROM instruments",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quartzbar.operators import bad_rows, regular_grid, schema_drift, spikes
+from quartzbar.plans import record_oracles
 from quartzbar.session import table
 
 
@@ -30,12 +31,20 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible_readings(table(spark, d, "bars"), table(spark, d, "depth_snapshots"))
 
 
-def p4_grid(spark: SparkSession, d: str) -> DataFrame:
+def _grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid.regular_grid(table(spark, d, "bars"), table(spark, d, "coverage_windows"))
 
 
+def p4_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Fits and supports have the precision of a float; readings are as they are."""
+    single = lambda c: f"CAST(CAST({c} AS FLOAT) AS DOUBLE)"
+    return _grid(spark, d).selectExpr(
+        "symbol", "minute_ms", "missing", "status", "readings", *(f"IF(missing, {single(c)}, {c}) AS {c}" for c in ("close", "volume")), *(f"{single(c)} AS {c}" for c in ("close_fit", "volume_fit", "support"))
+    )
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_grid(spark, d).where("missing").select("symbol", "minute_ms")
+    return _grid(spark, d).where("missing").select("symbol", "minute_ms")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,4 +71,4 @@ WITH readings AS (
 )
 SELECT symbol, m * 60000 AS minute_ms FROM grid ANTI JOIN readings USING (symbol, m)
 """,
-}
+} | {n: record_oracles.SQL[n] for n in ("p4_grid", "p5_found")}

@@ -137,6 +137,6 @@ def test_every_accepted_record_is_an_api_row(spark):
 def test_archive_rows_are_the_bars_of_the_parser(spark, data):
     names = ("open", "high", "low", "close", "volume", "quote_volume")
     want = [(r.open_time_us, *(r[n] for n in names), r["count"]) for r in parse_records(table(spark, data, "archive_records")).where("reason IS NULL").collect()]
-    got = [(r.t_us, *(r[n] for n in names), r.number_of_trades) for r in operations.archive_kline_rows(spark, data).collect()]
+    got = [(r.t_us, *(r[n] for n in names), r.number_of_trades) for r in operations.kline_rows(spark, data).collect()]
     key = lambda rows: sorted(map(repr, rows))
     assert key(got) == key(want)
