@@ -96,14 +96,17 @@ def mean_ranks(rows: DataFrame, key: str, value: str, rank: str) -> DataFrame:
     return rows.join(ranks, [key, value], "left").select(*rows.columns, rank)
 
 
-def percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """key and the exact percentiles (linear between neighbours) of a value, named by shares."""
-    placed = _ordered_counts(rows, key, value)
+def percentiles(rows: DataFrame, key: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """key and exact percentiles (linear between neighbours): wanted gives name -> (column, share). All columns are ordered in one pass."""
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    long = rows.select(key, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)))).alias("x"))
+    placed = _ordered_counts(long.select(F.struct(F.col(key).alias("k"), "x.i").alias("_key"), F.col("x.v").alias("_v")), "_key", "_v")
     at = lambda p: F.lit(p) * (F.col("_all") - 1)
-    holds = lambda k: (F.col("_upto") > k) & (F.col("_upto") - F.col("_n") <= k)
     picks = []
-    for name, p in shares.items():
+    for name, (column, p) in wanted.items():
+        mine = F.col("_key.i") == columns.index(column)
+        holds = lambda k: mine & (F.col("_upto") > k) & (F.col("_upto") - F.col("_n") <= k)  # noqa: B023, E731
         lo, hi = F.floor(at(p)), F.ceil(at(p))
-        picks += [F.max(F.when(holds(lo), F.col(value))).alias(f"_lo_{name}"), F.max(F.when(holds(hi), F.col(value))).alias(f"_hi_{name}"), F.max(at(p) - lo).alias(f"_w_{name}")]
-    out = placed.groupBy(key).agg(*picks)
-    return out.select(key, *(F.expr(f"_lo_{n} + (_hi_{n} - _lo_{n}) * _w_{n}").alias(n) for n in shares))
+        picks += [F.max(F.when(holds(lo), F.col("_v"))).alias(f"_lo_{name}"), F.max(F.when(holds(hi), F.col("_v"))).alias(f"_hi_{name}"), F.max(F.when(mine, at(p) - lo)).alias(f"_w_{name}")]
+    out = placed.groupBy(F.col("_key.k").alias(key)).agg(*picks)
+    return out.select(key, *(F.expr(f"_lo_{n} + (_hi_{n} - _lo_{n}) * _w_{n}").alias(n) for n in wanted))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quartzbar.operators.asof import percentiles
 from quartzbar.operators.scan import Machine, scan, transition_table
 from quartzbar.operators.timeline import CHUNK
-from quartzbar.session import checkpointed
+from quartzbar.session import checkpointed, with_row_per_key
 
 STRENGTHS = ("ranging", "trending", "high_volatility")
 DIRECTIONS = ("range", "up", "down")
@@ -21,10 +21,9 @@ CONFIDENCE, PERSISTENCE = 0.45, 60
 
 def fit_thresholds(rows: DataFrame) -> DataFrame:
     """symbol, rv, trend, direction thresholds from rows (symbol, rv_15, trend_slope_30)."""
-    strength = rows.withColumn("_s", F.abs("trend_slope_30"))
-    rv = percentiles(rows, "symbol", "rv_15", {"rv": RV_PERCENTILE})
-    trend = percentiles(strength, "symbol", "_s", {"trend": TREND_PERCENTILE, "direction": DIRECTION_PERCENTILE})
-    return rv.join(trend, "symbol").select("symbol", "rv", *(F.greatest(c, F.lit(LEAST_TREND)).alias(c) for c in ("trend", "direction")))
+    both = rows.select("symbol", "rv_15", F.abs("trend_slope_30").alias("_s"))
+    fit = percentiles(both, "symbol", {"rv": ("rv_15", RV_PERCENTILE), "trend": ("_s", TREND_PERCENTILE), "direction": ("_s", DIRECTION_PERCENTILE)})
+    return fit.select("symbol", "rv", *(F.greatest(c, F.lit(LEAST_TREND)).alias(c) for c in ("trend", "direction")))
 
 
 def strength_code() -> Column:
@@ -56,10 +55,10 @@ def hysteresis(codes: int, after: int = SWITCH_AFTER):
 def with_regimes(rows: DataFrame) -> DataFrame:
     """symbol, idx, strength, direction: stable regimes from rows (symbol, idx, rv_15, trend_slope_30)."""
     rows = checkpointed(rows.select("symbol", "idx", "rv_15", "trend_slope_30"))
-    coded = rows.join(fit_thresholds(rows), "symbol").select("symbol", "idx", strength_code().alias("s"), direction_code().alias("d"))
+    coded = with_row_per_key(rows, fit_thresholds(rows), "symbol").select("symbol", "idx", strength_code().alias("s"), direction_code().alias("d"))
     table, states = hysteresis(3)
     shown = lambda names: [names[s[0]] if s else "" for s in states]
-    return scan(checkpointed(coded), [Machine("s", table, shown(STRENGTHS), "strength"), Machine("d", table, shown(DIRECTIONS), "direction")])
+    return scan(coded, [Machine("s", table, shown(STRENGTHS), "strength"), Machine("d", table, shown(DIRECTIONS), "direction")])
 
 
 def diagnostics(rows: DataFrame, label: str) -> DataFrame:
@@ -192,4 +191,4 @@ def weekly_strength() -> Column:
 def with_weekly_strength(rows: DataFrame) -> DataFrame:
     """symbol, idx, strength of each row by itself, from rows (symbol, idx, rv_15, trend_slope_30, weekly features)."""
     rows = checkpointed(rows)
-    return rows.join(fit_thresholds(rows), "symbol").select("symbol", "idx", weekly_strength().alias("strength"))
+    return with_row_per_key(rows, fit_thresholds(rows), "symbol").select("symbol", "idx", weekly_strength().alias("strength"))

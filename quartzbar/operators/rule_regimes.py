@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartzbar.operators.scan import Machine, scan, transition_table
-from quartzbar.session import checkpointed
+from quartzbar.session import checkpointed, with_row_per_key
 
 CLASSES = ("range", "up", "down")
 # Weights of the scores over z-scores of features, and the limits of the decisions.
@@ -44,7 +44,7 @@ def scores(rows: DataFrame) -> DataFrame:
     loud = F.col("volume_z_1h") > BREAKOUT_VOLUME
     breaks = F.when((F.col(FLAGS[0]) > 0.5) & loud, 1).when((F.col(FLAGS[1]) > 0.5) & loud, 2).otherwise(0)
     r = lambda c: F.round(c, 9)
-    return rows.join(fit, "symbol").select(
+    return with_row_per_key(rows, fit, "symbol").select(
         "symbol", "idx", r(total(TREND)).alias("trend"), r(total(FAST) / sum(FAST.values())).alias("fast"), r(total(VOLATILITY)).alias("vol"),
         r(CENTER * center - total(QUIET)).alias("rng"), breaks.alias("breaks"),
     )

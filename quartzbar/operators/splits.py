@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzbar.operators.asof import prefix_sums
-from quartzbar.session import checkpointed
+from quartzbar.session import checkpointed, with_row_per_key
 
 BLOCK = 8192
 
@@ -42,10 +42,15 @@ def _following(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def sample_numbers(samples: DataFrame) -> DataFrame:
-    """samples with k (0, 1, ... per symbol by start) and n (how many there are)."""
-    numbered = prefix_sums(samples, "symbol", "start", {"upto": F.lit(1)}, BLOCK)
-    n = samples.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    return numbered.join(n, "symbol").withColumn("k", F.col("upto") - 1).drop("upto")
+    """samples with k (0, 1, ... per symbol by start) and n (how many there are); both come from one row per block."""
+    rows = samples.withColumn("_block", F.floor(F.col("start") / BLOCK))
+    blocks = rows.groupBy("symbol", "_block").agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy("symbol")
+    before = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("symbol", "_block", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(whole).alias("n"))
+    inside = Window.partitionBy("symbol", "_block").orderBy("start")
+    out = rows.join(blocks, ["symbol", "_block"]).withColumn("k", F.row_number().over(inside) - 1 + F.col("_before"))
+    return out.drop("_block", "_before")
 
 
 def sequential_groups(numbered: DataFrame, groups: int) -> DataFrame:
@@ -63,12 +68,12 @@ def combinatorial_purged(samples: DataFrame, groups: int = 5, tested: int = 2, e
     Groups are consecutive, so a sample outside a group overlaps one of its samples exactly if it overlaps the
     span from the group's first start to its last end; the spans, a few per symbol, are all a row needs.
     """
-    rows = sequential_groups(sample_numbers(samples), groups)
+    rows = checkpointed(sequential_groups(sample_numbers(samples), groups))
     spans = rows.groupBy("symbol", "grp").agg(F.struct(F.min("start").alias("a"), F.max("end").alias("b")).alias("s"))
     spans = spans.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("grp", "s"))).alias("spans"))
     splits = [list(c) for c in combinations(range(groups), tested)]
     every = F.explode(F.array(*(F.struct(F.lit(i).alias("split"), F.array(*(F.lit(g).cast("long") for g in c)).alias("test")) for i, c in enumerate(splits))))
-    rows = rows.join(spans, "symbol").withColumn("x", every)
+    rows = with_row_per_key(rows, spans, "symbol").withColumn("x", every)
     span = lambda g: F.col("spans")[g]
     touches = F.exists("x.test", lambda g: (F.col("start") <= span(g)["b"]) & (span(g)["a"] <= F.col("end")))
     after = F.exists("x.test", lambda g: (F.col("start") > span(g)["b"]) & (F.col("start") <= span(g)["b"] + embargo))

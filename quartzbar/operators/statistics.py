@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzbar.operators.asof import mean_ranks, prefix_sums
-from quartzbar.session import checkpointed
+from quartzbar.session import checkpointed, with_row_per_key
 
 _BLOCK = 8192
 # Thresholds are k / 10000; those of one shard are folded in one task, rows of one block in another.
@@ -203,7 +203,7 @@ def half_life(rows: DataFrame, value: str) -> DataFrame:
     from quartzbar.operators.timeline import in_chunks
 
     means = rows.groupBy("symbol").agg(F.avg(value).alias("_m"))
-    z = in_chunks(rows, before=1).join(means, "symbol").withColumn("z", F.col(value) - F.col("_m"))
+    z = with_row_per_key(in_chunks(rows, before=1), means, "symbol").withColumn("z", F.col(value) - F.col("_m"))
     w = Window.partitionBy("symbol", "chunk").orderBy("idx")
     pairs = z.withColumn("prev", F.lag("z").over(w)).where("core AND prev IS NOT NULL")
     s = pairs.groupBy("symbol").agg(F.regr_slope(F.col("z") - F.col("prev"), F.col("prev")).alias("slope"))

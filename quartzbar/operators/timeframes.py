@@ -8,12 +8,11 @@ run over buckets, whose number per symbol is bounded by the span of time.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzbar.functions.windows import frame, shared
+from quartzbar.session import checkpointed
 
 FRAMES = {"15m": 15, "1h": 60, "4h": 240}
 HISTORY = 24
@@ -105,6 +104,36 @@ def onto_minutes(timeline: DataFrame, tf: str) -> DataFrame:
     return joined.select("symbol", "idx", *(F.coalesce(F.col(n), neutral(n)).alias(n) for n in names(tf)))
 
 
+def all_onto_minutes(timeline: DataFrame, ends: DataFrame) -> DataFrame:
+    """symbol, idx and the indicators of all timeframes; ends: symbol, lo, hi.
+
+    The longer buckets are made of whole shorter ones, and what minutes see changes with the shortest bucket only:
+    everything is joined per such bucket, and the minutes are written out of it at last. So the timeline is read
+    once, and only buckets are shuffled after that.
+    """
+    least = min(FRAMES.values())
+    parts = {tf: closed_buckets(timeline, minutes) for tf, minutes in FRAMES.items() if minutes == least}
+    short = checkpointed(next(iter(parts.values())))
+    for tf, minutes in FRAMES.items():
+        if minutes == least:
+            parts[tf] = short
+            continue
+        ratio = minutes // least
+        grouped = short.groupBy("symbol", F.floor(F.col("bucket") / ratio).alias("long")).agg(
+            F.min_by("open", "bucket").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "bucket").alias("close"), F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("n")
+        )
+        parts[tf] = grouped.where(F.col("n") == ratio).select("symbol", F.col("long").alias("bucket"), "open", "high", "low", "close", "volume")
+    # Every short bucket that holds a minute, whole or not.
+    out = ends.select("symbol", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / least), F.floor(F.col("hi") / least))).alias("cell"))
+    for tf, minutes in FRAMES.items():
+        known = indicators(parts[tf], tf).withColumnRenamed("bucket", f"_{tf}")
+        out = out.withColumn(f"_{tf}", F.floor(F.col("cell") * least / minutes) - 1).join(known, ["symbol", f"_{tf}"], "left")
+    minute = F.explode(F.sequence(F.greatest(F.col("lo"), F.col("cell") * least), F.least(F.col("hi"), F.col("cell") * least + least - 1))).alias("m")
+    every = [n for tf in FRAMES for n in names(tf)]
+    neutral = lambda n: F.lit(50.0 if n.startswith("rsi_") else 0.0)
+    return out.select("symbol", "lo", minute, *every).select("symbol", (F.col("m") - F.col("lo")).alias("idx"), *(F.coalesce(F.col(n), neutral(n)).alias(n) for n in every))
+
+
 def weekly(timeline: DataFrame, minutes: int = 7 * 1440, offset: int = 4 * 1440, short: int = 20, long: int = 50) -> DataFrame:
     """Per period and symbol: means over the short and long window, their slopes, drawdown, contraction.
 
@@ -139,7 +168,3 @@ def weekly_onto_minutes(timeline: DataFrame, minutes: int = 7 * 1440, offset: in
         pick("vol_contraction", 1.0).alias("weekly_vol_contraction"),
         *(F.when(F.col("enough"), F.coalesce(F.col("close") / F.col(m) - 1, F.lit(0.0))).otherwise(0.0).alias(f"close_vs_weekly_{n}") for m, n in (("ma_s", "ma20"), ("ma_l", "ma50"))),
     )
-
-
-def combined(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.join(b, ["symbol", "idx"]), parts)

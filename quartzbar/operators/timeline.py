@@ -78,6 +78,11 @@ def first_minutes(bars: DataFrame) -> DataFrame:
     return _valid(bars).groupBy("symbol", F.floor(F.col("m") / DAY).alias("day")).agg(F.min("m").alias("first"))
 
 
+def spans(bars: DataFrame) -> DataFrame:
+    """symbol, lo, hi: the first and last valid minute of each symbol."""
+    return _valid(bars).groupBy("symbol").agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
+
+
 def canonical(valid: DataFrame, firsts: DataFrame | None = None) -> DataFrame:
     """Dense minutes per symbol: idx, m, prices, volumes, gap_flag, gap_length, repaired.
 

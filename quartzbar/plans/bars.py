@@ -111,6 +111,12 @@ def features_timeframe(tf: str, spark: SparkSession, d: str) -> DataFrame:
     return timeframes.onto_minutes(canonical(spark, d), tf).selectExpr("symbol", "idx", *rounded(timeframes.names(tf)))
 
 
+def features_timeframes(spark: SparkSession, d: str) -> DataFrame:
+    """The indicators of all timeframes at once."""
+    rows = timeframes.all_onto_minutes(canonical(spark, d), timeline.spans(table(spark, d, "bars")))
+    return rows.selectExpr("symbol", "idx", *rounded([n for tf in timeframes.FRAMES for n in timeframes.names(tf)]))
+
+
 #: Bars of the test tables span days, not years: a period of two hours stands for the week.
 PERIOD = 120
 _WEEKLY = (
@@ -163,7 +169,7 @@ FROM u JOIN k USING (feature_name) GROUP BY feature_name
 QUERIES = {
     f.__name__: f for f in (bar_validation, canonical_timeline, gap_summary, missing_days, coverage_report, max_gap_run, clip_report)
 } | {f"features_{name}": partial(features, name) for name in bar_features.FAMILIES}
-QUERIES |= {f.__name__: f for f in (features_recursive, features_weekly, features_weeks, resampled_bars)}
+QUERIES |= {f.__name__: f for f in (features_recursive, features_timeframes, features_weekly, features_weeks, resampled_bars)}
 QUERIES |= {f"features_{tf}": partial(features_timeframe, tf) for tf in timeframes.FRAMES}
 
 SQL = {
@@ -203,6 +209,9 @@ SELECT symbol, idx, CAST(run AS BIGINT) AS max_gap_run_120, round(ratio_20 * (1
     "clip_report": _clip_sql(),
 } | {f"features_{name}": feature_oracles.sql(CANONICAL_SQL, name) for name in bar_features.FAMILIES}
 SQL |= {f"features_{tf}": feature_oracles.frame_sql(CANONICAL_SQL, minutes, tf) for tf, minutes in timeframes.FRAMES.items()}
+SQL["features_timeframes"] = (
+    "SELECT * FROM " + " JOIN ".join(f"({SQL[f'features_{tf}']}) AS f{tf}" + ("" if i == 0 else " USING (symbol, idx)") for i, tf in enumerate(timeframes.FRAMES))
+)
 SQL["features_recursive"] = (
     f"SELECT symbol, idx, {', '.join(rounded(list(recursive_features.NAMES)))} FROM ({recursive_features.sql_text(CANONICAL_SQL)})"
 )

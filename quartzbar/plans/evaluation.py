@@ -10,6 +10,7 @@ from quartzbar.operators import backtest, bar_features, labels, models, regimes,
 from quartzbar.plans import feature_oracles
 from quartzbar.plans.bars import CANONICAL_SQL, canonical
 from quartzbar.plans.learning_data import _LABELS, HORIZON, SL, THRESHOLD, TP
+from quartzbar.session import with_row_per_key
 
 COST = 0.0008
 BREAK_EVEN = (SL + COST) / (TP + SL)
@@ -164,7 +165,7 @@ def rolling_drift(spark: SparkSession, d: str) -> DataFrame:
     rows = scored(spark, d)
     n = rows.groupBy("symbol").agg((F.max("idx") - 240).alias("cut"))
     e = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
-    s = rows.join(n, "symbol").groupBy("symbol").agg(F.avg(F.when(F.col("idx") > F.col("cut"), e)).alias("recent"), F.avg(F.when(F.col("idx") <= F.col("cut"), e)).alias("baseline"))
+    s = with_row_per_key(rows, n, "symbol").groupBy("symbol").agg(F.avg(F.when(F.col("idx") > F.col("cut"), e)).alias("recent"), F.avg(F.when(F.col("idx") <= F.col("cut"), e)).alias("baseline"))
     return s.selectExpr("symbol", *rounded(["recent", "baseline"]))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quartzbar.functions.keys import entity_key, epoch_us
 from quartzbar.functions.windows import rounded
-from quartzbar.operators import backtest, bar_features, models, quality, rule_regimes, timeframes
+from quartzbar.operators import backtest, bar_features, models, quality, rule_regimes, timeframes, timeline
 from quartzbar.plans import bars, feature_oracles
 from quartzbar.plans.bars import CANONICAL_SQL, canonical
 from quartzbar.plans.evaluation import _TRADES, MODEL_FEATURES, _one, _signals, _with_scored, scored
@@ -19,7 +19,7 @@ _TF = ("trend_slope_15m", "trend_slope_1h", "trend_slope_4h", "return_4h", "ema_
 def rule_regime_rows(spark: SparkSession, d: str) -> DataFrame:
     base = canonical(spark, d)
     one = bar_features.with_features(base, "returns", "trend").select("symbol", "idx", "return_5", "trend_slope_30")
-    frames = timeframes.combined([timeframes.onto_minutes(base, tf) for tf in timeframes.FRAMES])
+    frames = timeframes.all_onto_minutes(base, timeline.spans(table(spark, d, "bars")))
     names = [*_TF, *rule_regimes.FLAGS]
     rows = one.join(frames, ["symbol", "idx"])
     return rows.selectExpr("symbol", "idx", *(f"round(CAST({n} AS DOUBLE), 9) AS {n}" for n in ("return_5", "trend_slope_30", *names)))

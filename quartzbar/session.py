@@ -8,6 +8,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -16,6 +17,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Plans of many columns are built several times faster without the place of each call.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -57,3 +60,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
     return df.checkpoint()
+
+
+#: Rows of a table of one row per key up to which it is sent to every executor.
+MOST_KEYS = 100_000
+
+
+def with_row_per_key(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """rows joined with a table of a few numbers per key, without a shuffle by the key where the table is small.
+
+    The table is cut off and counted first; beyond MOST_KEYS rows it is joined like any other.
+    """
+    small = checkpointed(small)
+    return rows.join(F.broadcast(small) if small.count() <= MOST_KEYS else small, key)

@@ -190,7 +190,7 @@ def test_ranks_and_percentiles(spark):
     p = asof.mean_ranks(rows, "symbol", "v", "r").toPandas()
     for _, g in p.groupby("symbol"):
         assert np.allclose(g.r, g.v.rank(), equal_nan=True)
-    q = {r.symbol: r for r in asof.percentiles(rows, "symbol", "v", {"a": 0.75, "b": 0.1, "c": 1.0}).collect()}
+    q = {r.symbol: r for r in asof.percentiles(rows, "symbol", {"a": ("v", 0.75), "b": ("v", 0.1), "c": ("v", 1.0)}).collect()}
     for s, g in p.dropna().groupby("symbol"):
         assert np.allclose([q[s].a, q[s].b, q[s].c], np.percentile(g.v, [75, 10, 100]))
 
