@@ -337,3 +337,36 @@ FROM trades GROUP BY GROUPING SETS ((symbol), (side), (reason), (side, reason),
 SELECT symbol, {_one("avg((p - y) * (p - y)) FILTER (idx > cut)", "recent")}, {_one("avg((p - y) * (p - y)) FILTER (idx <= cut)", "baseline")} FROM scored JOIN n USING (symbol) GROUP BY symbol
 """).replace(") \n,", "),"),
 }
+SQL["regime_transition_weights"] = f"""
+WITH r AS ({_REGIMES}), h AS (SELECT symbol, idx, direction, CASE WHEN lag(direction) OVER (PARTITION BY symbol ORDER BY idx) <> direction THEN 1 ELSE 0 END AS ch FROM r)
+SELECT symbol, idx, direction, CASE WHEN max(ch) OVER (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 1440 PRECEDING AND 1440 FOLLOWING) = 1 THEN CAST(0.1 AS DOUBLE) ELSE 1 END AS weight FROM h
+"""
+# Persistence as a recursive step: current, pending, count.
+SQL["smoothed_regimes"] = f"""
+WITH RECURSIVE f AS ({_RETURNS}), p AS (SELECT symbol, idx, round({_P}, 9) AS up, round(0.9 - {_P}, 9) AS down FROM f),
+s AS MATERIALIZED (SELECT symbol, idx, avg(up) OVER w AS u, avg(down) OVER w AS d FROM p WINDOW w AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+c AS MATERIALIZED (SELECT symbol, idx, u, d, CASE WHEN d >= greatest(0.1, u) THEN 'down' WHEN 0.1 >= u THEN 'range' ELSE 'up' END AS best, greatest(u, d, 0.1) >= 0.45 AS sure FROM s),
+r AS (
+  SELECT symbol, idx, CASE WHEN sure THEN best ELSE 'range' END AS now, NULL::VARCHAR AS next, 0 AS n FROM c WHERE idx = 0
+  UNION ALL
+  SELECT c.symbol, c.idx, CASE WHEN c.sure AND c.best <> r.now AND CASE WHEN c.best = r.next THEN r.n + 1 ELSE 1 END >= 60 THEN c.best ELSE r.now END,
+    CASE WHEN NOT c.sure OR c.best = r.now OR CASE WHEN c.best = r.next THEN r.n + 1 ELSE 1 END >= 60 THEN NULL ELSE c.best END,
+    CASE WHEN NOT c.sure OR c.best = r.now OR CASE WHEN c.best = r.next THEN r.n + 1 ELSE 1 END >= 60 THEN 0 WHEN c.best = r.next THEN r.n + 1 ELSE 1 END
+  FROM r JOIN c ON c.symbol = r.symbol AND c.idx = r.idx + 1
+)
+SELECT symbol, idx, {_one("u", "up_smooth")}, {_one("0.1", "range_smooth")}, {_one("d", "down_smooth")}, now AS assigned FROM r JOIN c USING (symbol, idx)
+"""
+SQL["threshold_ranking"] = _with_scored(f"""
+, n AS (SELECT symbol, count(*) AS n, sum(y) AS hits FROM scored GROUP BY symbol),
+k AS (SELECT symbol, CAST(round(round(p, 4) * 10000) AS INTEGER) AS k FROM scored UNION SELECT symbol, CAST(500 * i AS INTEGER) FROM n, range(1, 20) AS r(i)),
+e AS (SELECT k.symbol, k.k, s.idx, CASE WHEN p < k.k / 10000 THEN 0 WHEN y = 1 THEN {TP - COST!r} ELSE -{SL + COST!r} END AS pnl, p >= k.k / 10000 AS taken, y FROM k JOIN scored AS s ON s.symbol = k.symbol),
+c AS (SELECT *, sum(pnl) OVER w AS run FROM e WINDOW w AS (PARTITION BY symbol, k ORDER BY idx)),
+g AS (SELECT *, greatest(0, max(run) OVER (PARTITION BY symbol, k ORDER BY idx)) - run AS fall FROM c),
+m AS (SELECT symbol, k, count(*) FILTER (taken) AS trades, count(*) FILTER (taken AND y = 1) AS wins, sum(pnl) AS total, max(fall) AS fall, avg(pnl) AS mean, stddev_pop(pnl) AS sd FROM g GROUP BY ALL),
+t AS (
+  SELECT m.symbol, k, trades, CASE WHEN fall > 1e-12 THEN round(total / fall, 9) ELSE 0 END AS calmar, CASE WHEN sd > 1e-12 THEN round(mean / sd * sqrt(n), 9) ELSE 0 END AS sharpe,
+         CASE WHEN wins > 0 THEN round(2 * wins / (trades + hits), 9) ELSE 0 END AS f1, trades >= greatest(1, n // 20) AS enough
+  FROM m JOIN n ON n.symbol = m.symbol
+), b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY enough DESC, calmar DESC, sharpe DESC, f1 DESC, abs(k - 5000), k) AS place FROM t WHERE enough OR k = 5000)
+SELECT symbol, k / 10000 AS threshold, trades, {_one("calmar", "calmar")}, {_one("sharpe", "sharpe")}, {_one("f1", "f1")} FROM b WHERE place = 1
+""").replace(") \n,", "),")
