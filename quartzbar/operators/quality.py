@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quartzbar.operators.asof import mean_ranks
 from quartzbar.operators.splits import sample_numbers
-from quartzbar.session import checkpointed
+from quartzbar.session import checkpointed, with_row_per_key
 
 # The greatest gap ratio by group of features, the run that is too long, the limits of live data.
 GAP_LIMITS = {
@@ -102,3 +102,35 @@ def in_time(rows: DataFrame, column: str, start: str | None, end: str | None, en
             return rows.where(F.col(column) < until + F.expr("INTERVAL 1 DAY"))
         return rows.where(F.col(column) <= until if end_included else F.col(column) < until)
     return rows
+
+
+# Rows that features need before they hold, from the shortest to the weekly ones, and the rows beyond
+# that make those count.
+WARM_UPS = (1, 2, 4, 5, 6, 8, 10, 11, 12, 15, 16, 20, 21, 26, 30, 31, 35, 39, 60, 61, 65, 70, 75, 121, 150, 165, 225, 300, 600, 660, 900, 1200, 1440, 2400, 2640, 3600, 4800, 504_000)
+WEEKLY_ROWS, WEEKLY_MARGIN = 504_000, 80
+
+
+def warm_up(rows: int | None = None, needs: tuple[int, ...] = WARM_UPS) -> int:
+    """The rows that the features of a series need; those that need more than it has do not count."""
+    return max((n for n in needs if rows is None or n <= rows), default=1)
+
+
+def warm_rows(timeline: DataFrame, needs: tuple[int, ...] = WARM_UPS) -> DataFrame:
+    """symbol, idx, warming: whether a row comes before the last row of its symbol's warm-up."""
+    n = timeline.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    known = F.array(*map(F.lit, needs))
+    need = n.select("symbol", F.coalesce(F.array_max(F.filter(known, lambda x: x <= F.col("n"))), F.lit(1)).alias("need"))
+    return with_row_per_key(timeline.select("symbol", "idx"), need, "symbol").select("symbol", "idx", (F.col("idx") < F.col("need") - 1).alias("warming"))
+
+
+def after_weekly_warm_up(labels: DataFrame, timeline: DataFrame) -> DataFrame:
+    """labels without the rows before a series' weekly features hold, where it is long enough to do without them."""
+    n = timeline.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
+    long = with_row_per_key(labels, n, "symbol")
+    return long.where((F.col("_n") < WEEKLY_ROWS + WEEKLY_MARGIN) | (F.col("idx") >= WEEKLY_ROWS)).drop("_n")
+
+
+def without_fallbacks(features: list[str], fallbacks: set[str], least: int = 10) -> list[str]:
+    """features whose source is there; all of them if fewer than least would remain."""
+    kept = [f for f in features if f not in fallbacks]
+    return kept if len(kept) >= least else list(features)

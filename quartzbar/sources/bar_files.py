@@ -180,13 +180,40 @@ METRICS = (
 )
 
 
+def _metrics(rows: DataFrame) -> DataFrame:
+    typed = rows.select(instant(F.col("create_time")).alias("create_time"), "symbol", *(F.col(c).try_cast("double").alias(c) for c in METRICS[2:]), "_n")
+    ok = typed.where(" AND ".join(f"{c} IS NOT NULL" for c in METRICS))
+    last = ok.groupBy("symbol", "create_time").agg(F.max_by(F.struct(*METRICS[2:]), "_n").alias("b"))
+    return last.select("create_time", "symbol", "b.*")
+
+
 def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
     """Metrics ticks; a header is optional, rows that do not parse are left out, the last write of a tick counts."""
     raw = spark.read.schema(", ".join(f"{c} string" for c in METRICS)).option("mode", "PERMISSIVE").csv(path)
-    rows = raw.select(instant(F.col("create_time")).alias("create_time"), "symbol", *(F.col(c).try_cast("double").alias(c) for c in METRICS[2:]), F.monotonically_increasing_id().alias("_n"))
-    ok = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in METRICS))
-    last = ok.groupBy("symbol", "create_time").agg(F.max_by(F.struct(*METRICS[2:]), "_n").alias("b"))
-    return last.select("create_time", "symbol", "b.*")
+    return _metrics(raw.withColumn("_n", F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("line"))))
+
+
+def read_metrics_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from all zip files of a folder; broken ones are left out, of one tick the file that sorts last counts."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select("path", "content")
+
+    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        for inner in sorted(n for n in z.namelist() if n.endswith(".csv")):
+                            with z.open(inner) as f:
+                                line = 0
+                                for part in pd.read_csv(f, header=None, names=list(METRICS), dtype=str, chunksize=50_000, on_bad_lines="skip"):
+                                    part = part.astype(object).where(part.notna(), None)
+                                    yield part.assign(file=pd.Series([name] * len(part), index=part.index, dtype=object), line=range(line, line + len(part)))
+                                    line += len(part)
+                except (zipfile.BadZipFile, OSError):
+                    continue
+
+    schema = ", ".join(f"{c} string" for c in (*METRICS, "file")) + ", line long"
+    return _metrics(files.mapInPandas(unzip, schema).withColumn("_n", F.struct("file", "line")))
 
 
 def read_regime_periods(spark: SparkSession, path: str) -> DataFrame:
@@ -252,3 +279,14 @@ def synthetic_bars(spark: SparkSession, n: int, start: str = "2026-01-01 00:00:0
         r(c).alias("close"), volume.alias("volume"), r(volume * c).alias("quote_volume"), (F.lit(100) + F.col("id") % 50).alias("number_of_trades"),
         r(volume * 0.5).alias("taker_buy_base_volume"), r(volume * c * 0.5).alias("taker_buy_quote_volume"), t.alias("ingested_at"), F.col("id").alias("bar_id"),
     )
+
+
+def small_bars(spark: SparkSession) -> DataFrame:
+    """Six bars with a hole of two minutes."""
+    i = F.col("id").cast("double")
+    price, volume = 100_000 + 10 * i, 10 + i
+    t = F.to_timestamp(F.lit("2026-01-01 00:00:00")) + F.make_dt_interval(mins=F.col("id").cast("int"))
+    return spark.range(8).where("id NOT IN (3, 4)").select(
+        F.lit("FIXTURE").alias("symbol"), t.alias("open_time"), price.alias("open"), (price + 20).alias("high"), (price - 20).alias("low"), (price + 5).alias("close"), volume.alias("volume"),
+        (volume * price).alias("quote_volume"), (F.col("id") + 100).alias("number_of_trades"), F.lit(5.0).alias("taker_buy_base_volume"), (5 * price).alias("taker_buy_quote_volume"), t.alias("ingested_at"), F.col("id").alias("bar_id"),
+    )
