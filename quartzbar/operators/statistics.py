@@ -60,21 +60,6 @@ def calibration_errors(scored: DataFrame, bins: int = 10, least: int = 20) -> Da
     )
 
 
-def threshold_search(scored: DataFrame, gain: float, loss: float, steps: int = 20, least_trades: int = 20) -> DataFrame:
-    """Per symbol the threshold k / steps with the greatest mean profit among those with enough trades.
-
-    Rows are counted per step first; a threshold's figures are sums of the steps above it.
-    """
-    step = F.least(F.floor(F.col("p") * steps), F.lit(steps - 1)).cast("int")
-    counts = scored.groupBy("symbol", step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("w"))
-    above = Window.partitionBy("symbol").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
-    cumulated = counts.select("symbol", "step", F.sum("n").over(above).alias("trades"), F.sum("w").over(above).alias("wins"))
-    mean = (F.col("wins") * gain - (F.col("trades") - F.col("wins")) * loss) / F.col("trades")
-    ok = cumulated.where(F.col("trades") >= least_trades).withColumn("mean_profit", F.round(mean, 10))
-    best = ok.groupBy("symbol").agg(F.max(F.struct("mean_profit", "trades", "step")).alias("b"))
-    return best.select("symbol", (F.col("b.step") / steps).alias("threshold"), F.col("b.trades").alias("trades"), F.col("b.mean_profit").alias("mean_profit"))
-
-
 def _curves(key: np.ndarray, win: np.ndarray, gain: float, loss: float) -> tuple[np.ndarray, np.ndarray]:
     """(keys ascending, states): wins, losses and of their running sum peak, low and greatest fall, over the rows of at least a key.
 

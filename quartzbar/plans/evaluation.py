@@ -45,10 +45,6 @@ def decision_band(spark: SparkSession, d: str) -> DataFrame:
     return statistics.decision_band(scored(spark, d), 0.52, BREAK_EVEN).selectExpr("CAST(rows AS BIGINT) AS rows", *rounded(["share", "hit_rate", "edge"]))
 
 
-def threshold_search(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.threshold_search(scored(spark, d), TP - COST, SL + COST).selectExpr("symbol", "threshold", "trades", *rounded(["mean_profit"], 8))
-
-
 def threshold_ranking(spark: SparkSession, d: str) -> DataFrame:
     s = statistics.threshold_ranking(scored(spark, d).select("symbol", "idx", "p", "y"), TP - COST, SL + COST)
     return s.selectExpr("symbol", "threshold", "trades", *rounded(["calmar", "sharpe", "f1"]))
@@ -112,13 +108,6 @@ def regime_confusion(spark: SparkSession, d: str) -> DataFrame:
     return every.join(n, ["predicted", "actual"], "left").select("predicted", "actual", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def smoothed_probabilities(spark: SparkSession, d: str) -> DataFrame:
-    rows = bar_features.with_features(canonical(spark, d), "returns").selectExpr(
-        "symbol", "idx", f"round({_P}, 9) AS up", f"round(0.9 - {_P}, 9) AS down", "CAST(0.1 AS DOUBLE) AS flat"
-    )
-    return regimes.smoothed(rows, ["down", "flat", "up"]).selectExpr("symbol", "idx", *rounded(["up_smooth", "down_smooth"]), "smoothed")
-
-
 def smoothed_regimes(spark: SparkSession, d: str) -> DataFrame:
     """Smoothed probabilities with the regime assigned by confidence and persistence."""
     rows = bar_features.with_features(canonical(spark, d), "returns").selectExpr(
@@ -172,9 +161,9 @@ def rolling_drift(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        classification_metrics, reliability_curve, calibration_errors, decision_band, threshold_search, threshold_ranking, equity_drawdown, rank_correlation,
+        classification_metrics, reliability_curve, calibration_errors, decision_band, threshold_ranking, equity_drawdown, rank_correlation,
         half_life, variance_filter, bootstrap_interval, regime_thresholds, market_regimes, regime_diagnostics, regime_confusion,
-        regime_transition_weights, smoothed_probabilities, smoothed_regimes, backtest_trades, backtest_breakdown, centroid_model, platt_calibration, rolling_drift,
+        regime_transition_weights, smoothed_regimes, backtest_trades, backtest_breakdown, centroid_model, platt_calibration, rolling_drift,
     )
 }
 
@@ -275,13 +264,6 @@ SELECT {_one("sum(n * gap) / sum(n)", "ece")}, {_one("sum(n * gap) FILTER (n >=
 SELECT count(*) FILTER (p >= 0.52) AS rows, {_one("count(*) FILTER (p >= 0.52) / count(*)", "share")}, {_one("coalesce(avg(y) FILTER (p >= 0.52), 0)", "hit_rate")},
        {_one(f"coalesce(avg(y) FILTER (p >= 0.52), 0) - {BREAK_EVEN!r}", "edge")} FROM scored
 """),
-    "threshold_search": _with_scored(f"""
-, t AS (SELECT s.symbol, k, count(*) AS trades, sum(y) AS wins FROM scored AS s JOIN range(20) AS r(k) ON least(CAST(floor(p * 20) AS INTEGER), 19) >= k GROUP BY ALL),
-m AS (SELECT *, round((wins * {TP - COST!r} - (trades - wins) * {SL + COST!r}) / trades, 10) AS mp FROM t
-      WHERE trades >= 20 AND EXISTS (SELECT 1 FROM scored AS s WHERE s.symbol = t.symbol AND least(CAST(floor(p * 20) AS INTEGER), 19) = t.k)),
-b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY mp DESC, trades DESC, k DESC) AS rn FROM m)
-SELECT symbol, k / 20 AS threshold, trades, {_one("mp", "mean_profit", 8)} FROM b WHERE rn = 1
-""").replace(") \n,", "),"),
     "equity_drawdown": _with_scored(f"""
 , w AS (SELECT symbol, idx, CASE WHEN p >= 0.5 THEN CASE WHEN y = 1 THEN {TP - COST!r} ELSE -{SL + COST!r} END ELSE 0 END AS pnl FROM scored),
 e AS (SELECT *, sum(pnl) OVER (PARTITION BY symbol ORDER BY idx) AS eq FROM w),
@@ -314,11 +296,6 @@ SELECT symbol, strength, CAST(sum(n) AS BIGINT) AS rows, count(*) AS entries, ma
 WITH r AS ({_REGIMES}), l AS ({_LABELS.replace('FROM f' + chr(10), ', ret FROM f' + chr(10))}), e AS (SELECT * FROM (VALUES ('range'), ('up'), ('down')) AS a(predicted), (VALUES ('range'), ('up'), ('down')) AS b(actual)),
 j AS (SELECT r.direction AS predicted, CASE WHEN ret > {THRESHOLD} THEN 'up' WHEN ret < -{THRESHOLD} THEN 'down' ELSE 'range' END AS actual FROM r JOIN l ON l.symbol = r.symbol AND l.idx = r.idx)
 SELECT e.predicted, e.actual, count(j.predicted) AS n FROM e LEFT JOIN j ON j.predicted = e.predicted AND j.actual = e.actual GROUP BY ALL
-""",
-    "smoothed_probabilities": f"""
-WITH f AS ({_RETURNS}), p AS (SELECT symbol, idx, round({_P}, 9) AS up, round(0.9 - {_P}, 9) AS down FROM f),
-s AS (SELECT symbol, idx, avg(up) OVER w AS u, avg(down) OVER w AS d FROM p WINDOW w AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
-SELECT symbol, idx, {_one("u", "up_smooth")}, {_one("d", "down_smooth")}, CASE WHEN d >= greatest(0.1, u) THEN 'down' WHEN 0.1 >= u THEN 'flat' ELSE 'up' END AS smoothed FROM s
 """,
     "backtest_trades": _TRADES + f"SELECT symbol, entry_idx, exit_idx, side, reason, {_one('gross', 'gross', 8)}, {_one('net', 'net', 8)} FROM trades",
     "backtest_breakdown": _TRADES + f"""

@@ -73,16 +73,11 @@ def walk_forward_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.walk_forward(counts, 120, 40, 40, SPLIT_HORIZON)
 
 
-def transition_weights(spark: SparkSession, d: str) -> DataFrame:
-    rows = canonical(spark, d).select("symbol", "idx", (F.col("close") > F.col("open")).cast("int").alias("up"))
-    return splits.transition_weights(rows, "up", 3).select("symbol", "idx", "up", "weight")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         features_book, features_funding, features_metrics, barrier_labels, label_reason_counts, uniqueness_weights,
-        combinatorial_purged_splits, walk_forward_splits, transition_weights,
+        combinatorial_purged_splits, walk_forward_splits,
     )
 }
 
@@ -167,10 +162,5 @@ WITH n AS (SELECT symbol, count(*) AS n FROM ({_SAMPLES}) GROUP BY symbol),
 k AS (SELECT symbol, unnest(range(0, (n - {200 + 2 * SPLIT_HORIZON}) // 40 + 1)) AS split FROM n WHERE n >= {200 + 2 * SPLIT_HORIZON})
 SELECT symbol, split, split * 40 AS train_start, split * 40 + 120 AS train_end, split * 40 + {120 + SPLIT_HORIZON} AS validation_start, split * 40 + {160 + SPLIT_HORIZON} AS validation_end,
        split * 40 + {160 + 2 * SPLIT_HORIZON} AS test_start, split * 40 + {200 + 2 * SPLIT_HORIZON} AS test_end FROM k
-""",
-    "transition_weights": f"""
-WITH c AS (SELECT symbol, idx, CASE WHEN close > open THEN 1 ELSE 0 END AS up FROM ({CANONICAL_SQL})),
-h AS (SELECT *, CASE WHEN lag(up) OVER (PARTITION BY symbol ORDER BY idx) <> up THEN 1 ELSE 0 END AS ch FROM c)
-SELECT symbol, idx, up, CASE WHEN max(ch) OVER (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) = 1 THEN CAST(0.1 AS DOUBLE) ELSE 1 END AS weight FROM h
 """,
 }
