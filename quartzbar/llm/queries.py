@@ -27,8 +27,12 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(table(spark, d, "documents"), table(spark, d, "pack_limits"))
 
 
+def p7_faults(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_faults(table(spark, d, "documents"), table(spark, d, "pack_limits"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p6_ids, p7_containers, p7_report, p8_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p6_ids, p7_containers, p7_report, p7_faults, p8_found)}
