@@ -192,3 +192,15 @@ def with_weekly_strength(rows: DataFrame) -> DataFrame:
     """symbol, idx, strength of each row by itself, from rows (symbol, idx, rv_15, trend_slope_30, weekly features)."""
     rows = checkpointed(rows)
     return with_row_per_key(rows, fit_thresholds(rows), "symbol").select("symbol", "idx", weekly_strength().alias("strength"))
+
+
+def expanding_strength(rows: DataFrame) -> DataFrame:
+    """symbol, idx, strength of each row by itself, by thresholds fitted to the rows up to it, from rows (symbol, idx, rv_15, trend_slope_30)."""
+    from quartzbar.operators.expanding import expanding_percentiles
+
+    rows = checkpointed(rows.select("symbol", "idx", "rv_15", "trend_slope_30"))
+    rv = expanding_percentiles(rows, "symbol", "rv_15", {"rv": RV_PERCENTILE})
+    trend = expanding_percentiles(rows.withColumn("_s", F.abs("trend_slope_30")), "symbol", "_s", {"trend": TREND_PERCENTILE})
+    j = rows.join(rv, ["symbol", "idx"]).join(trend, ["symbol", "idx"]).withColumn("trend", F.greatest("trend", F.lit(LEAST_TREND)))
+    steep = (F.abs("trend_slope_30") > F.col("trend")) & (F.col("rv_15") <= F.col("rv") * CALM)
+    return j.select("symbol", "idx", F.when(F.col("rv_15") > F.col("rv"), "high_volatility").when(steep, "trending").otherwise("ranging").alias("strength"))

@@ -130,6 +130,11 @@ def weekly_strength(spark: SparkSession, d: str) -> DataFrame:
     return regimes.with_weekly_strength(_regime_rows(spark, d).join(w, ["symbol", "idx"]))
 
 
+def expanding_regimes(spark: SparkSession, d: str) -> DataFrame:
+    """Each row by thresholds of the rows up to it."""
+    return regimes.expanding_strength(_regime_rows(spark, d))
+
+
 def features_mark(spark: SparkSession, d: str) -> DataFrame:
     marks = external_features.mark_prices(table(spark, d, "exchange_responses"))
     return external_features.mark_features(canonical(spark, d), marks).selectExpr("symbol", "idx", *rounded(["mark_price_basis", "premium_index"], 8))
@@ -186,7 +191,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         calibration_offset, risk_ratios, return_interval, return_variance, shuffled_drawdowns, fold_correlation, regime_correlation, leak_flags, trade_groups, reconciled_trades, head_to_head,
-        event_labels, short_labels, regime_transitions, direction_jitter, regime_sides, regime_holdouts, weekly_strength, features_mark, features_funding_backward, features_ema_vol_adj,
+        event_labels, short_labels, regime_transitions, direction_jitter, regime_sides, regime_holdouts, weekly_strength, expanding_regimes, features_mark, features_funding_backward, features_ema_vol_adj,
         features_regime_prob, clock_actions, confirmed_rule_regimes, calibrated_probabilities,
     )
 }
@@ -290,6 +295,11 @@ j AS (SELECT r.symbol, r.idx, rv_15 > rv OR weekly_drawdown < -0.2 AS high, rv_1
       FROM r JOIN t ON t.symbol = r.symbol JOIN w ON w.symbol = r.symbol AND w.idx = r.idx)
 SELECT symbol, idx, CASE WHEN high THEN 'high_volatility' WHEN weekly_vol_contraction < 0.5 THEN 'ranging'
   WHEN steep OR (weekly_drawdown > -0.05 AND (abs(weekly_ma20_slope_closed) > 0.02 OR (weekly_ma20_above_ma50 = 1 AND weekly_ma20_slope_closed > 0 AND weekly_ma50_slope_closed > 0))) THEN 'trending' ELSE 'ranging' END AS strength FROM j
+""",
+    "expanding_regimes": f"""
+WITH r AS MATERIALIZED ({evaluation._REGIME_ROWS}),
+t AS (SELECT *, quantile_cont(rv_15, 0.75) OVER w AS rv, greatest(1e-5, quantile_cont(abs(trend_slope_30), 0.9) OVER w) AS trend FROM r WINDOW w AS (PARTITION BY symbol ORDER BY idx))
+SELECT symbol, idx, CASE WHEN rv_15 > rv THEN 'high_volatility' WHEN abs(trend_slope_30) > trend THEN 'trending' ELSE 'ranging' END AS strength FROM t
 """,
     "features_mark": f"""
 WITH p AS (SELECT response_id, CAST(payload AS JSON) AS j FROM exchange_responses WHERE status_code = 200 AND json_valid(payload)),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quartzbar.functions.instants import interval_ms
-from quartzbar.operators import asof, external_features, labels, learners, models, monitors, quality, regimes, rule_regimes, timeline, validation
+from quartzbar.operators import asof, expanding, external_features, labels, learners, models, monitors, quality, regimes, rule_regimes, timeline, validation
 from quartzbar.sources import bar_files
 
 T0 = datetime(2026, 1, 1)
@@ -191,3 +191,15 @@ def test_confirmed_rules_against_a_loop(confirm, hold):
                 held += 1
         state = table[state, code]
         assert states[state][0] == current
+
+
+def test_expanding_percentiles_against_numpy(spark):
+    rng = np.random.default_rng(11)
+    series = {"walk": np.cumsum(rng.normal(size=700)), "ties": rng.choice([0.0, 0.0, 0.0, 1.0, 2.5], 500), "one": np.array([3.0]), "fall": -np.arange(300.0), "same": np.zeros(260)}
+    rows = [(k, i, float(x)) for k, v in series.items() for i, x in enumerate(v)] + [("walk", 9_999, None), ("walk", 10_000, float("nan"))]
+    df = spark.createDataFrame(rows, "symbol string, idx long, x double")
+    got = {(r.symbol, r.idx): (r.a, r.b) for r in expanding.expanding_percentiles(df, "symbol", "x", {"a": 0.75, "b": 0.1}, size=97, buckets=16).collect()}
+    want = {(k, i): (np.percentile(v[: i + 1], 75), np.percentile(v[: i + 1], 10)) for k, v in series.items() for i in range(len(v))}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in want)
+    assert expanding.expanding_percentiles(df.limit(0), "symbol", "x", {"a": 0.75}).count() == 0
