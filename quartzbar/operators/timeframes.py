@@ -128,6 +128,8 @@ def all_onto_minutes(timeline: DataFrame, ends: DataFrame) -> DataFrame:
     for tf, minutes in FRAMES.items():
         known = indicators(parts[tf], tf).withColumnRenamed("bucket", f"_{tf}")
         out = out.withColumn(f"_{tf}", F.floor(F.col("cell") * least / minutes) - 1).join(known, ["symbol", f"_{tf}"], "left")
+    # The buckets are few and would be put together into few tasks; the minutes are many.
+    out = out.repartition(int(out.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol", "cell")
     minute = F.explode(F.sequence(F.greatest(F.col("lo"), F.col("cell") * least), F.least(F.col("hi"), F.col("cell") * least + least - 1))).alias("m")
     every = [n for tf in FRAMES for n in names(tf)]
     neutral = lambda n: F.lit(50.0 if n.startswith("rsi_") else 0.0)
