@@ -52,10 +52,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_bars(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    good = bad_rows.parse_records(table(spark, d, "archive_records")).where("reason IS NULL")
-    return good.withColumn("open_time", F.timestamp_micros("open_time_us")).drop("reason", "detail", "open_time_us")
+    return bad_rows.parse_records(table(spark, d, "archive_records")).where("reason IS NULL").drop("reason", "detail")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_bars, p2_found, p2_report, p4_found, p4_grid, p5_found, p5_bars)}
@@ -71,4 +68,4 @@ WITH readings AS (
 )
 SELECT symbol, m * 60000 AS minute_ms FROM grid ANTI JOIN readings USING (symbol, m)
 """,
-} | {n: record_oracles.SQL[n] for n in ("p4_grid", "p5_found")}
+} | {n: record_oracles.SQL[n] for n in ("p4_grid", "p5_found", "p5_bars")}

@@ -48,6 +48,10 @@ judged AS (
 _MINUTE = 60_000_000
 SQL = {
     "p5_found": f"WITH {JUDGED} SELECT rec_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p5_bars": f"""
+WITH {JUDGED} SELECT rec_id, CAST(t AS BIGINT) AS open_time_us, n2 AS open, n3 AS high, n4 AS low, n5 AS close, n6 AS volume, c[7] AS close_time, n8 AS quote_volume, n9 AS count,
+  n10 AS taker_buy_volume, n11 AS taker_buy_quote_volume, c[12] AS "ignore" FROM judged WHERE reason IS NULL
+""",
     "kline_rows": f"""
 WITH {JUDGED} SELECT CAST(t AS BIGINT) AS t_us, n2 AS open, n3 AS high, n4 AS low, n5 AS close, n6 AS volume, n8 AS quote_volume, n9 AS number_of_trades FROM judged WHERE reason IS NULL
 """,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quartzbar.plans import bars, checks, evaluation, further, governing, learning_data, operations, raw_data
+from quartzbar.plans import bars, checks, evaluation, files, further, governing, learning_data, operations, raw_data
 
-MODULES = (raw_data, bars, learning_data, evaluation, governing, operations, checks, further)
+MODULES = (raw_data, bars, learning_data, evaluation, governing, operations, checks, further, files)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 # The nearest funding, stated beside the last one before.

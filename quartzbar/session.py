@@ -44,13 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints and all executors share.
 
-    The folder is read from spark.checkpoint.dir. Where that is unset, a local session (tests, one machine) uses
-    a folder of its own; on a cluster it must be set, as all executors have to share it.
+    It is read from spark.checkpoint.dir. Where that is unset, a local session (tests, one machine) uses a folder
+    of its own; on a cluster it must be set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get("spark.checkpoint.dir")
         if not where and not sc.master.startswith("local["):
@@ -59,6 +59,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
             where = tempfile.mkdtemp(prefix="quartzbar-checkpoints-")
             atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
