@@ -127,6 +127,16 @@ def account_features(ticks: DataFrame) -> DataFrame:
     return ticks.select("symbol", "idx", *(F.expr(frame(e, "symbol")).cast("double").alias(n) for n, e in ACCOUNTS.items()))
 
 
+def position_features(timeline: DataFrame, queue: DataFrame, brackets: DataFrame) -> DataFrame:
+    """symbol, idx, adl_indicator (the rank in the deleveraging queue) and leverage_bracket_utilization (the position's
+    notional by the cap of its bracket) of the last rows of queue (entity, t, quantile) and brackets (entity, t, notional,
+    cap) at or before each minute; 0 without one."""
+    rank = carried(timeline, queue, {"quantile": 0.0}).withColumnRenamed("quantile", "adl_indicator")
+    used = carried(timeline, brackets, {"notional": 0.0, "cap": 0.0})
+    share = F.when(F.col("notional") == 0, 0.0).otherwise(F.col("notional") / F.greatest(F.col("cap"), F.lit(1e-12)))
+    return rank.join(used.select("symbol", "idx", share.alias("leverage_bracket_utilization")), ["symbol", "idx"])
+
+
 def metrics_onto_minutes(timeline: DataFrame, ticks: DataFrame) -> DataFrame:
     """symbol, idx and the eleven metrics features of the last tick at or before each minute; 0 before the first.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quartzbar.operators import bad_rows, regular_grid, schema_drift, spikes
-from quartzbar.plans import record_oracles
+from quartzbar.plans import drift_oracle, record_oracles
 from quartzbar.session import table
 
 
@@ -68,4 +68,4 @@ WITH readings AS (
 )
 SELECT symbol, m * 60000 AS minute_ms FROM grid ANTI JOIN readings USING (symbol, m)
 """,
-} | {n: record_oracles.SQL[n] for n in ("p4_grid", "p5_found", "p5_bars")}
+} | {n: record_oracles.SQL[n] for n in ("p4_grid", "p5_found", "p5_bars")} | drift_oracle.SQL

@@ -203,3 +203,12 @@ def test_expanding_percentiles_against_numpy(spark):
     assert got.keys() == want.keys()
     assert all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in want)
     assert expanding.expanding_percentiles(df.limit(0), "symbol", "x", {"a": 0.75}).count() == 0
+
+
+def test_position_features(spark):
+    base = timeline.canonical(timeline.valid_bars(bar_files.small_bars(spark)))
+    us = lambda minute: 1767225600000000 + minute * 60_000_000
+    queue = spark.createDataFrame([("FIXTURE", us(2), 3.0), ("FIXTURE", us(6), 5.0), (None, us(0), 9.0)], "entity string, t long, quantile double")
+    brackets = spark.createDataFrame([("FIXTURE", us(1), 50.0, 200.0), ("FIXTURE", us(5), 50.0, None)], "entity string, t long, notional double, cap double")
+    got = [(r.adl_indicator, r.leverage_bracket_utilization) for r in external_features.position_features(base, queue, brackets).sort("idx").collect()]
+    assert [a for a, _ in got] == [0, 0, 3, 3, 3, 3, 5, 5] and [round(u, 6) for _, u in got[:5]] == [0, 0.25, 0.25, 0.25, 0.25] and got[5][1] == 50.0 / 1e-12
