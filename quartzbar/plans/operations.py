@@ -35,7 +35,7 @@ def kline_messages(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "bars")
     text = lambda c: F.col(c).cast("string")
     k = F.struct(
-        F.floor(F.unix_micros(F.col("open_time").cast("timestamp")) / 1000).alias("t"), text("open").alias("o"), text("high").alias("h"), text("low").alias("l"), text("close").alias("c"),
+        F.expr("unix_micros(CAST(open_time AS TIMESTAMP)) DIV 1000").alias("t"), text("open").alias("o"), text("high").alias("h"), text("low").alias("l"), text("close").alias("c"),
         text("volume").alias("v"), text("quote_volume").alias("q"), F.col("number_of_trades").alias("n"), text("taker_buy_base_volume").alias("V"),
         text("taker_buy_quote_volume").alias("Q"), F.lit(True).alias("x"),
     )

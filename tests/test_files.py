@@ -4,8 +4,10 @@ import random
 import zipfile
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 
+from quartzbar.plans import operations
 from quartzbar.sources import bar_files, sinks
 
 HEADER = "open_time,open,high,low,close,volume,quote_volume,number_of_trades"
@@ -62,6 +64,21 @@ def test_open_candles_are_no_bars(spark):
     assert sorted((r.symbol, r.close) for r in got if r.close) == [("A", 1.5), ("E", 1.5)] and sorted(r.symbol for r in got) == ["A", "E", "F"]
 
 
+def test_messages_of_odd_bars_give_what_the_sql_gives(spark, tmp_path):
+    # NaN stays NaN and null stays null; times are cut to whole milliseconds by integers, as in the SQL.
+    closes = ("'NaN'", "'Infinity'", "'-Infinity'", "NULL", "-0.0", "5e-324", "1e22", "0.1")
+    times = ("1577836800123456", "1577836800999999", "253402300799999999", "-1", "-1500", "NULL")
+    values = ", ".join(f"({t}, {c}::DOUBLE)" for t in times for c in closes)
+    db = duckdb.connect()
+    db.execute("SET TimeZone = 'UTC'")
+    db.execute(f"""CREATE TABLE bars AS SELECT 'A' AS symbol, make_timestamptz(us) AS open_time, 1.0 AS open, 2.0 AS high, 0.5 AS low, close, 10.0 AS volume, 15.0 AS quote_volume,
+      3 AS number_of_trades, 5.0 AS taker_buy_base_volume, 7.5 AS taker_buy_quote_volume FROM (VALUES {values}) AS v(us, close)""")
+    db.execute(f"COPY bars TO '{tmp_path / 'bars.parquet'}' (FORMAT parquet)")
+    got = operations.kline_messages(spark, str(tmp_path)).select("t_us", "close").collect()
+    said = db.execute(f"SELECT t_us, close FROM ({operations.SQL['kline_messages']})").fetchall()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, said)) and len(said) == len(times) * len(closes)
+
+
 def test_metrics_and_periods(spark, tmp_path):
     tick = "2020-01-01 00:05:00,A,1,2,3,4,5,6"
     rows = bar_files.read_metrics_csv(spark, write(tmp_path / "m.csv", ",".join(bar_files.METRICS), tick, tick.replace(",1,", ",9,"), "bad,A,1,2,3,4,5,6", "2020-01-01 00:10:00,A,x,2,3,4,5,6")).collect()
